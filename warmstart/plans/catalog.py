@@ -179,3 +179,226 @@ def q_restrict_test(spark, sf_dir):
 @query("U4_distinct_users", with_views("select distinct user_id from RAT", "RAT"))
 def q_distinct_users(spark, sf_dir):
     return splits.distinct_ids(fx.ratings(spark, sf_dir), "user_id")
+
+
+# ---------------------------------------------------------------- titles and matching
+from warmstart.functions import similarity as sim  # noqa: E402
+from warmstart.functions import text as tx  # noqa: E402
+from warmstart.operators import matching as mt  # noqa: E402
+
+_STAGE1 = "select a.item_id as source_item, b.item_id as target_item from CAT_A a join CAT_B b on a.title = b.title"
+_LEFT_CTES = f"""
+p1 as ({_STAGE1}),
+a1 as (select * from CAT_A where item_id not in (select source_item from p1)),
+b1 as (select * from CAT_B where item_id not in (select target_item from p1)),
+p2 as (select a.item_id as source_item, b.item_id as target_item from a1 a join b1 b
+       on {tx.sql_raw_title('a.title')} = {tx.sql_raw_title('b.title')}),
+a2 as (select * from a1 where item_id not in (select source_item from p2)),
+b2 as (select * from b1 where item_id not in (select target_item from p2)),
+sk as (select item_id as sid, {tx.sql_raw_title_year('title')} as key from a2),
+tk as (select item_id as tid, {tx.sql_raw_title_year('title')} as key from b2)
+"""
+_PAIR_CTES = """
+ts as (select sid, tok, count(*) as c from (select sid, unnest(regexp_extract_all(key, '[\\p{L}\\p{N}_]+')) as tok from sk) x group by sid, tok),
+tt as (select tid, tok, count(*) as c from (select tid, unnest(regexp_extract_all(key, '[\\p{L}\\p{N}_]+')) as tok from tk) x group by tid, tok),
+ns as (select sid, sqrt(sum(c * c)) as n from ts group by sid),
+nt as (select tid, sqrt(sum(c * c)) as n from tt group by tid),
+dots as (select sid, tid, sum(ts.c * tt.c) as d from ts join tt using (tok) group by sid, tid),
+allp as (select sk.sid, tk.tid, sk.key as s_key, tk.key as t_key from sk cross join tk),
+sc as (select p.sid, p.tid, coalesce(d.d / (ns.n * nt.n), 0) as cosine,
+              greatest(length(s_key), length(t_key)) - levenshtein(s_key, t_key) as lev
+       from allp p left join dots d using (sid, tid) left join ns using (sid) left join nt using (tid)),
+mm as (select sid, min(lev) as lev_min, max(lev) as lev_max from sc group by sid)
+"""
+
+
+def _cats(spark, sf_dir):
+    return fx.catalog_a(spark, sf_dir), fx.catalog_b(spark, sf_dir)
+
+
+@query("C3_C5_title_keys", with_views(f"""
+select item_id, {tx.sql_preprocess_title('title')} as clean, {tx.sql_raw_title('title')} as raw,
+       {tx.sql_raw_title_year('title')} as raw_year
+from (select item_id, title from CAT_A union all select item_id, title from CAT_B) t
+""", "CAT_A", "CAT_B"))
+def q_title_keys(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    t = a.select("item_id", "title").unionByName(b.select("item_id", "title"))
+    c = F.col("title")
+    return t.select("item_id", tx.preprocess_title(c).alias("clean"), tx.raw_title(c).alias("raw"),
+                    tx.raw_title_year(c).alias("raw_year"))
+
+
+@query("C1_unaccent_documents", f"""
+select doc_id, md5({tx.sql_unaccent('lower(text)')}) as h, length({tx.sql_unaccent('lower(text)')}) as n
+from documents where lang in ('fr', 'de', 'es')
+""")
+def q_unaccent(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es"))
+    u = tx.unaccent(F.lower(F.col("text")))
+    return d.select("doc_id", F.md5(u).alias("h"), F.length(u).cast("long").alias("n"))
+
+
+@query("J1_match_exact", with_views(f"""
+select source_item, min(target_item) as target_item from p1 group by source_item
+""", "CAT_A", "CAT_B", extra=f"p1 as ({_STAGE1})"))
+def q_match_exact(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m, _, _ = mt.match_exact(a, b)
+    return m.select("source_item", "target_item")
+
+
+@query("J2_unmatched", with_views("""
+select 'source' as side, item_id from a1 union all select 'target' as side, item_id from b1
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES))
+def q_unmatched(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    _, a1, b1 = mt.match_exact(a, b)
+    return (a1.select(F.lit("source").alias("side"), "item_id")
+            .unionByName(b1.select(F.lit("target").alias("side"), "item_id")))
+
+
+@query("J3_match_raw_title", with_views("""
+select source_item, min(target_item) as target_item from p2 group by source_item
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES))
+def q_match_raw(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    _, a1, b1 = mt.match_exact(a, b)
+    m, _, _ = mt.match_raw_title(a1, b1)
+    return m.select("source_item", "target_item")
+
+
+@query("W7_minmax_by_source", with_views("""
+select sid as source_item, lev_min, lev_max from mm
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + "," + _PAIR_CTES))
+def q_minmax(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    _, a1, b1 = mt.match_exact(a, b)
+    _, a2, b2 = mt.match_raw_title(a1, b1)
+    sk = a2.select(F.col("item_id").alias("sid"), tx.raw_title_year(F.col("title")).alias("key"))
+    tk = b2.select(F.col("item_id").alias("tid"), tx.raw_title_year(F.col("title")).alias("key"))
+    st = mt.all_target_stats(sk, tk)
+    return st.select(F.col("sid").alias("source_item"), "lev_min", "lev_max")
+
+
+COS_LEV = (3.0, 0.0, 0.0, 0.0, 2.0)
+
+
+@query("J4_match_fuzzy_cos_lev", with_views("""
+select sid as source_item, tid as target_item, round(score, 6) as score from (
+  select sc.sid, sc.tid,
+         (3 * cosine + 2 * (case when lev_max > lev_min then (lev - lev_min) / (lev_max - lev_min) else 0 end)) / 5 as score,
+         row_number() over (partition by sc.sid order by
+           (3 * cosine + 2 * (case when lev_max > lev_min then (lev - lev_min) / (lev_max - lev_min) else 0 end)) / 5 desc,
+           sc.tid) as rn
+  from sc join mm using (sid)) x
+where rn = 1 and round(score, 4) > 0.75
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + "," + _PAIR_CTES))
+def q_fuzzy_cos_lev(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    _, a1, b1 = mt.match_exact(a, b)
+    _, a2, b2 = mt.match_raw_title(a1, b1)
+    m = mt.match_fuzzy(a2, b2, weights=COS_LEV)
+    return m.select("source_item", "target_item", r6(F.col("score")).alias("score"))
+
+
+@query("J5_match_items")
+def q_match_items(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m = mt.match_items(a, b)
+    return m.select("source_item", "target_item", "stage", r6(F.col("score")).alias("score"))
+
+
+@query("A8_mapping_coverage", with_views("""
+select count(distinct target_item) as n_mapped, (select count(*) from CAT_B) as n_items,
+       round(count(distinct target_item) / (select count(*) from CAT_B), 2) * 100 as coverage
+from (select source_item, target_item from p1 union all select source_item, target_item from p2) m
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES))
+def q_coverage(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m = mt.match_items(a, b, fuzzy=False)
+    return mt.mapping_coverage(m, b)
+
+
+@query("U2_merge_mapping", with_views("""
+select source_item, target_item from new_m
+union all
+select source_item, target_item from old_m where source_item not in (select source_item from new_m)
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
+old_m as (select source_item, min(target_item) as target_item from p1 where source_item % 3 <> 0 group by source_item),
+new_m as (select source_item, min(target_item) + 1 as target_item from p1 where source_item % 2 = 0 group by source_item)
+"""))
+def q_merge_mapping(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m, _, _ = mt.match_exact(a, b)
+    old = m.filter(F.col("source_item") % 3 != 0).select("source_item", "target_item")
+    new = m.filter(F.col("source_item") % 2 == 0).select("source_item", (F.col("target_item") + 1).alias("target_item"))
+    return mt.merge_mapping(old, new)
+
+
+@query("J6_solve_mapping", with_views("""
+select source_item, target_item, s.idx as source_idx, t.idx as target_idx
+from (select source_item, min(target_item) as target_item from p1 group by source_item) m
+join (select item_id, row_number() over (order by item_id) - 1 as idx from RAT_I) s on s.item_id = m.source_item
+join (select item_id, row_number() over (order by item_id) - 1 as idx from CAT_B) t on t.item_id = m.target_item
+""", "RAT", "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
+RAT_I as (select distinct item_id from RAT where item_id % 7 <> 0)
+"""))
+def q_solve_mapping(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m, _, _ = mt.match_exact(a, b)
+    rat = fx.ratings(spark, sf_dir).filter(F.col("item_id") % 7 != 0)
+    s_idx = splits.build_index(rat, "item_id")
+    t_idx = splits.build_index(b, "item_id")
+    return mt.solve_mapping(m.select("source_item", "target_item"), s_idx, t_idx)
+
+
+_PAIRS_SQL = f"""
+pr as (select a.item_id as sid, b.item_id as tid, {tx.sql_raw_title_year('a.title')} as s_key,
+              {tx.sql_raw_title_year('b.title')} as t_key
+       from CAT_A a join CAT_B b on b.item_id = a.item_id + 1000000)
+"""
+
+
+def _pairs(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    return (a.select(F.col("item_id").alias("sid"), tx.raw_title_year(F.col("title")).alias("s_key"))
+            .join(b.select((F.col("item_id") - 1000000).alias("sid"), F.col("item_id").alias("tid"),
+                           tx.raw_title_year(F.col("title")).alias("t_key")), "sid"))
+
+
+@query("C7_C9_pair_similarity", with_views("""
+select sid, tid, greatest(length(s_key), length(t_key)) - levenshtein(s_key, t_key) as lev,
+       round(jaro_similarity(s_key, t_key), 6) as jaro, round(jaro_winkler_similarity(s_key, t_key), 6) as jaro_winkler
+from pr
+""", "CAT_A", "CAT_B", extra=_PAIRS_SQL))
+def q_pair_similarity(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    s, t = F.col("s_key"), F.col("t_key")
+    return p.select("sid", "tid", sim.levenshtein_similarity(s, t).alias("lev"),
+                    r6(sim.jaro(s, t)).alias("jaro"), r6(sim.jaro_winkler(s, t)).alias("jaro_winkler"))
+
+
+@query("C8_indel_similarity")
+def q_indel(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("sid", "tid", sim.indel_similarity(F.col("s_key"), F.col("t_key")).alias("indel"))
+
+
+@query("C6_cosine", with_views("""
+select pr.sid, pr.tid, round(coalesce(d.d / (ns.n * nt.n), 0), 6) as cosine
+from pr left join dots d using (sid, tid) left join ns using (sid) left join nt using (tid)
+""", "CAT_A", "CAT_B", extra=_PAIRS_SQL + """,
+sk as (select sid, s_key as key from pr), tk as (select tid, t_key as key from pr),
+ts as (select sid, tok, count(*) as c from (select sid, unnest(regexp_extract_all(key, '[\\p{L}\\p{N}_]+')) as tok from sk) x group by sid, tok),
+tt as (select tid, tok, count(*) as c from (select tid, unnest(regexp_extract_all(key, '[\\p{L}\\p{N}_]+')) as tok from tk) x group by tid, tok),
+ns as (select sid, sqrt(sum(c * c)) as n from ts group by sid),
+nt as (select tid, sqrt(sum(c * c)) as n from tt group by tid),
+dots as (select sid, tid, sum(ts.c * tt.c) as d from pr join ts using (sid) join tt using (tid, tok) group by sid, tid)
+"""))
+def q_cosine(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    tok_s = mt.token_table(p.select("sid", F.col("s_key").alias("key")), "sid")
+    tok_t = mt.token_table(p.select("tid", F.col("t_key").alias("key")), "tid")
+    c = mt.cosine_pairs(p.select("sid", "tid"), tok_s, tok_t)
+    return c.select("sid", "tid", r6(F.col("cosine")).alias("cosine"))
