@@ -402,3 +402,222 @@ def q_cosine(spark, sf_dir):
     tok_t = mt.token_table(p.select("tid", F.col("t_key").alias("key")), "tid")
     c = mt.cosine_pairs(p.select("sid", "tid"), tok_s, tok_t)
     return c.select("sid", "tid", r6(F.col("cosine")).alias("cosine"))
+
+
+# ---------------------------------------------------------------- runs analytics
+from warmstart.operators import runs as ru  # noqa: E402
+
+_NESTED_CTES = """
+vl as (select run_id, list(val_loss order by epoch) as val_loss from RUN_METRICS group by run_id),
+r0 as (select RUNS.*, vl.val_loss from RUNS left join vl using (run_id)
+       where method is not null and coalesce(is_complete, true)),
+r1 as (select run_id,
+              case when dataset = 'ExplicitML100kLeakage' then 'ExplicitMLTransfer' else dataset end as dataset,
+              case when method like 'Pretrained%' and instr(method, '_') > 0
+                   then 'Pretrained from ' || split_part(method, '_', 2) else method end as method,
+              init, lim, split, last_epoch, is_complete, val_loss from r0),
+r2 as (select * exclude (rn) from (select *, row_number() over (partition by dataset, method, lim, init, split order by run_id) as rn from r1) d where rn = 1),
+r3 as (select * replace (case when method = 'Pretrained from ML100kNegativeLeakage'
+                              then 'Pretrained from ML100kNegativeLeakage_random' else method end as method) from r2),
+r4 as (select *, case when dataset in ('ML100k', 'ML1M') then min(last_epoch) over (partition by dataset, method, lim, init)
+                      else min(last_epoch) over (partition by dataset, method, lim) end as last_epoch2 from r3),
+r5 as (select *, case when last_epoch2 >= 1 and last_epoch2 <= len(val_loss) then val_loss[last_epoch2] else val_loss[-1] end as rmse2 from r4),
+summ as (select dataset, method, init, lim, avg(rmse2) as rmse_mean, stddev_samp(rmse2) as rmse_std, count(rmse2) as count,
+                case init when 'random' then 0 when 'pca' then 1 when 'word2vec' then 2 end as init_order
+         from r5 group by dataset, method, init, lim
+         having lim in (0.0::double, 0.1::double, 0.2::double, 0.3::double, 0.4::double, 0.5::double, 0.6::double,
+                        0.7::double, 0.8::double, 0.9::double, 1.0::double) and init is not null)
+"""
+
+
+def _nested_runs(spark, sf_dir):
+    m = fx.run_metrics(spark, sf_dir)
+    return ru.with_results(fx.runs(spark, sf_dir, m), m)
+
+
+def _r6_cols(df, cols):
+    for c in cols:
+        df = df.withColumn(c, r6(F.col(c)))
+    return df
+
+
+@query("M11_analyze_runs", with_views("""
+select dataset, method, init, lim, round(rmse_mean, 6) as rmse_mean, round(rmse_std, 6) as rmse_std, count, init_order from summ
+""", "RUNS", extra=_NESTED_CTES))
+def q_analyze_runs(spark, sf_dir):
+    out = ru.analyze_runs(_nested_runs(spark, sf_dir))
+    return _r6_cols(out, ["rmse_mean", "rmse_std"])
+
+
+@query("P7_normalize_run_labels", with_views("""
+select run_id, dataset, method from r1
+""", "RUNS", extra=_NESTED_CTES))
+def q_normalize(spark, sf_dir):
+    r = ru.normalize_run_labels(ru.complete_runs(fx.runs(spark, sf_dir)))
+    return r.select("run_id", "dataset", "method")
+
+
+@query("W8_dedupe_runs", with_views("""
+select run_id from (select run_id, row_number() over (partition by method, init, lim order by run_id) as rn from r1) d where rn = 1
+""", "RUNS", extra=_NESTED_CTES))
+def q_dedupe(spark, sf_dir):
+    r = ru.normalize_run_labels(ru.complete_runs(fx.runs(spark, sf_dir)))
+    return ru.dedupe_runs(r, key=["method", "init", "lim"]).select("run_id")
+
+
+@query("J11_align_epoch", with_views("""
+select run_id, last_epoch2, round(rmse2, 6) as rmse2 from r5
+""", "RUNS", extra=_NESTED_CTES))
+def q_align(spark, sf_dir):
+    r = ru.dedupe_runs(ru.normalize_run_labels(ru.complete_runs(_nested_runs(spark, sf_dir))))
+    out = ru.align_epoch(r)
+    return out.select("run_id", "last_epoch2", r6(F.col("rmse2")).alias("rmse2"))
+
+
+@query("A9_min_epoch", with_views("""
+select dataset, method, lim, init, min(last_epoch) as min_epoch, grouping(dataset, method, lim, init) as level
+from RUNS group by grouping sets ((dataset, method, lim, init), (dataset, method, lim))
+""", "RUNS"))
+def q_min_epoch(spark, sf_dir):
+    return ru.min_epochs(fx.runs(spark, sf_dir)).select("dataset", "method", "lim", "init", "min_epoch",
+                                                          F.col("level").cast("long").alias("level"))
+
+
+@query("W9_early_stop_epoch", with_views("""
+select run_id, coalesce(min(case when stale >= 6 then epoch end), -1) as stop_epoch, count(*) as n_epochs from (
+  select *, row_number() over (partition by run_id, grp order by epoch) - 1 as stale from (
+    select *, sum(imp) over (partition by run_id order by epoch rows between unbounded preceding and current row) as grp from (
+      select *, case when best is null or val_loss < best then 1 else 0 end as imp from (
+        select run_id, epoch, val_loss,
+               min(val_loss) over (partition by run_id order by epoch rows between unbounded preceding and 1 preceding) as best
+        from RUN_METRICS) a) b) c) d
+group by run_id
+""", "RUN_METRICS"))
+def q_early_stop(spark, sf_dir):
+    out = ru.early_stop_epoch(fx.run_metrics(spark, sf_dir), patience=5)
+    return out.select("run_id", F.coalesce(F.col("stop_epoch"), F.lit(-1)).alias("stop_epoch"), "n_epochs")
+
+
+@query("W11_final_metrics", with_views("""
+select run_id, round(arg_max(val_loss, epoch), 6) as final_rmse, round(min(val_loss), 6) as best_rmse,
+       first(epoch order by val_loss, epoch) as best_epoch
+from RUN_METRICS group by run_id
+""", "RUN_METRICS"))
+def q_final(spark, sf_dir):
+    return _r6_cols(ru.final_metrics(fx.run_metrics(spark, sf_dir)), ["final_rmse", "best_rmse"])
+
+
+def _results_with_source(spark, sf_dir):
+    out = ru.analyze_runs(_nested_runs(spark, sf_dir))
+    return out.withColumn("source", F.regexp_extract("method", "^Pretrained from (.*)$", 1))
+
+
+@query("P9_report_scenarios", with_views("""
+select dataset, scenario, source, init, lim, round(rmse_mean, 6) as rmse_mean from (
+  select *, case when source <> 'Baseline' then source || ' to ' || upper(init[1]) || lower(init[2:]) else source end as scenario from (
+    select dataset, method, 'Baseline' as init, lim, rmse_mean, 'Baseline' as source from sr
+    where source = 'random' and lim = 0 and init = 'random'
+    union all
+    select dataset, method, init, lim, rmse_mean,
+           case source when 'random' then 'Random' when 'pca' then 'PCA' when 'word2vec' then 'Word2vec' else source end as source
+    from sr where lim = 1) u) v
+where init = 'random' or init = 'Baseline'
+""", "RUNS", extra=_NESTED_CTES + ", sr as (select *, regexp_extract(method, '^Pretrained from (.*)$', 1) as source from summ)"))
+def q_report(spark, sf_dir):
+    out = ru.report_scenarios(_results_with_source(spark, sf_dir))
+    return out.select("dataset", "scenario", "source", "init", "lim", r6(F.col("rmse_mean")).alias("rmse_mean"))
+
+
+@query("U1_union_results", with_views("""
+select case source when 'random' then 'Pretrained with Random' when 'pca' then 'Pretrained with PCA'
+                   when 'word2vec' then 'Pretrained with Word2Vec' end as method,
+       dataset, init, lim, round(rmse_mean, 6) as rmse_mean
+from sr
+""", "RUNS", extra=_NESTED_CTES + ", sr as (select *, regexp_extract(method, '^Pretrained from (.*)$', 1) as source from summ)"))
+def q_union(spark, sf_dir):
+    res = _results_with_source(spark, sf_dir)
+    tables = {s: res.filter(F.col("source") == s) for s in ru.INIT_LEVELS}
+    out = ru.union_results(tables)
+    return out.select("method", "dataset", "init", "lim", r6(F.col("rmse_mean")).alias("rmse_mean"))
+
+
+@query("A11_build_catalog", with_views("""
+select dataset as "group", init, method, lim, split, coalesce(is_complete, true) as is_complete,
+       concat_ws(chr(9), coalesce(cast(init as varchar), 'None'), coalesce(method, 'None'), cast(lim as varchar),
+                 cast(split as varchar)) as key
+from RUNS
+""", "RUNS"))
+def q_catalog(spark, sf_dir):
+    return ru.build_catalog(fx.runs(spark, sf_dir))
+
+
+@query("A11_catalog_summary", with_views("""
+select dataset as "group", count(*) as n_runs from RUNS group by dataset
+""", "RUNS"))
+def q_catalog_summary(spark, sf_dir):
+    return ru.catalog_summary(ru.build_catalog(fx.runs(spark, sf_dir)))
+
+
+_GRID_SQL = """
+grid as (select k.dataset, k.method, i.init, l.lim_i, s.split
+         from (select distinct dataset, method from RUNS) k,
+              (values ('random'), ('pca'), ('word2vec')) i(init), range(0, 11) l(lim_i), range(1, 6) s(split))
+"""
+
+
+def _grid(spark, sf_dir):
+    keys = fx.runs(spark, sf_dir).select("dataset", "method").distinct()
+    return ru.experiment_grid(keys)
+
+
+@query("J12_experiment_grid", with_views("""
+select dataset, method, init, lim_i, split from grid
+""", "RUNS", extra=_GRID_SQL))
+def q_grid(spark, sf_dir):
+    return _grid(spark, sf_dir).select("dataset", "method", "init", F.col("lim_i").cast("long").alias("lim_i"),
+                                       F.col("split").cast("long").alias("split"))
+
+
+@query("J13_pending_runs", with_views("""
+select g.dataset, g.method, g.init, g.lim_i, g.split,
+       case when r.done is null then 'never started' else 'halted' end as status,
+       case when r.done is null then -1 else r.halted_run end as halted_run
+from grid g left join (select dataset, method, init, cast(round(lim * 10) as bigint) as lim_i, split,
+                              max(cast(coalesce(is_complete, true) as int)) as done, min(run_id) as halted_run
+                       from RUNS group by all) r
+  on g.dataset = r.dataset and g.method = r.method and g.init = r.init and g.lim_i = r.lim_i and g.split = r.split
+where coalesce(r.done, 0) = 0
+""", "RUNS", extra=_GRID_SQL))
+def q_pending(spark, sf_dir):
+    p = ru.pending_runs(_grid(spark, sf_dir), fx.runs(spark, sf_dir))
+    return p.select("dataset", "method", "init", F.col("lim_i").cast("long").alias("lim_i"),
+                    F.col("split").cast("long").alias("split"), "status",
+                    F.coalesce(F.col("halted_run"), F.lit(-1)).alias("halted_run"))
+
+
+@query("J14_find_run", with_views("""
+select run_id, dataset, lim, split from RUNS where init = 'pca' and split = 3 and method = 'Pretrained from src_word2vec'
+""", "RUNS"))
+def q_find(spark, sf_dir):
+    r = ru.find_run(fx.runs(spark, sf_dir), init="pca", split=3, method="Pretrained from src_word2vec")
+    return r.select("run_id", "dataset", "lim", "split")
+
+
+@query("J15_eligible_groups", with_views("""
+select method || '/' || init as "group" from RUNS where coalesce(is_complete, true) group by method || '/' || init
+having max(case when lim = 0 and split = 1 and dataset = 'ML1M' then 1 else 0 end) = 1
+   and max(case when lim > 0 then 1 else 0 end) = 1
+""", "RUNS"))
+def q_eligible(spark, sf_dir):
+    r = (ru.complete_runs(fx.runs(spark, sf_dir))
+         .select(F.concat_ws("/", "method", "init").alias("group"),
+                 F.when((F.col("lim") == 0) & (F.col("split") == 1) & (F.col("dataset") == "ML1M"), "source")
+                 .when(F.col("lim") > 0, "target").otherwise("other").alias("kind")))
+    return ru.eligible_groups(r)
+
+
+@query("O1_sort_runs", with_views("""
+select run_id, dataset, split, init from RUNS order by dataset, split, init
+""", "RUNS"))
+def q_sort_runs(spark, sf_dir):
+    return ru.sort_runs(fx.runs(spark, sf_dir)).select("run_id", "dataset", "split", "init")
