@@ -621,3 +621,182 @@ select run_id, dataset, split, init from RUNS order by dataset, split, init
 """, "RUNS"))
 def q_sort_runs(spark, sf_dir):
     return ru.sort_runs(fx.runs(spark, sf_dir)).select("run_id", "dataset", "split", "init")
+
+
+# ---------------------------------------------------------------- factor models
+from warmstart.operators import factors as fa  # noqa: E402
+
+_TWO32 = "4294967296.0"
+
+
+def _sql_unit(key_expr: str) -> str:
+    return f"((('0x' || substr(md5({key_expr}), 1, 8))::BIGINT + 0.5) / {_TWO32})"
+
+
+def _sql_normal(prefix: str, sigma: float) -> str:
+    u1 = _sql_unit(f"{prefix} || ':a'")
+    u2 = _sql_unit(f"{prefix} || ':b'")
+    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}) * {sigma})"
+
+
+@query("M1_init_random", with_views(f"""
+select id, k, round({_sql_normal("'42:item:' || cast(id as varchar) || ':' || cast(k as varchar)", 0.1)}, 6) as v
+from (select distinct item_id as id from RAT) d, range(0, 16) t(k)
+""", "RAT"))
+def q_init_random(spark, sf_dir):
+    ids = fx.ratings(spark, sf_dir).select(F.col("item_id").alias("id"))
+    emb = fa.init_random(ids, 16, stddev=0.1, seed=SEED, side="item")
+    return emb.select("id", F.posexplode("vec").alias("k", "v")).select(
+        "id", F.col("k").cast("long").alias("k"), r6(F.col("v")).alias("v"))
+
+
+def _fac(spark, sf_dir, rat=None):
+    rat = rat if rat is not None else fx.ratings(spark, sf_dir)
+    return {(s, m): fx.factors(spark, sf_dir, s, m, rat) for s in ("user", "item") for m in (0, 1)}
+
+
+_PRED_CTE = """
+mu as (select avg(rating) as mu from RAT),
+pred as (select r.user_id, r.item_id, r.rating, u.vec::DOUBLE[] as pu, u.bias as bu, i.vec::DOUBLE[] as qi, i.bias as bi,
+                (select mu from mu) + u.bias + i.bias + list_inner_product(u.vec::DOUBLE[], i.vec::DOUBLE[]) as est
+         from RAT r join FAC0_USER u on u.id = r.user_id join FAC0_ITEM i on i.id = r.item_id)
+"""
+
+
+def _pred(spark, sf_dir):
+    rat = fx.ratings(spark, sf_dir)
+    f = _fac(spark, sf_dir, rat)
+    mu = rat.agg(F.avg("rating")).first()[0]
+    return fa.predict(rat, f[("user", 0)], f[("item", 0)], mu)
+
+
+@query("J8_predict", with_views("select user_id, item_id, round(est, 6) as est from pred",
+                                "RAT", "FAC0_USER", "FAC0_ITEM", extra=_PRED_CTE))
+def q_predict(spark, sf_dir):
+    return _pred(spark, sf_dir).select("user_id", "item_id", r6(F.col("est")).alias("est"))
+
+
+@query("A5_rmse_by_fold", with_views(f"""
+select ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 as fold, round(sqrt(avg(pow(rating - est, 2))), 6) as rmse
+from pred group by 1
+""", "RAT", "FAC0_USER", "FAC0_ITEM", extra=_PRED_CTE))
+def q_rmse(spark, sf_dir):
+    p = splits.kfold(_pred(spark, sf_dir), 5, SEED)
+    return stats.rmse(p, by=["fold"]).select(F.col("fold").cast("long").alias("fold"), r6(F.col("rmse")).alias("rmse"))
+
+
+@query("A6_regularized_loss", with_views("""
+select round(sum(pow(rating - est, 2) + 0.04 * (bu * bu + bi * bi + list_inner_product(pu, pu) + list_inner_product(qi, qi))), 4) as loss
+from pred
+""", "RAT", "FAC0_USER", "FAC0_ITEM", extra=_PRED_CTE))
+def q_loss(spark, sf_dir):
+    return fa.regularized_loss(_pred(spark, sf_dir), 0.04).select(F.round("loss", 4).alias("loss"))
+
+
+@query("M12_interpolate_params", with_views("""
+select a.id, round(list_sum(list_transform(list_zip(a.vec::DOUBLE[], b.vec::DOUBLE[]), lambda x: 0.7 * x[1] + 0.3 * x[2])), 6) as vsum,
+       round(0.7 * a.bias + 0.3 * b.bias, 6) as bias
+from FAC0_ITEM a join FAC1_ITEM b on a.id = b.id
+""", "RAT", "FAC0_ITEM", "FAC1_ITEM"))
+def q_interp_params(spark, sf_dir):
+    f = _fac(spark, sf_dir)
+    m = fa.interpolate_params(f[("item", 0)], f[("item", 1)], 0.3)
+    return m.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
+                    r6(F.col("bias")).alias("bias"))
+
+
+@query("A14_interpolate_rmse", with_views(f"""
+select split, k, round(alpha, 6) as alpha, round(sqrt(avg(pow(rating - est, 2))), 6) as rmse from (
+  select r.split, g.k, g.alpha, r.rating,
+         (select mu from mu) + (1 - g.alpha) * (u0.bias + i0.bias) + g.alpha * (u1.bias + i1.bias)
+         + list_inner_product(
+             list_transform(list_zip(u0.vec::DOUBLE[], u1.vec::DOUBLE[]), lambda x: (1 - g.alpha) * x[1] + g.alpha * x[2]),
+             list_transform(list_zip(i0.vec::DOUBLE[], i1.vec::DOUBLE[]), lambda x: (1 - g.alpha) * x[1] + g.alpha * x[2])) as est
+  from rs r
+  join FAC0_USER u0 on u0.id = r.user_id join FAC0_ITEM i0 on i0.id = r.item_id
+  join FAC1_USER u1 on u1.id = r.user_id join FAC1_ITEM i1 on i1.id = r.item_id,
+  (select k, k / 49.0 as alpha from range(0, 50) t(k)) g) x
+group by split, k, alpha
+""", "RAT", "FAC0_USER", "FAC0_ITEM", "FAC1_USER", "FAC1_ITEM", extra=f"""
+rs as (select *, case when ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 = 1 then 'test' else 'train' end as split from RAT),
+mu as (select avg(rating) as mu from rs where split = 'train')
+"""))
+def q_interp_rmse(spark, sf_dir):
+    rat = fx.ratings(spark, sf_dir)
+    f = _fac(spark, sf_dir, rat)
+    rs = splits.kfold(rat, 5, SEED).withColumn("split", F.when(F.col("fold") == 1, "test").otherwise("train"))
+    mu = rs.filter(F.col("split") == "train").agg(F.avg("rating")).first()[0]
+    out = fa.interpolate_rmse(rs, f[("user", 0)], f[("item", 0)], f[("user", 1)], f[("item", 1)], mu, n=50)
+    return out.select("split", F.col("k").cast("long").alias("k"), r6(F.col("alpha")).alias("alpha"),
+                      r6(F.col("rmse")).alias("rmse"))
+
+
+_GRAD_CTE = _PRED_CTE + """,
+e as (select *, rating - est as err from pred),
+gb_u as (select user_id as id, sum(err - 0.04 * bu) as gb from e group by user_id),
+gv_u as (select user_id as id, k, sum(err * qi[k] - 0.04 * pu[k]) as g from e, range(1, 65) t(k) group by user_id, k),
+gb_i as (select item_id as id, sum(err - 0.04 * bi) as gb from e group by item_id),
+gv_i as (select item_id as id, k, sum(err * pu[k] - 0.04 * qi[k]) as g from e, range(1, 65) t(k) group by item_id, k)
+"""
+
+
+def _grad_sql(side: str) -> str:
+    t = "FAC0_USER" if side == "user" else "FAC0_ITEM"
+    s = "u" if side == "user" else "i"
+    return f"""
+select f.id, round(sum(f.vec[t.k] + coalesce(0.001 * g.g, 0)), 6) as vsum,
+       round(sum(pow(f.vec[t.k] + coalesce(0.001 * g.g, 0), 2)), 6) as vsq,
+       round(any_value(f.bias) + 0.001 * coalesce(any_value(b.gb), 0), 6) as bias
+from {t} f cross join range(1, 65) t(k)
+left join gv_{s} g on g.id = f.id and g.k = t.k
+left join gb_{s} b on b.id = f.id
+group by f.id
+"""
+
+
+def _grad(spark, sf_dir):
+    rat = fx.ratings(spark, sf_dir)
+    f = _fac(spark, sf_dir, rat)
+    mu = rat.agg(F.avg("rating")).first()[0]
+    return fa.gradient_step(rat, f[("user", 0)], f[("item", 0)], mu, lr=0.001, reg=0.04)
+
+
+def _vec_summary(df):
+    return df.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
+                     r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)).alias("vsq"),
+                     r6(F.col("bias")).alias("bias"))
+
+
+@query("M6_gradient_step_users", with_views(_grad_sql("user"), "RAT", "FAC0_USER", "FAC0_ITEM", extra=_GRAD_CTE))
+def q_grad_users(spark, sf_dir):
+    return _vec_summary(_grad(spark, sf_dir)[0])
+
+
+@query("M6_gradient_step_items", with_views(_grad_sql("item"), "RAT", "FAC0_USER", "FAC0_ITEM", extra=_GRAD_CTE))
+def q_grad_items(spark, sf_dir):
+    return _vec_summary(_grad(spark, sf_dir)[1])
+
+
+@query("J9_transfer_items", with_views("""
+select t.id, coalesce(s.svec, t.vec) is not null and s.svec is not null as transferred,
+       round(list_sum(coalesce(s.svec, t.vec::DOUBLE[])), 6) as vsum
+from tgt t left join (
+  select u.target_item, f.vec::DOUBLE[] as svec from (
+    select target_item, arg_max(source_item, rk) as source_item from (
+      select source_item, target_item, row_number() over (order by stage, source_item) - 1 as rk from mp) r
+    where rk < (select ceil(count(*) * 0.5) from tgt) group by target_item) u
+  join FAC0_ITEM f on f.id = u.source_item) s on s.target_item = t.id
+""", "RAT", "CAT_A", "CAT_B", "FAC0_ITEM", "FAC1_ITEM", extra=_LEFT_CTES + """,
+mp as (select source_item, min(target_item) as target_item, 1 as stage from p1 group by source_item
+       union all select source_item, min(target_item) as target_item, 2 as stage from p2 group by source_item),
+tgt as (select id + 1000000 as id, vec from FAC1_ITEM)
+"""))
+def q_transfer(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    rat = fx.ratings(spark, sf_dir)
+    f = _fac(spark, sf_dir, rat)
+    mapping = mt.match_items(a, b, fuzzy=False)
+    tgt = f[("item", 1)].withColumn("id", F.col("id") + 1000000)
+    n_items = tgt.count()
+    out, _ = fa.transfer_items(tgt, f[("item", 0)], mapping, n_items, 0.5)
+    return out.select("id", "transferred", r6(F.aggregate("vec", F.lit(0.0), lambda x, v: x + v)).alias("vsum"))
