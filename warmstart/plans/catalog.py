@@ -800,3 +800,82 @@ def q_transfer(spark, sf_dir):
     n_items = tgt.count()
     out, _ = fa.transfer_items(tgt, f[("item", 0)], mapping, n_items, 0.5)
     return out.select("id", "transferred", r6(F.aggregate("vec", F.lit(0.0), lambda x, v: x + v)).alias("vsum"))
+
+
+# ---------------------------------------------------------------- implicit feedback
+from warmstart.operators import implicit as im  # noqa: E402
+
+
+def _loo_sql(fold: int) -> str:
+    h = sql_hash_int(SEED, f"'{fold}'", "user_id", "item_id")
+    return f"""
+select user_id, item_id, n, case when rn = 1 then 'test' else 'train' end as split, {fold} as fold from (
+  select *, row_number() over (partition by user_id order by {h}, item_id) as rn,
+         count(*) over (partition by user_id) as cnt from IMPL) x
+where cnt > 1"""
+
+
+_NEG_CTE = f"""
+loo as ({_loo_sql(1)}),
+tr as (select user_id, item_id from loo where split = 'train'),
+te as (select user_id, item_id as pos_item from loo where split = 'test'),
+idx as (select item_id, row_number() over (order by item_id) - 1 as idx from (select distinct item_id from tr) d),
+nitems as (select count(*) as n from idx),
+draws as (select te.user_id, te.pos_item, g.j,
+                 ({sql_hash_int(SEED, 'te.user_id', 'te.pos_item', 'g.j')}) % (select n from nitems) as idx
+          from te, range(0, 3000) g(j)),
+ok as (select d.user_id, d.pos_item, d.j, i.item_id as neg_item from draws d join idx i on i.idx = d.idx
+       where i.item_id <> d.pos_item
+         and not exists (select 1 from tr where tr.user_id = d.user_id and tr.item_id = i.item_id)),
+neg as (select user_id, pos_item, j, neg_item from (
+          select user_id, pos_item, neg_item, row_number() over (partition by user_id, pos_item order by j) - 1 as j from ok) r
+        where j < 99)
+"""
+
+
+def _impl_fold1(spark, sf_dir):
+    loo = im.leave_one_out(fx.implicit(spark, sf_dir), SEED, 1, fold=1)
+    return loo.filter(F.col("split") == "train"), loo.filter(F.col("split") == "test")
+
+
+@query("W3_leave_one_out", with_views(f"select user_id, item_id, split from ({_loo_sql(1)}) l", "IMPL"))
+def q_loo(spark, sf_dir):
+    return im.leave_one_out(fx.implicit(spark, sf_dir), SEED, 1, fold=1).select("user_id", "item_id", "split")
+
+
+@query("M13_implicit_fold_stats", with_views(
+    "select fold, count(distinct user_id) as n_users, count(distinct item_id) as n_items, count(*) as n_ratings from ("
+    + " union all ".join(f"select * from ({_loo_sql(f)}) l{f}" for f in range(1, 6))
+    + ") x where split = 'train' group by fold", "IMPL"))
+def q_impl_stats(spark, sf_dir):
+    folds = im.loo_folds(fx.implicit(spark, sf_dir), 5, SEED, 1)
+    st = stats.dataset_stats(folds.filter(F.col("split") == "train"), by=["fold"])
+    return st.select(F.col("fold").cast("int").alias("fold"), "n_users", "n_items", "n_ratings")
+
+
+@query("U3_item_difference", with_views("""
+select te.user_id, te.pos_item, (select n from nitems) - coalesce(p.np, 0)
+       - case when exists (select 1 from tr where tr.user_id = te.user_id and tr.item_id = te.pos_item) then 0 else 1 end as n_allowed
+from te left join (select user_id, count(distinct item_id) as np from tr group by user_id) p using (user_id)
+""", "IMPL", extra=_NEG_CTE))
+def q_allowed(spark, sf_dir):
+    train, test = _impl_fold1(spark, sf_dir)
+    n_items = train.select("item_id").distinct().count()
+    return im.allowed_counts(test, train, n_items).select("user_id", "pos_item", F.col("n_allowed").cast("long"))
+
+
+@query("W10_negative_sample", with_views("select user_id, pos_item, j, neg_item from neg", "IMPL", extra=_NEG_CTE))
+def q_negatives(spark, sf_dir):
+    train, test = _impl_fold1(spark, sf_dir)
+    neg = im.negative_sample(test, train, 99, SEED)
+    return neg.select("user_id", "pos_item", F.col("j").cast("long").alias("j"), "neg_item")
+
+
+@query("K2_negatives_lines", with_views("""
+select user_id, pos_item, '(''' || user_id || ''', ''' || pos_item || ''')' || chr(9) ||
+       string_agg(cast(neg_item as varchar), chr(9) order by j) as line
+from neg group by user_id, pos_item
+""", "IMPL", extra=_NEG_CTE))
+def q_negative_lines(spark, sf_dir):
+    train, test = _impl_fold1(spark, sf_dir)
+    return im.negatives_lines(im.negative_sample(test, train, 99, SEED))
