@@ -879,3 +879,147 @@ from neg group by user_id, pos_item
 def q_negative_lines(spark, sf_dir):
     train, test = _impl_fold1(spark, sf_dir)
     return im.negatives_lines(im.negative_sample(test, train, 99, SEED))
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+from warmstart.session import scratch_path  # noqa: E402
+from warmstart.sources import readers as rd  # noqa: E402
+from warmstart.sources import writers as wr  # noqa: E402
+
+
+@query("S1_read_ratings", with_views("""
+select user_id, item_id, rating, cast(epoch(ts) as bigint) as ts from RAT
+""", "RAT"))
+def q_read_ratings(spark, sf_dir):
+    path = scratch_path(spark, "ratings-dat")
+    rat = fx.ratings(spark, sf_dir)
+    (rat.select("user_id", "item_id", "rating", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+     .write.mode("overwrite").option("sep", "::").csv(path))
+    return rd.read_ratings(spark, path, sep="::")
+
+
+@query("S2_read_items", with_views("select item_id, title from CAT_A", "CAT_A"))
+def q_read_items(spark, sf_dir):
+    path = scratch_path(spark, "u-item")
+    a = fx.catalog_a(spark, sf_dir)
+    (a.select("item_id", "title", F.lit("01-Jan-1995").alias("release"), F.lit("").alias("url"))
+     .write.mode("overwrite").option("sep", "|").option("encoding", "ISO-8859-1").csv(path))
+    return rd.read_items(spark, path, sep="|", encoding="ISO-8859-1")
+
+
+@query("S3_read_predefined_folds", with_views(f"""
+select r.user_id, r.item_id, r.rating, cast(epoch(r.ts) as bigint) as ts, f.fold,
+       case when ({sql_hash_int(SEED, 'r.user_id', 'r.item_id')}) % 5 + 1 = f.fold then 'test' else 'train' end as split
+from RAT r, range(1, 6) f(fold)
+""", "RAT"))
+def q_read_folds(spark, sf_dir):
+    base = scratch_path(spark, "ml100k-folds")
+    rat = fx.ratings(spark, sf_dir).select("user_id", "item_id", "rating",
+                                           F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+    long = splits.fold_long(splits.kfold(rat, 5, SEED), 5)
+    for k in range(1, 6):
+        for split, ext in (("train", "base"), ("test", "test")):
+            (long.filter((F.col("fold") == k) & (F.col("split") == split)).select("user_id", "item_id", "rating", "ts")
+             .write.mode("overwrite").option("sep", "\t").csv(f"{base}/u{k}.{ext}"))
+    out = rd.read_predefined_folds(spark, f"{base}/u*.*")
+    return out.select("user_id", "item_id", "rating", "ts", F.col("fold").cast("long").alias("fold"), "split")
+
+
+def write_sectioned(rat: DataFrame, path: str, n_files: int = 4) -> None:
+    """Sectioned layout (``<item>:`` then ``user,rating,date``), complete sections per file."""
+    lines = (rat.select("item_id", F.lit(1).alias("kind"), "user_id",
+                        F.concat_ws(",", F.col("user_id").cast("string"), F.col("rating").cast("int").cast("string"),
+                                    F.date_format("ts", "yyyy-MM-dd")).alias("value"))
+             .unionByName(rat.select("item_id").distinct()
+                          .select("item_id", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("user_id"),
+                                  F.concat(F.col("item_id").cast("string"), F.lit(":")).alias("value"))))
+    (lines.repartition(n_files, "item_id").sortWithinPartitions("item_id", "kind", "user_id")
+     .select("value").write.mode("overwrite").text(path))
+
+
+@query("S4_read_sectioned_ratings", with_views("""
+select user_id, item_id, rating, strftime(ts, '%Y-%m-%d') as day from RAT
+""", "RAT"))
+def q_read_sectioned(spark, sf_dir):
+    path = scratch_path(spark, "combined-data")
+    write_sectioned(fx.ratings(spark, sf_dir), path)
+    out = rd.read_sectioned_ratings(spark, path)
+    return out.select("user_id", "item_id", "rating", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
+@query("S6_read_titles_loose_csv", with_views("""
+select item_id, year, title || ', part ' || cast(item_id as varchar) || ', vol. ' || cast(year as varchar) as title from CAT_A
+""", "CAT_A"))
+def q_read_titles(spark, sf_dir):
+    path = scratch_path(spark, "movie-titles")
+    a = fx.catalog_a(spark, sf_dir)
+    line = F.concat_ws(",", F.col("item_id").cast("string"), F.col("year").cast("string"),
+                       F.concat(F.col("title"), F.lit(", part "), F.col("item_id").cast("string"),
+                                F.lit(", vol. "), F.col("year").cast("string")))
+    (a.select(line.alias("value")).write.mode("overwrite").option("sep", "\u0001").option("quote", "")
+     .option("escapeQuotes", False).option("encoding", "ISO-8859-1").csv(path))
+    out = rd.read_titles_loose_csv(spark, path)
+    return out.select("item_id", "year", "title")
+
+
+@query("S8_K1_triples_round_trip", with_views("select user_id, item_id, rating from RAT", "RAT"))
+def q_triples(spark, sf_dir):
+    path = scratch_path(spark, "train-rating")
+    wr.write_triples(fx.ratings(spark, sf_dir), path)
+    return rd.read_ratings_list(spark, path)
+
+
+@query("S8_K2_negatives_round_trip", with_views("select user_id, pos_item, j, neg_item from neg", "IMPL",
+                                               extra=_NEG_CTE))
+def q_negatives_rt(spark, sf_dir):
+    path = scratch_path(spark, "test-negatives")
+    train, test = _impl_fold1(spark, sf_dir)
+    wr.write_negatives(im.negatives_lines(im.negative_sample(test, train, 99, SEED)), path)
+    return rd.read_negatives(spark, path).select("user_id", "pos_item", F.col("j").cast("long").alias("j"), "neg_item")
+
+
+@query("S9_read_runs", with_views("""
+select run_id, dataset, method, init, lim, split, last_epoch, round(list_sum(vl.val_loss), 6) as vsum
+from RUNS join (select run_id, list(val_loss order by epoch) as val_loss from RUN_METRICS group by run_id) vl using (run_id)
+where method is not null and coalesce(is_complete, true)
+""", "RUNS"))
+def q_read_runs(spark, sf_dir):
+    path = scratch_path(spark, "runs")
+    nested = _nested_runs(spark, sf_dir)
+    cfg = nested.select(F.col("run_id").alias("run"), "dataset", F.col("split").alias("dataset_split"), "method",
+                        "init", F.col("lim").alias("limit"), "last_epoch", "is_complete", "results")
+    wr.write_run_configs(cfg, path)
+    out = rd.read_runs(spark, path, pattern="*/*.json")
+    return out.select(F.regexp_extract("run", r"=(\d+)$", 1).cast("int").alias("run_id"), "dataset", "method",
+                      "init", "lim", "split", F.col("last_epoch").cast("long").alias("last_epoch"),
+                      r6(F.aggregate("results.val_loss", F.lit(0.0), lambda a, v: a + v)).alias("vsum"))
+
+
+@query("K4_factors_round_trip", with_views("""
+select 'item' as side, id, round(list_sum(vec::DOUBLE[]), 6) as vsum, round(bias, 6) as bias from FAC0_ITEM
+union all
+select 'user' as side, id, round(list_sum(vec::DOUBLE[]), 6) as vsum, round(bias, 6) as bias from FAC0_USER
+""", "RAT", "FAC0_ITEM", "FAC0_USER"))
+def q_factors_rt(spark, sf_dir):
+    path = scratch_path(spark, "models")
+    f = _fac(spark, sf_dir)
+    wr.save_factors(f[("user", 0)], f[("item", 0)], path, "fac0", {"dim": 64})
+    wr.save_factors(f[("user", 1)], f[("item", 1)], path, "fac1", {"dim": 64})
+    u, i = wr.load_factors(spark, path, "fac0")
+    both = u.withColumn("side", F.lit("user")).unionByName(i.withColumn("side", F.lit("item")))
+    return both.select("side", "id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
+                       r6(F.col("bias")).alias("bias"))
+
+
+@query("K5_upsert_mapping", with_views("""
+select source_item, target_item from p1 where source_item % 2 = 0
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES))
+def q_upsert(spark, sf_dir):
+    path = scratch_path(spark, "mappings")
+    a, b = _cats(spark, sf_dir)
+    m, _, _ = mt.match_exact(a, b)
+    m = m.select("source_item", "target_item")
+    wr.upsert_mapping(m, path, "cat_a", "cat_b")
+    wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 1), path, "cat_a", "cat_c")
+    wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 0), path, "cat_a", "cat_b")  # replaces cat_b only
+    return wr.read_mapping(spark, path, "cat_a", "cat_b")
