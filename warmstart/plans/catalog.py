@@ -1023,3 +1023,98 @@ def q_upsert(spark, sf_dir):
     wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 1), path, "cat_a", "cat_c")
     wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 0), path, "cat_a", "cat_b")  # replaces cat_b only
     return wr.read_mapping(spark, path, "cat_a", "cat_b")
+
+
+# ---------------------------------------------------------------- learning (rows-only checks + tests)
+from warmstart.operators import embeddings as em  # noqa: E402
+from warmstart.operators import mf  # noqa: E402
+from warmstart.plans import transfer as tr  # noqa: E402
+
+
+def _rat_fold1(spark, sf_dir):
+    rs = splits.kfold(fx.ratings(spark, sf_dir), 5, SEED)
+    return rs.filter(F.col("fold") != 1), rs.filter(F.col("fold") == 1)
+
+
+@query("M2_init_svd")
+def q_svd(spark, sf_dir):
+    train, _ = _rat_fold1(spark, sf_dir)
+    return em.init_svd(train, 16, side="item", seed=SEED)
+
+
+@query("M3_init_word2vec")
+def q_w2v(spark, sf_dir):
+    train, _ = _rat_fold1(spark, sf_dir)
+    return em.init_word2vec(train, 16, window_size=5, seed=SEED)
+
+
+@query("M4_init_embeddings_dispatch", with_views(f"""
+select id, k, round({_sql_normal("'42:user:' || cast(id as varchar) || ':' || cast(k as varchar)", 0.1)}, 6) as v
+from (select distinct user_id as id from RAT) d, range(0, 16) t(k)
+""", "RAT"))
+def q_dispatch(spark, sf_dir):
+    rat = fx.ratings(spark, sf_dir)
+    emb = em.init_embeddings(rat, 16, "word2vec", side="user", seed=SEED)  # falls back to random users
+    return emb.select("id", F.posexplode("vec").alias("k", "v")).select(
+        "id", F.col("k").cast("long").alias("k"), r6(F.col("v")).alias("v"))
+
+
+@query("M7_epoch_metrics", with_views(f"""
+select split, round(sqrt(avg(pow(rating - est, 2))), 6) as rmse from (
+  select case when ({sql_hash_int(SEED, 'r.user_id', 'r.item_id')}) % 5 + 1 = 1 then 'test' else 'train' end as split,
+         r.rating, (select mu from mu) + u.bias + i.bias + list_inner_product(u.vec::DOUBLE[], i.vec::DOUBLE[]) as est
+  from RAT r join FAC0_USER u on u.id = r.user_id join FAC0_ITEM i on i.id = r.item_id) x
+group by split
+""", "RAT", "FAC0_USER", "FAC0_ITEM", extra=f"""
+mu as (select avg(rating) as mu from RAT where ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 <> 1)
+"""))
+def q_epoch_metrics(spark, sf_dir):
+    train, test = _rat_fold1(spark, sf_dir)
+    f = _fac(spark, sf_dir)
+    mu = train.agg(F.avg("rating")).first()[0]
+    a, b = mf.epoch_rmse(train, test, f[("user", 0)], f[("item", 0)], mu)
+    return spark.createDataFrame([("train", round(a, 6)), ("test", round(b, 6))], "split string, rmse double")
+
+
+@query("M5_fit_mf")
+def q_fit(spark, sf_dir):
+    train, test = _rat_fold1(spark, sf_dir)
+    users = fa.init_random(train.select(F.col("user_id").alias("id")), 16, 0.1, seed=SEED, side="user")
+    items = fa.init_random(train.select(F.col("item_id").alias("id")), 16, 0.1, seed=SEED, side="item")
+    res = mf.fit(train, users, items, test, epochs=3, lr=0.005, reg=0.04, blocks=8, seed=SEED)
+    return mf.run_metrics_table(spark, 0, res)
+
+
+@query("M8_checkpoint_resume")
+def q_resume(spark, sf_dir):
+    train, test = _rat_fold1(spark, sf_dir)
+    users = fa.init_random(train.select(F.col("user_id").alias("id")), 8, 0.1, seed=SEED, side="user")
+    items = fa.init_random(train.select(F.col("item_id").alias("id")), 8, 0.1, seed=SEED, side="item")
+    path = scratch_path(spark, "mf-state")
+    mf.fit(train, users, items, test, epochs=3, lr=0.005, blocks=4, path=path, checkpoint_every=1,
+           max_epochs_this_run=2)
+    res = mf.fit(train, users, items, test, epochs=3, lr=0.005, blocks=4, path=path, checkpoint_every=1)
+    return mf.run_metrics_table(spark, 0, res)
+
+
+@query("M9_train_source")
+def q_train_source(spark, sf_dir):
+    rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
+    rest = splits.split_users_disjoint(rat, SPLIT_TARGET, SEED).filter(F.col("part") == "rest").drop("part")
+    out = tr.train_source(rest, "pca", fold=1, dim=16, epochs=2, lr=0.005, blocks=8,
+                          path=scratch_path(spark, "source-model"))
+    return mf.run_metrics_table(spark, 0, out["result"])
+
+
+@query("M10_train_target")
+def q_train_target(spark, sf_dir):
+    rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
+    lab = splits.split_users_disjoint(rat, SPLIT_TARGET, SEED)
+    rest = lab.filter(F.col("part") == "rest").drop("part")
+    sample = (lab.filter(F.col("part") == "sample").drop("part")
+              .withColumn("item_id", F.col("item_id") + 1000000))  # target catalog ids
+    src = tr.train_source(rest, "random", fold=1, dim=16, epochs=1, lr=0.005, blocks=8)
+    a, b = _cats(spark, sf_dir)
+    out = tr.train_target(sample, b, a, src["result"].items, "src_random", init="random", limit=0.5, fold=1,
+                          dim=16, epochs=2, lr=0.005, blocks=8, mapping_path=scratch_path(spark, "mappings"))
+    return mf.run_metrics_table(spark, 0, out["result"])
