@@ -1118,3 +1118,182 @@ def q_train_target(spark, sf_dir):
     out = tr.train_target(sample, b, a, src["result"].items, "src_random", init="random", limit=0.5, fold=1,
                           dim=16, epochs=2, lr=0.005, blocks=8, mapping_path=scratch_path(spark, "mappings"))
     return mf.run_metrics_table(spark, 0, out["result"])
+
+
+# ---------------------------------------------------------------- single-operator entries
+from warmstart.plans import datasets as ds  # noqa: E402
+
+
+@query("S5_read_many", with_views("select user_id, item_id, rating from RAT", "RAT"))
+def q_read_many(spark, sf_dir):
+    base = scratch_path(spark, "combined-many")
+    rat = fx.ratings(spark, sf_dir)
+    for k in range(4):
+        write_sectioned(rat.filter(F.col("item_id") % 4 == k), f"{base}/combined_data_{k + 1}", n_files=1)
+    paths = [f"{base}/combined_data_{k + 1}" for k in range(4)]
+    return rd.read_sectioned_ratings(spark, paths).select("user_id", "item_id", "rating")
+
+
+_SPLIT_CTES = f"""
+core as (select * from RAT where user_id in (select user_id from RAT group by user_id having count(*) >= 20)),
+cnt as (select user_id, count(*) as n, {H_USER} as h from core group by user_id),
+run as (select user_id, sum(n) over (order by h, user_id rows between unbounded preceding and current row) - n as before from cnt),
+sel as (select user_id from run where before < {SPLIT_TARGET})
+"""
+
+
+@query("K3_write_split", with_views("""
+select c.user_id, c.item_id, case when s.user_id is not null then 'sample' else 'rest' end as part
+from core c left join sel s using (user_id)
+""", "RAT", extra=_SPLIT_CTES))
+def q_write_split(spark, sf_dir):
+    path = scratch_path(spark, "leakage-split")
+    rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
+    wr.write_split(splits.split_users_disjoint(rat, SPLIT_TARGET, SEED).select("user_id", "item_id", "part"), path)
+    back = spark.read.schema("user_id long, item_id long, part string").option("header", True).csv(path)
+    return back.select("user_id", "item_id", "part")
+
+
+@query("K6_write_results", with_views("""
+select dataset, method, init, lim, round(rmse_mean, 6) as rmse_mean, count from summ
+""", "RUNS", extra=_NESTED_CTES))
+def q_write_results(spark, sf_dir):
+    path = scratch_path(spark, "results-csv")
+    res = ru.analyze_runs(_nested_runs(spark, sf_dir)).select("dataset", "method", "init", "lim",
+                                                               r6(F.col("rmse_mean")).alias("rmse_mean"), "count")
+    wr.write_results(res, path)
+    return (spark.read.schema("dataset string, method string, init string, lim double, rmse_mean double, count long")
+            .option("header", True).csv(path))
+
+
+@query("P5_mapped_only", with_views("""
+select user_id, item_id, rating from RAT where item_id in (select source_item from p1)
+""", "RAT", "CAT_A", "CAT_B", extra=_LEFT_CTES))
+def q_mapped_only(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m, _, _ = mt.match_exact(a, b)
+    return filters.mapped_only(fx.ratings(spark, sf_dir), m).select("user_id", "item_id", "rating")
+
+
+@query("P8_valid_limits", with_views("""
+select dataset, method, init, lim2 as lim, count(*) as n from (
+  select *, case when run_id % 7 = 0 then lim + 0.05 else lim end as lim2,
+            case when run_id % 11 = 0 then null else init end as init2 from RUNS) r
+where init2 is not null
+group by dataset, method, init, lim2
+having lim2 in (0.0::double, 0.1::double, 0.2::double, 0.3::double, 0.4::double, 0.5::double, 0.6::double,
+                0.7::double, 0.8::double, 0.9::double, 1.0::double)
+""", "RUNS"))
+def q_valid_limits(spark, sf_dir):
+    r = (fx.runs(spark, sf_dir)
+         .withColumn("lim", F.when(F.col("run_id") % 7 == 0, F.col("lim") + 0.05).otherwise(F.col("lim")))
+         .withColumn("init", F.when(F.col("run_id") % 11 == 0, F.lit(None)).otherwise(F.col("init"))))
+    g = r.groupBy("dataset", "method", "init", "lim").agg(F.count(F.lit(1)).alias("n"))
+    return ru.valid_limits(g)
+
+
+@query("A2_A3_fold_sparsity_mean", with_views(f"""
+select fold, round(1 - count(*) / (count(distinct item_id) * count(distinct user_id)), 6) as sparsity,
+       round(avg(rating), 6) as global_mean
+from (select *, ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 as fold from RAT) r group by fold
+""", "RAT"))
+def q_sparsity(spark, sf_dir):
+    k = splits.kfold(fx.ratings(spark, sf_dir), 5, SEED)
+    st = stats.dataset_stats(k, by=["fold"], extra=[F.avg("rating").alias("global_mean")])
+    return st.select(F.col("fold").cast("long").alias("fold"), r6(F.col("sparsity")).alias("sparsity"),
+                     r6(F.col("global_mean")).alias("global_mean"))
+
+
+@query("A7_adjacency", with_views("""
+select user_id, string_agg(cast(item_id as varchar) || ':' || cast(n as varchar), ',' order by item_id, n) as items
+from IMPL group by user_id
+""", "IMPL"))
+def q_adjacency(spark, sf_dir):
+    adj = stats.adjacency(fx.implicit(spark, sf_dir), "user_id", "item_id", "n")
+    return adj.select("user_id", F.concat_ws(",", F.transform("entries", lambda e: F.concat_ws(
+        ":", e["item_id"].cast("string"), e["n"].cast("string")))).alias("items"))
+
+
+@query("A12_rating_rows", with_views("""
+select user_id, string_agg(cast(item_id as varchar) || '=' || cast(cast(rating as int) as varchar), ',' order by item_id) as cells
+from RAT group by user_id
+""", "RAT"))
+def q_rating_rows(spark, sf_dir):
+    rows = stats.rating_rows(fx.ratings(spark, sf_dir))
+    ent = F.map_entries("cells")
+    return rows.select("user_id", F.concat_ws(",", F.transform(F.array_sort(ent), lambda e: F.concat_ws(
+        "=", e["key"].cast("string"), e["value"].cast("int").cast("string")))).alias("cells"))
+
+
+@query("A13_row_l2_normalize", with_views("""
+select item_id, user_id, round(rating / sqrt(sum(rating * rating) over (partition by item_id)), 6) as value from RAT
+""", "RAT"))
+def q_l2(spark, sf_dir):
+    out = stats.row_l2_normalize(fx.ratings(spark, sf_dir), "item_id", "rating", "value")
+    return out.select("item_id", "user_id", r6(F.col("value")).alias("value"))
+
+
+@query("A15_token_counts", with_views(f"""
+select item_id, token, count(*) as cnt from (
+  select item_id, unnest(regexp_extract_all({tx.sql_raw_title_year('title')}, '[\\p{{L}}\\p{{N}}_]+')) as token from CAT_A) t
+group by item_id, token
+""", "CAT_A"))
+def q_tokens(spark, sf_dir):
+    a = fx.catalog_a(spark, sf_dir).select("item_id", tx.raw_title_year(F.col("title")).alias("key"))
+    return stats.token_counts(a, "item_id", "key")
+
+
+@query("W2_kfold", with_views(f"""
+select user_id, item_id, ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 as fold from RAT
+""", "RAT"))
+def q_kfold(spark, sf_dir):
+    k = splits.kfold(fx.ratings(spark, sf_dir), 5, SEED)
+    return k.select("user_id", "item_id", F.col("fold").cast("long").alias("fold"))
+
+
+@query("W5_best_match", with_views("""
+select sid as source_item, tid as target_item from (
+  select sc.sid, sc.tid, row_number() over (partition by sc.sid order by
+           (3 * cosine + 2 * (case when lev_max > lev_min then (lev - lev_min) / (lev_max - lev_min) else 0 end)) / 5 desc,
+           sc.tid) as rn
+  from sc join mm using (sid)
+  where cosine >= 0.5833) x
+where rn = 1
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + "," + _PAIR_CTES))
+def q_best_match(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    _, a1, b1 = mt.match_exact(a, b)
+    _, a2, b2 = mt.match_raw_title(a1, b1)
+    scored = mt.score_pairs(a2, b2, weights=COS_LEV).filter(F.col("cosine") >= 0.5833)
+    best = mt.best_match(scored)
+    return best.select(F.col("sid").alias("source_item"), F.col("tid").alias("target_item"))
+
+
+@query("W6_transfer_rank", with_views("""
+select source_item, target_item, stage, row_number() over (order by stage, source_item) - 1 as rank from mp
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
+mp as (select source_item, min(target_item) as target_item, 1 as stage from p1 group by source_item
+       union all select source_item, min(target_item) as target_item, 2 as stage from p2 group by source_item)
+"""))
+def q_transfer_rank(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m = mt.match_items(a, b, fuzzy=False).select("source_item", "target_item", "stage")
+    return mt.transfer_rank(m).select("source_item", "target_item", "stage", "rank")
+
+
+@query("X3_load_dataset", with_views("""
+select r.user_id, r.item_id, r.rating, a.title from RAT r join CAT_A a on a.item_id = r.item_id
+""", "RAT", "CAT_A"))
+def q_load_dataset(spark, sf_dir):
+    root = scratch_path(spark, "ml1m-layout")
+    rat = fx.ratings(spark, sf_dir)
+    (rat.select(F.concat_ws("::", F.col("user_id").cast("string"), F.col("item_id").cast("string"),
+                            F.col("rating").cast("int").cast("string"),
+                            F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")).alias("v"))
+     .write.mode("overwrite").text(f"{root}/ratings.dat"))
+    (fx.catalog_a(spark, sf_dir)
+     .select(F.concat_ws("::", F.col("item_id").cast("string"), "title", F.lit("Drama")).alias("v"))
+     .write.mode("overwrite").option("sep", "\u0001").option("quote", "").option("escapeQuotes", False)
+     .option("encoding", "ISO-8859-1").csv(f"{root}/movies.dat"))
+    ratings, items = ds.load_dataset(spark, "ml1m", root)
+    return ratings.join(items, "item_id").select("user_id", "item_id", "rating", "title")
