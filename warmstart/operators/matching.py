@@ -43,6 +43,8 @@ DEFAULT_THRESHOLD = 0.75
 # Target strings per broadcast block of the all-options statistics.
 BLOCK_ROWS = 20000
 BLOCK_MAX_BYTES = 64 * 1024 * 1024
+# Sources per task of the all-target statistics (bounds one task's work).
+SOURCES_PER_TASK = 512
 
 MAPPING_COLS = ["source_item", "target_item", "stage", "score"]
 
@@ -92,31 +94,60 @@ def token_table(keys: DataFrame, id_col: str) -> DataFrame:
 
 
 def prefix_tokens(toks: DataFrame, freq: DataFrame, id_col: str, theta: float) -> DataFrame:
-    """Tokens of each title's prefix for cosine bound ``theta`` (frequency-ascending order)."""
+    """Prefix tokens of each title for cosine bound ``theta`` (frequency-ascending order), with
+    ``w`` (unit weight), ``suffix`` (squared norm from this token on) and ``tail`` (norm after it)."""
     w = (Window.partitionBy(id_col).orderBy("df", "token")
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     return (toks.join(freq, "token")
-            .withColumn("_suffix", F.sum(F.col("w") * F.col("w")).over(w))
-            .filter(F.col("_suffix") >= F.lit(theta * theta - 1e-9))
-            .select(id_col, "token"))
+            .withColumn("suffix", F.sum(F.col("w") * F.col("w")).over(w))
+            .filter(F.col("suffix") >= F.lit(theta * theta - 1e-9))
+            .withColumn("tail", F.sqrt(F.greatest(F.col("suffix") - F.col("w") * F.col("w"), F.lit(0.0))))
+            .select(id_col, "token", "df", "w", "suffix", "tail"))
+
+
+def token_maps(toks: DataFrame, id_col: str) -> DataFrame:
+    """One row per title: ``map<token, unit weight>`` (bounded by the title's token count)."""
+    return toks.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("m"))
 
 
 def cosine_pairs(pairs: DataFrame, tok_s: DataFrame, tok_t: DataFrame) -> DataFrame:
-    """Exact bag-of-words cosine of ``(sid, tid)`` pairs from their token tables."""
-    ts = tok_s.select("sid", "token", F.col("w").alias("ws"))
-    tt = tok_t.select("tid", "token", F.col("w").alias("wt"))
-    dots = (pairs.join(ts, "sid").join(tt, ["tid", "token"])
-            .groupBy("sid", "tid").agg(F.sum(F.col("ws") * F.col("wt")).alias("cosine")))
-    return pairs.join(dots, ["sid", "tid"], "left").fillna(0.0, ["cosine"])
+    """Exact bag-of-words cosine of ``(sid, tid)`` pairs: a map lookup per target token,
+    evaluated on the joined pair row (no per-token explosion of the pairs)."""
+    ms = token_maps(tok_s, "sid").withColumnRenamed("m", "ms")
+    mt_ = token_maps(tok_t, "tid").withColumnRenamed("m", "mt")
+    dot = F.aggregate(F.map_entries("mt"), F.lit(0.0),
+                      lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("ms", e["key"]), F.lit(0.0)))
+    j = pairs.join(ms, "sid", "left").join(mt_, "tid", "left")
+    return j.select(*pairs.columns, F.when(F.col("ms").isNull() | F.col("mt").isNull(), F.lit(0.0))
+                    .otherwise(dot).alias("cosine"))
+
+
+SUFFIX_LEVELS = 32
 
 
 def candidate_pairs(tok_s: DataFrame, tok_t: DataFrame, theta: float) -> DataFrame:
-    """Pairs sharing a prefix token; a superset of all pairs with cosine >= theta."""
+    """Pairs that may reach cosine ``theta``; a superset of all such pairs.
+
+    Let T be the first token (in frequency order) two titles share. T lies in both
+    prefixes, every other shared token comes after T in both titles, so
+    ``cos <= w_x(T) w_y(T) + tail_x(T) tail_y(T) <= sqrt(suffix_x(T) suffix_y(T))``.
+    The last bound goes into the join key: targets are bucketed by ``suffix`` and a
+    source probes only the buckets that can reach ``theta^2 / suffix``. A frequent
+    token therefore pairs only titles in which it carries enough of the weight; its
+    group is split by bucket. The positional bound filters the joined rows.
+    """
+    lv = SUFFIX_LEVELS
     freq = (tok_s.select("token").unionAll(tok_t.select("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     ps = prefix_tokens(tok_s, freq, "sid", theta)
     pt = prefix_tokens(tok_t, freq, "tid", theta)
-    return ps.join(pt, "token").select("sid", "tid").distinct()
+    level = lambda c: F.least(F.floor(c * lv), F.lit(lv - 1)).cast("int")
+    pt = pt.withColumn("lvl", level(F.col("suffix")))
+    lo = level(F.lit(theta * theta - 1e-9) / F.col("suffix"))
+    ps = ps.withColumn("lvl", F.explode(F.sequence(F.least(lo, F.lit(lv - 1)), F.lit(lv - 1))))
+    j = (ps.alias("x").join(pt.alias("y"), ["token", "lvl"])
+         .filter(F.col("x.w") * F.col("y.w") + F.col("x.tail") * F.col("y.tail") >= F.lit(theta - 1e-9)))
+    return j.select("sid", "tid").distinct()
 
 
 # ---------------------------------------------------------------- min-max statistics
@@ -137,6 +168,11 @@ def all_target_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int =
         return spark.createDataFrame([], _stats_schema())
     n_blocks = max(1, math.ceil(n_t / block_rows))
     blocked = tgt_keys.withColumn("_blk", F.pmod(hash_int(7, "tid"), F.lit(n_blocks)))
+    # The kernel is CPU-bound: spread the sources over enough tasks (a small
+    # catalog is often one file, i.e. one input partition).
+    n_s = src_keys.count()
+    tasks = max(spark.sparkContext.defaultParallelism * 2, math.ceil(n_s / SOURCES_PER_TASK))
+    src_keys = src_keys.select("sid", "key").repartition(tasks)
     parts = []
     for b in range(n_blocks):
         rows = blocked.filter(F.col("_blk") == b).select("key").collect()
@@ -155,7 +191,7 @@ def all_target_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int =
                                     "lev_min": mm[:, 0], "lev_max": mm[:, 1],
                                     "ind_min": mm[:, 2], "ind_max": mm[:, 3]})
 
-        parts.append(src_keys.select("sid", "key").mapInPandas(kernel, _stats_schema()))
+        parts.append(src_keys.mapInPandas(kernel, _stats_schema()))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionAll(p)
