@@ -882,7 +882,7 @@ def q_negative_lines(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources and sinks (round trips)
-from warmstart.session import scratch_path  # noqa: E402
+from warmstart.session import cut_lineage, scratch_path  # noqa: E402
 from warmstart.sources import readers as rd  # noqa: E402
 from warmstart.sources import writers as wr  # noqa: E402
 
@@ -1032,7 +1032,8 @@ from warmstart.plans import transfer as tr  # noqa: E402
 
 
 def _rat_fold1(spark, sf_dir):
-    rs = splits.kfold(fx.ratings(spark, sf_dir), 5, SEED)
+    # several jobs read the fold table (init, training, metrics): pin it once
+    rs = cut_lineage(splits.kfold(fx.ratings(spark, sf_dir), 5, SEED))
     return rs.filter(F.col("fold") != 1), rs.filter(F.col("fold") == 1)
 
 
