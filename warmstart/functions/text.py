@@ -83,8 +83,8 @@ def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:
 
 
 def clean_year(c: Column) -> Column:
-    """Null year -> 0, integer."""
-    return F.coalesce(c.cast("int"), F.lit(0))
+    """Null (or unparseable, e.g. the text ``NULL``) year -> 0, integer."""
+    return F.coalesce(c.try_cast("int"), F.lit(0))
 
 
 def scenario_label(source: Column, init: Column) -> Column:
