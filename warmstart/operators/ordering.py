@@ -63,3 +63,14 @@ def hashed_prefix_sum(df: DataFrame, hash_col: str, tie_col: str, weight_col: st
     return (keyed.join(F.broadcast(off_df), "_b")
             .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight_col).over(w), F.lit(0)))
             .drop("_b", "_off"))
+
+
+def positions_within(df: DataFrame, key: str, order_cols: list[str], name: str = "pos") -> DataFrame:
+    """0-based position of each row inside its ``key`` group in ``order_cols`` order.
+
+    Global position in ``(key, order...)`` order minus the position of the group's
+    first row: a group holding a third of all rows is spread over many range
+    partitions instead of being sorted by one task."""
+    g = global_index(df, [key] + list(order_cols), "_g")
+    first = g.groupBy(key).agg(F.min("_g").alias("_f"))
+    return g.join(first, key).withColumn(name, F.col("_g") - F.col("_f")).drop("_g", "_f")

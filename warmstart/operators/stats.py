@@ -38,20 +38,29 @@ def rmse(pred: DataFrame, by: list[str] | None = None, rating: str = "rating", e
         F.sqrt(F.avg(F.pow(F.col(rating) - F.col(est), 2))).alias("rmse"))
 
 
-def adjacency(df: DataFrame, key: str, other: str, value: str | None = None) -> DataFrame:
-    """Key -> sorted list of (other[, value]) (user->items or item->users).
+def adjacency(df: DataFrame, key: str, other: str, value: str | None = None, max_len: int = 1000) -> DataFrame:
+    """Key -> its (other[, value]) entries in ``other`` order, as pieces of at most ``max_len``.
+
+    ``(key, piece, entries)``: a key with more than ``max_len`` entries spans several
+    rows, so no row (and no task) holds an unbounded list."""
+    from warmstart.operators.ordering import positions_within
 
-    One row per key is the contract of this operator; the list of a hot key is as
-    long as its degree. Consumers that must scale past that use the long table.
-    """
     fields = [other] + ([value] if value else [])
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entries"))
+    pos = positions_within(df.select(key, *fields), key, fields, "_p")
+    return (pos.groupBy(key, F.floor(F.col("_p") / max_len).alias("piece"))
+            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entries")))
+
 
+def rating_rows(df: DataFrame, row: str = "user_id", col: str = "item_id", val: str = "rating",
+                max_len: int = 1000) -> DataFrame:
+    """Sparse rating-matrix rows ``(row, piece, cells map<col, val>)``, pieces of at most
+    ``max_len`` cells (last value wins on duplicate cells)."""
+    from warmstart.operators.ordering import positions_within
 
-def rating_rows(df: DataFrame, row: str = "user_id", col: str = "item_id", val: str = "rating") -> DataFrame:
-    """Sparse rating matrix rows ``row -> map(col -> val)`` (last value wins on duplicates)."""
     dedup = df.groupBy(row, col).agg(F.last(val).alias(val))
-    return dedup.groupBy(row).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, val)))).alias("cells"))
+    pos = positions_within(dedup, row, [col], "_p")
+    return (pos.groupBy(row, F.floor(F.col("_p") / max_len).alias("piece"))
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, val)))).alias("cells")))
 
 
 def row_l2_normalize(df: DataFrame, row: str, val: str = "rating", out: str = "value") -> DataFrame:

@@ -36,6 +36,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def _epoch_seconds(ts):
+    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session time zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts).cast("long")
+
+
 H_USER = sql_hash_int(SEED, "user_id")
 
 
@@ -893,7 +898,7 @@ select user_id, item_id, rating, cast(epoch(ts) as bigint) as ts from RAT
 def q_read_ratings(spark, sf_dir):
     path = scratch_path(spark, "ratings-dat")
     rat = fx.ratings(spark, sf_dir)
-    (rat.select("user_id", "item_id", "rating", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+    (rat.select("user_id", "item_id", "rating", _epoch_seconds(F.col("ts")).alias("ts"))
      .write.mode("overwrite").option("sep", "::").csv(path))
     return rd.read_ratings(spark, path, sep="::")
 
@@ -915,7 +920,7 @@ from RAT r, range(1, 6) f(fold)
 def q_read_folds(spark, sf_dir):
     base = scratch_path(spark, "ml100k-folds")
     rat = fx.ratings(spark, sf_dir).select("user_id", "item_id", "rating",
-                                           F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"))
+                                           _epoch_seconds(F.col("ts")).alias("ts"))
     long = splits.fold_long(splits.kfold(rat, 5, SEED), 5)
     for k in range(1, 6):
         for split, ext in (("train", "base"), ("test", "test")):
@@ -1206,24 +1211,30 @@ def q_sparsity(spark, sf_dir):
 
 
 @query("A7_adjacency", with_views("""
-select user_id, string_agg(cast(item_id as varchar) || ':' || cast(n as varchar), ',' order by item_id, n) as items
-from IMPL group by user_id
+select user_id, piece, string_agg(cast(item_id as varchar) || ':' || cast(n as varchar), ',' order by item_id, n) as items
+from (select *, cast(floor((row_number() over (partition by user_id order by item_id, n) - 1) / 40) as bigint) as piece
+      from IMPL) t
+group by user_id, piece
 """, "IMPL"))
 def q_adjacency(spark, sf_dir):
-    adj = stats.adjacency(fx.implicit(spark, sf_dir), "user_id", "item_id", "n")
-    return adj.select("user_id", F.concat_ws(",", F.transform("entries", lambda e: F.concat_ws(
-        ":", e["item_id"].cast("string"), e["n"].cast("string")))).alias("items"))
+    adj = stats.adjacency(fx.implicit(spark, sf_dir), "user_id", "item_id", "n", max_len=40)
+    return adj.select("user_id", F.col("piece").cast("long").alias("piece"),
+                      F.concat_ws(",", F.transform("entries", lambda e: F.concat_ws(
+                          ":", e["item_id"].cast("string"), e["n"].cast("string")))).alias("items"))
 
 
 @query("A12_rating_rows", with_views("""
-select user_id, string_agg(cast(item_id as varchar) || '=' || cast(cast(rating as int) as varchar), ',' order by item_id) as cells
-from RAT group by user_id
+select user_id, piece, string_agg(cast(item_id as varchar) || '=' || cast(cast(rating as int) as varchar), ',' order by item_id) as cells
+from (select *, cast(floor((row_number() over (partition by user_id order by item_id) - 1) / 25) as bigint) as piece
+      from RAT) t
+group by user_id, piece
 """, "RAT"))
 def q_rating_rows(spark, sf_dir):
-    rows = stats.rating_rows(fx.ratings(spark, sf_dir))
+    rows = stats.rating_rows(fx.ratings(spark, sf_dir), max_len=25)
     ent = F.map_entries("cells")
-    return rows.select("user_id", F.concat_ws(",", F.transform(F.array_sort(ent), lambda e: F.concat_ws(
-        "=", e["key"].cast("string"), e["value"].cast("int").cast("string")))).alias("cells"))
+    return rows.select("user_id", F.col("piece").cast("long").alias("piece"),
+                       F.concat_ws(",", F.transform(F.array_sort(ent), lambda e: F.concat_ws(
+                           "=", e["key"].cast("string"), e["value"].cast("int").cast("string")))).alias("cells"))
 
 
 @query("A13_row_l2_normalize", with_views("""
@@ -1290,7 +1301,7 @@ def q_load_dataset(spark, sf_dir):
     rat = fx.ratings(spark, sf_dir)
     (rat.select(F.concat_ws("::", F.col("user_id").cast("string"), F.col("item_id").cast("string"),
                             F.col("rating").cast("int").cast("string"),
-                            F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")).alias("v"))
+                            _epoch_seconds(F.col("ts")).cast("string")).alias("v"))
      .write.mode("overwrite").text(f"{root}/ratings.dat"))
     (fx.catalog_a(spark, sf_dir)
      .select(F.concat_ws("::", F.col("item_id").cast("string"), "title", F.lit("Drama")).alias("v"))
