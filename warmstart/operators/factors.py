@@ -113,12 +113,16 @@ def interpolate_rmse(ratings: DataFrame, users0: DataFrame, items0: DataFrame, u
     One scan aggregates them per ``by`` group (e.g. train/test); the ``n`` grid
     points are generated from the aggregated row with ``explode(sequence)``.
     """
-    def side(df, col, p, b):
-        return df.select(F.col("id").alias(col), F.col("vec").alias(p), F.col("bias").alias(b))
+    def both(m0, m1, col, v, b):
+        # the two models of one side are joined first (factor-sized), so the
+        # ratings take part in two joins, not four
+        return (m0.select(F.col("id").alias(col), F.col("vec").alias(f"{v}0"), F.col("bias").alias(f"{b}0"))
+                .join(m1.select(F.col("id").alias(col), F.col("vec").alias(f"{v}1"), F.col("bias").alias(f"{b}1")),
+                      col))
 
     j = (ratings.select(by, user, item, rating)
-         .join(side(users0, user, "p0", "bu0"), user).join(side(items0, item, "q0", "bi0"), item)
-         .join(side(users1, user, "p1", "bu1"), user).join(side(items1, item, "q1", "bi1"), item))
+         .join(both(users0, users1, user, "p", "bu"), user)
+         .join(both(items0, items1, item, "q", "bi"), item))
     p0q0, p1q1 = dot(F.col("p0"), F.col("q0")), dot(F.col("p1"), F.col("q1"))
     cross = dot(F.col("p0"), F.col("q1")) + dot(F.col("p1"), F.col("q0"))
     b0 = F.col("bu0") + F.col("bi0")
