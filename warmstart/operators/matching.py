@@ -285,8 +285,10 @@ def match_items(a: DataFrame, b: DataFrame, previous: DataFrame | None = None, w
     m2, a2, b2 = match_raw_title(a1, b1)
     stages += [m1, m2]
     if fuzzy:
-        # The leftovers feed several jobs of the fuzzy stage: pin them once.
-        a2, b2 = cut_lineage(a2), cut_lineage(b2)
+        # The leftovers feed several jobs of the fuzzy stage: pin both sides in one job.
+        left = cut_lineage(a2.withColumn("_side", F.lit(0)).unionByName(b2.withColumn("_side", F.lit(1))))
+        a2 = left.filter(F.col("_side") == 0).drop("_side")
+        b2 = left.filter(F.col("_side") == 1).drop("_side")
         stages.append(match_fuzzy(a2, b2, weights, threshold, stats))
     out = stages[0]
     for s in stages[1:]:
