@@ -26,7 +26,8 @@ def leave_one_out(df: DataFrame, seed: int = 42, min_n: int = 1, fold: int | Non
     """``split`` = test for one md5-chosen interaction per user, train for the rest.
 
     Users with ``min_n`` interactions or fewer are dropped from both sides. ``fold``
-    (optional) enters the key, so folds draw independently.
+    (optional) enters the key, so folds draw independently. An interaction is a
+    (user, item) pair: duplicate rows of the chosen pair go to test together.
     """
     keys = [F.lit(fold)] if fold is not None else []
     h = hash_int(seed, *keys, F.col(user), F.col(item))
