@@ -122,3 +122,20 @@ def test_coverage_and_solve(spark):
     idx_b = b.select("item_id").filter("item_id % 2 = 0").withColumn("idx", F.col("item_id"))
     solved = mt.solve_mapping(m, idx_a, idx_b)
     assert solved.filter("target_item % 2 = 1").count() == 0
+
+
+def test_one_to_one_keeps_best_source(spark):
+    a = spark.createDataFrame([(1, "red widget brand7 (1999)"), (2, "red widget brand7 x (1999)")],
+                              "item_id long, title string")
+    b = spark.createDataFrame([(10, "red widget brand7 z (1999)"), (11, "blue bolt (2001)")],
+                              "item_id long, title string")
+    many = {r["source_item"]: r["target_item"] for r in mt.match_items(a, b).collect()}
+    one = {r["source_item"]: r["target_item"] for r in mt.match_items(a, b, one_to_one=True).collect()}
+    assert set(many.values()) == {10} and len(many) == 2
+    assert list(one.values()) == [10] and len(one) == 1
+
+
+def test_normalize_all_titles(spark):
+    df = spark.createDataFrame([("Été & Co",)], "t string")
+    row = df.select(tx.raw_title(F.col("t")).alias("a"), tx.raw_title(F.col("t"), normalize_all=True).alias("b")).first()
+    assert row["a"] == "été & co" and row["b"] == "ete and co"

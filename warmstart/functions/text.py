@@ -66,15 +66,18 @@ def preprocess_title(c: Column) -> Column:
     return clean_special(unaccent(F.lower(c)))
 
 
-def raw_title(c: Column) -> Column:
-    """C4: cleaned text before the first ``" ("``; titles without one are only lower-cased."""
-    return F.when(F.instr(c, " (") > 0, preprocess_title(F.substring_index(c, " (", 1))).otherwise(F.lower(c))
+def raw_title(c: Column, normalize_all: bool = False) -> Column:
+    """C4: cleaned text before the first ``" ("``; titles without one are only lower-cased
+    (Q6), or cleaned as well with ``normalize_all``."""
+    other = preprocess_title(c) if normalize_all else F.lower(c)
+    return F.when(F.instr(c, " (") > 0, preprocess_title(F.substring_index(c, " (", 1))).otherwise(other)
 
 
-def raw_title_year(c: Column) -> Column:
+def raw_title_year(c: Column, normalize_all: bool = False) -> Column:
     """Text before the first ``" ("`` plus the last parenthetical (middle ones dropped), cleaned."""
     kept = F.concat(F.substring_index(c, " (", 1), F.lit(" ("), F.substring_index(c, " (", -1))
-    return F.when(F.instr(c, " (") > 0, preprocess_title(kept)).otherwise(F.lower(c))
+    other = preprocess_title(c) if normalize_all else F.lower(c)
+    return F.when(F.instr(c, " (") > 0, preprocess_title(kept)).otherwise(other)
 
 
 def parse_date(c: Column, fmt: str = "yyyy-MM-dd") -> Column:

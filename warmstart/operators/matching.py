@@ -261,16 +261,25 @@ def best_match(scored: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, threshold: float = DEFAULT_THRESHOLD,
-                stats: str = "all") -> DataFrame:
-    """Stage 3 mapping ``(source_item, target_item, stage=3, score)``; targets may repeat (Q12)."""
+                stats: str = "all", one_to_one: bool = False) -> DataFrame:
+    """Stage 3 mapping ``(source_item, target_item, stage=3, score)``.
+
+    A target may be the best match of several sources (Q12); with ``one_to_one`` only
+    the highest-scoring of them keeps it (ties: smallest source id)."""
     best = best_match(score_pairs(src, tgt, weights, threshold, stats))
-    return (best.filter(F.round("score", 4) > threshold)
-            .select(F.col("sid").alias("source_item"), F.col("tid").alias("target_item"),
-                    F.lit(3).alias("stage"), "score"))
+    out = (best.filter(F.round("score", 4) > threshold)
+           .select(F.col("sid").alias("source_item"), F.col("tid").alias("target_item"),
+                   F.lit(3).alias("stage"), "score"))
+    if one_to_one:
+        keep = out.groupBy("target_item").agg(
+            F.max_by("source_item", F.struct(F.col("score"), -F.col("source_item"))).alias("source_item"))
+        out = out.join(keep, ["target_item", "source_item"], "left_semi")
+    return out
 
 
 def match_items(a: DataFrame, b: DataFrame, previous: DataFrame | None = None, weights=DEFAULT_WEIGHTS,
-                threshold: float = DEFAULT_THRESHOLD, stats: str = "all", fuzzy: bool = True) -> DataFrame:
+                threshold: float = DEFAULT_THRESHOLD, stats: str = "all", fuzzy: bool = True,
+                one_to_one: bool = False) -> DataFrame:
     """The whole cascade. ``previous`` pairs are kept (stage 0) and their items skipped."""
     a = a.select("item_id", "title")
     b = b.select("item_id", "title")
@@ -289,7 +298,7 @@ def match_items(a: DataFrame, b: DataFrame, previous: DataFrame | None = None, w
         left = cut_lineage(a2.withColumn("_side", F.lit(0)).unionByName(b2.withColumn("_side", F.lit(1))))
         a2 = left.filter(F.col("_side") == 0).drop("_side")
         b2 = left.filter(F.col("_side") == 1).drop("_side")
-        stages.append(match_fuzzy(a2, b2, weights, threshold, stats))
+        stages.append(match_fuzzy(a2, b2, weights, threshold, stats, one_to_one))
     out = stages[0]
     for s in stages[1:]:
         out = out.unionByName(s)
