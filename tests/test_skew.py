@@ -81,3 +81,24 @@ def test_dsgd_with_hot_user(spark, skewed):
     assert res.loss[1] < res.loss[0]
     assert res.users.count() == train.select("user_id").distinct().count()
     assert isinstance(pd.__version__, str)
+
+
+@pytest.mark.parametrize("extra", [True, False])
+def test_hot_token_does_not_pair_everything(spark, extra):
+    """'the' is in every title. With 3-token titles it falls in the suffix; with 2-token
+    titles it is in the prefix but the suffix-norm buckets keep it from pairing titles."""
+    from warmstart.functions import similarity as sim
+    from warmstart.operators import matching as mt
+
+    n = 300
+    tail = (lambda i, c: f" {c}{i}") if extra else (lambda i, c: "")
+    src = spark.createDataFrame([(i, f"the w{i}{tail(i, 'z')}") for i in range(n)], "sid long, key string")
+    tgt = spark.createDataFrame([(i, f"the w{i}{tail(i, 'y')}") for i in range(n)], "tid long, key string")
+    theta = mt.cosine_bound(mt.DEFAULT_WEIGHTS, 0.75) - 1e-6
+    cands = mt.candidate_pairs(mt.token_table(src, "sid"), mt.token_table(tgt, "tid"), theta)
+    got = {(r["sid"], r["tid"]) for r in cands.collect()}
+    assert len(got) <= 2 * n  # not n * n
+    for i in range(0, n, 37):  # every true pair above the bound is kept
+        a, b = f"the w{i}{tail(i, 'z')}", f"the w{i}{tail(i, 'y')}"
+        if sim.cosine_py(a, b) >= theta:
+            assert (i, i) in got
