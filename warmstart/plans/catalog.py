@@ -1309,3 +1309,23 @@ def q_load_dataset(spark, sf_dir):
      .option("encoding", "ISO-8859-1").csv(f"{root}/movies.dat"))
     ratings, items = ds.load_dataset(spark, "ml1m", root)
     return ratings.join(items, "item_id").select("user_id", "item_id", "rating", "title")
+
+
+@query("C2_clean_special_documents", f"""
+select doc_id, md5({tx.sql_clean_special('lower(text)')}) as h, length({tx.sql_clean_special('lower(text)')}) as n
+from documents
+""")
+def q_clean_documents(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    c = tx.clean_special(F.lower(F.col("text")))
+    return d.select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
+
+
+@query("C3_preprocess_documents", f"""
+select doc_id, md5({tx.sql_preprocess_title('text')}) as h, length({tx.sql_preprocess_title('text')}) as n
+from documents
+""")
+def q_preprocess_documents(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    c = tx.preprocess_title(F.col("text"))
+    return d.select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
