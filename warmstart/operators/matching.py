@@ -17,7 +17,8 @@ ties) and accepts it when ``round(score, 4) > threshold``.
   bound must share a prefix token, so no accepted match is lost, and frequent
   tokens (a year, "the") mostly fall in suffixes: they do not produce all pairs.
 * Statistics. ``stats="all"`` (default, the reference's definition) computes the
-  per-source min/max over all leftover targets without materialising pairs:
+  per-source min/max over all leftover targets, for every source that has a
+  candidate (no other source can be accepted), without materialising pairs:
   targets are cut into blocks of bounded size, each block is broadcast, and one
   ``mapInPandas`` pass per block reduces every source to four numbers with a
   bit-parallel numpy kernel. The work is |sources| x |targets| character steps,
@@ -226,15 +227,21 @@ def score_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, thresho
     tk = tgt.select(F.col("item_id").alias("tid"), raw_title_year(F.col("title")).alias("key"))
     tok_s, tok_t = token_table(sk, "sid"), token_table(tk, "tid")
     cands = cosine_pairs(candidate_pairs(tok_s, tok_t, theta), tok_s, tok_t).filter(F.col("cosine") >= theta)
+    need_stats = bool(w["indel"] or w["levenshtein"])
+    if need_stats and stats == "all":
+        # read twice (which sources need statistics, then scoring): pin once
+        cands = cut_lineage(cands)
     pairs = (cands.join(sk.withColumnRenamed("key", "s_key"), "sid")
              .join(tk.withColumnRenamed("key", "t_key"), "tid"))
     sims = {"cosine": F.col("cosine")}
     for name in ("indel", "jaro", "jaro_winkler", "levenshtein"):
         if w[name]:
             pairs = pairs.withColumn(name, sim.metric(name)(F.col("s_key"), F.col("t_key")))
-    if w["indel"] or w["levenshtein"]:
+    if need_stats:
         if stats == "all":
-            st = all_target_stats(sk, tk)
+            # Only a source with a candidate can be accepted, and its statistics only
+            # scale its own candidates: the all-targets pass runs for those sources.
+            st = all_target_stats(sk.join(cands.select("sid").distinct(), "sid", "left_semi"), tk)
         elif stats == "candidates":
             st = (pairs.withColumn("_lev", sim.levenshtein_similarity(F.col("s_key"), F.col("t_key")))
                   .withColumn("_ind", sim.indel_similarity(F.col("s_key"), F.col("t_key")))
