@@ -148,12 +148,16 @@ def final_metrics(metrics: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- summaries
+def group_rmse(aligned: DataFrame) -> DataFrame:
+    """A10: mean, sample std and count of the aligned RMSE per (dataset, method, init, lim)."""
+    return (aligned.groupBy("dataset", "method", "init", "lim")
+            .agg(F.avg("rmse2").alias("rmse_mean"), F.stddev_samp("rmse2").alias("rmse_std"),
+                 F.count("rmse2").alias("count")))
+
+
 def summarize_runs(aligned: DataFrame) -> DataFrame:
-    """A10 + P8 + O2: mean, sample std and count of the aligned RMSE per configuration."""
-    g = (aligned.groupBy("dataset", "method", "init", "lim")
-         .agg(F.avg("rmse2").alias("rmse_mean"), F.stddev_samp("rmse2").alias("rmse_std"),
-              F.count("rmse2").alias("count")))
-    return init_ordinal(valid_limits(g))
+    """A10 + P8 + O2: the grouped RMSE on valid limits, with the init ordinal."""
+    return init_ordinal(valid_limits(group_rmse(aligned)))
 
 
 def analyze_runs(runs: DataFrame) -> DataFrame:

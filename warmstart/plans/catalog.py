@@ -1329,3 +1329,39 @@ def q_preprocess_documents(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
     c = tx.preprocess_title(F.col("text"))
     return d.select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
+
+
+@query("A10_group_rmse", with_views("""
+select dataset, method, init, lim, round(avg(rmse2), 6) as rmse_mean, round(stddev_samp(rmse2), 6) as rmse_std,
+       count(rmse2) as count
+from r5 group by dataset, method, init, lim
+""", "RUNS", extra=_NESTED_CTES))
+def q_group_rmse(spark, sf_dir):
+    r = ru.dedupe_runs(ru.normalize_run_labels(ru.complete_runs(_nested_runs(spark, sf_dir))))
+    r = r.withColumn("method", ru._map(F.col("method"), ru.METHOD_RENAMES))
+    return _r6_cols(ru.group_rmse(ru.align_epoch(r)), ["rmse_mean", "rmse_std"])
+
+
+@query("O2_init_ordinal", with_views("""
+select distinct init, case init when 'random' then 0 when 'pca' then 1 when 'word2vec' then 2 end as init_order
+from RUNS
+""", "RUNS"))
+def q_init_ordinal(spark, sf_dir):
+    return ru.init_ordinal(fx.runs(spark, sf_dir).select("init").distinct())
+
+
+@query("O3_limit_transfer", with_views("""
+select source_item, target_item, stage from (
+  select *, row_number() over (order by stage, source_item) - 1 as rk from mp) r
+where rk < (select ceil(count(*) * 0.3) from CAT_B)
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
+mp as (select source_item, min(target_item) as target_item, 1 as stage from p1 group by source_item
+       union all select source_item, min(target_item) as target_item, 2 as stage from p2 group by source_item)
+"""))
+def q_limit_transfer(spark, sf_dir):
+    import math
+
+    a, b = _cats(spark, sf_dir)
+    m = mt.match_items(a, b, fuzzy=False).select("source_item", "target_item", "stage")
+    n_emb = math.ceil(b.count() * 0.3)
+    return mt.transfer_rank(m).filter(F.col("rank") < n_emb).select("source_item", "target_item", "stage")
