@@ -9,7 +9,9 @@ from tests.conftest import SF
 # queries that build lazily (no write or count while being defined)
 LAZY = ["J10_split_users_disjoint", "P1_core_users", "P3_core_both", "A1_dataset_stats", "J7_restrict_test",
         "W3_leave_one_out", "M11_analyze_runs", "J13_pending_runs", "W9_early_stop_epoch", "J1_match_exact",
-        "J3_match_raw_title", "A9_min_epoch", "J12_experiment_grid", "M13_implicit_fold_stats"]
+        "J3_match_raw_title", "A9_min_epoch", "J12_experiment_grid", "M13_implicit_fold_stats",
+        "A10_group_rmse", "O2_init_ordinal", "W4_running_user_total", "U3_item_difference", "J8_predict",
+        "A13_row_l2_normalize", "A15_token_counts", "W2_kfold", "J15_eligible_groups", "P9_report_scenarios"]
 
 
 def test_registry_consistent():
@@ -40,5 +42,5 @@ def test_scan_prunes_columns(spark):
     for line in plan.splitlines():
         if "FileScan parquet" in line and "lineitem" in line:
             m = re.search(r"ReadSchema: struct<([^>]*)>", line)
-            assert m and set(x.split(":")[0] for x in m.group(1).split(",")) == {"l_orderkey", "l_partkey",
-                                                                               "l_quantity"}
+            read = set(x.split(":")[0] for x in m.group(1).split(",")) if m else None
+            assert read and read <= {"l_orderkey", "l_partkey", "l_quantity"}, read
