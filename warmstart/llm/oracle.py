@@ -1,3 +1,115 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# All token combinations of the labelled URLs are counted outright; a URL meets the rules by its own combinations.
+OP1 = rf"""
+with parts as (
+  select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+         coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '') as query
+  from pages),
+tokened as (
+  select *, list_sort(list_distinct(
+    ['host=' || x for x in string_split(host, '.') if x <> '']
+    || ['path=' || x for x in string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') if x <> '']
+    || ['query=' || split_part(x, '=', 1) for x in string_split(query, '&') if x <> ''])) as tokens
+  from parts),
+lab as (select doc_id, min(quality) as q from labels where quality is not null and doc_id is not null group by doc_id),
+known as (
+  select t.tokens, case when l.q = 0 then 'block' else 'allow' end as label
+  from tokened t join lab l on l.doc_id = try_cast(nullif(regexp_extract(t.path, '/([0-9]{{1,18}})', 1), '') as bigint)
+  where t.url is not null),
+n as (select count(*) as n from known),
+base as (select label, count(*) as labelled from known group by label),
+combos as (
+  select label, array_to_string([tokens[i] for i in range(1, len(tokens) + 1) if (m >> (i - 1)) & 1 = 1], '&') as name
+  from known, range(1, (1 << len(tokens))::bigint) r(m)),
+counted as (select name, count(*) as c, count(*) filter (label = 'allow') as allow, count(*) filter (label = 'block') as block
+            from combos group by name),
+sides as (select name, c, 'allow' as verdict, allow as k from counted union all select name, c, 'block', block from counted),
+rules as (
+  select name, verdict, k::double / c as confidence, k::double / n.n as support
+  from sides join base b on b.label = verdict, n
+  where k >= ceil(0.005::double * n.n) and k > 0 and k::double / c >= 0.6::double
+    and (k::double / c) / (b.labelled::double / n.n) >= 1.1::double),
+urls as (select distinct url, tokens from tokened where url is not null),
+hits as (
+  select u.url, r.* from (
+    select url, array_to_string([tokens[i] for i in range(1, len(tokens) + 1) if (m >> (i - 1)) & 1 = 1], '&') as name
+    from urls, range(1, (1 << len(tokens))::bigint) q(m)) u join rules r using (name)),
+best as (select * from (select *, row_number() over (partition by url order by confidence desc, support desc, name, verdict) as rn
+                        from hits) h where rn = 1),
+listed(verdict, rule, rhost, rpath) as (values
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+fit as (
+  select page_id, url, host, path, l.verdict, l.rule from tokened t
+  left join listed l on (t.host = l.rhost or ends_with(t.host, '.' || l.rhost)) and starts_with(t.path, l.rpath)),
+one as (select * from (select *, row_number() over (partition by page_id order by length(rule) desc nulls last) as rn from fit) f where rn = 1)
+select o.page_id, o.host, o.path, o.rule, coalesce(o.verdict, b.verdict, 'allow') as verdict, b.name as mined_rule, b.confidence
+from one o left join best b on b.url = o.url
+"""
+
+# Exact: all pairs that share a shingle, then the transitive closure.
+OP4 = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
+sets as (
+  select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                      else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end as s
+  from words),
+long as (select doc_id, unnest(s) as h from sets),
+sizes as (select doc_id, len(s) as n from sets),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from long a join long b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+sym as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, y from sym union select r.x, s.y from reach r join sym s on s.x = r.y),
+least_of as (select x as doc_id, min(y) as m from reach group by x)
+select s.doc_id, s.n::bigint as n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) as component_id,
+       s.doc_id = least(s.doc_id, coalesce(l.m, s.doc_id)) as kept
+from sizes s left join least_of l using (doc_id)
+"""
+
+OP5 = """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+most as (select html, max(page_id) as m from p where n >= 1000 group by html)
+select p.page_id, p.n::bigint as payload_bytes, sha1(p.html) as payload_digest,
+       case when m is null or m = p.page_id then 'response' else 'revisit' end as record_type,
+       case when m is null or m = p.page_id then null else m end as refers_to
+from p left join most on p.n >= 1000 and most.html = p.html
+"""
+
+OP10 = rf"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
+per as (select source, sum(size)::bigint as source_size from d group by source),
+placed as (
+  select *, 2.0::double * source_size as most,
+         list_extract([3.0::double, 1.0::double, 2.0::double], (row_number() over (order by source is null, encode(source)) - 1) % 3 + 1) as weight
+  from per),
+ordered as (
+  select *, row_number() over (order by most / weight, source is null, source) as rn,
+         sum(most) over (order by most / weight, source is null, source) - most as fixed,
+         sum(weight) over () - (sum(weight) over (order by most / weight, source is null, source) - weight) as open_weight,
+         1.5::double * sum(source_size) over () as total
+  from placed),
+-- the level with the sources before this one capped; the first that is not above its cap ends the sharing
+levels as (select *, (total - fixed) / open_weight as level from ordered),
+level as (select coalesce(arg_min(level, rn) filter (most > level * weight), arg_max(level, rn)) as level from levels),
+tgt as (select source, source_size, least(most, level.level * weight) as target from placed, level),
+split as (
+  select *, case when source_size > 0 then target / source_size else 0.0 end as copies from tgt),
+need as (select *, floor(copies) as whole, target - floor(copies) * source_size as need from split),
+ranked as (
+  select d.*, n.source_size, n.target, n.whole, n.need,
+         (('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, 'null') || ':' || d.size), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u
+  from d join need n on n.source is not distinct from d.source),
+run as (
+  select *, coalesce(sum(size) over (partition by source order by u, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  from ranked)
+select doc_id, size, source_size, target, ((whole + case when before + size / 2.0 <= need then 1 else 0 end) * size)::bigint as taken
+from run
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op4_near_dedup": OP4, "op5_warc": OP5, "op10_mixing": OP10}

@@ -30,7 +30,7 @@ def url_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, label): a page was made from the document whose number is in its path; its quality label decides."""
     doc = F.regexp_extract(url_filter.path(F.col("url")), "/([0-9]{1,18})", 1)
     lab = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    return (pages.select("url", F.expr("null").cast("string").alias("none"), doc.alias("doc")).filter("doc <> ''")
+    return (pages.select("url", doc.alias("doc")).filter("doc <> ''")
             .select("url", F.col("doc").cast("long").alias("doc_id")).join(lab, "doc_id")
             .select("url", F.when(F.col("q") == 0, "block").otherwise("allow").alias("label")))
 
@@ -105,7 +105,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def oracle_sql() -> dict[str, str]:
