@@ -184,7 +184,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, labelled: Column, max_row
     # ids are sent to the features: max_rows of them at most
     rows = feats.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     got = rows.select("x", "label").toPandas()
-    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), 2 * DIM + 1)
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, got["label"].to_numpy(dtype=float)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

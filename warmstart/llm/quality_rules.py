@@ -83,25 +83,25 @@ def _repeated(words: list[bytes]) -> tuple[int, int]:
     return len(ids), int((np.cumsum(covered)[:-1] > 0).sum())
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {s: [] for s in STATS}
         for _, _, buf, offs in A.slices(b.column(b.num_columns - 1)):
             heads = (buf & 0xC0) != 0x80  # of code points
             out["word_chars"].append(_per_row(heads & ~A.SPACES[buf], offs))
-            for name, flag in (("n_symbols", _IS_SYMBOL), ("n_upper", _IS_UPPER), ("n_marks", _IS_MARK)):
-                out[name].append(_per_row(flag[buf], offs))
+            for stat, flag in (("n_symbols", _IS_SYMBOL), ("n_upper", _IS_UPPER), ("n_marks", _IS_MARK)):
+                out[stat].append(_per_row(flag[buf], offs))
             raw, rows = buf.tobytes(), []
             for s, e in zip(offs[:-1], offs[1:]):
                 text = raw[s:e]
                 words = text.split()
                 lines = [x for x in text.split(b"\n") if x.strip()]
                 rows.append((len(words), len(lines) - len(set(lines)), len(lines), *_repeated(words)))
-            for name, x in zip(("n_words", "n_dup_lines", "n_lines", "n_distinct_words", "n_repeat_words"), zip(*rows)):
-                out[name].append(np.array(x, dtype=np.int64))
+            for stat, x in zip(("n_words", "n_dup_lines", "n_lines", "n_distinct_words", "n_repeat_words"), zip(*rows)):
+                out[stat].append(np.array(x, dtype=np.int64))
         if out["n_words"]:
             stats = pa.StructArray.from_arrays([pa.array(np.concatenate(out[s]), pa.int64()) for s in STATS], names=STATS)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], "stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], name])
 
 
 def with_statistics(rows: DataFrame, text: Column, out: str) -> DataFrame:
@@ -109,7 +109,7 @@ def with_statistics(rows: DataFrame, text: Column, out: str) -> DataFrame:
     (t,) = fresh(rows, "__text")
     stats = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
     return (rows.withColumn(t, text.cast("string"))
-            .mapInArrow(_statistics, T.StructType([*rows.schema.fields, T.StructField(out, stats)])))
+            .mapInArrow(lambda batches: _statistics(batches, out), T.StructType([*rows.schema.fields, T.StructField(out, stats)])))
 
 
 def feature(name: str, stats: Column) -> Column:
