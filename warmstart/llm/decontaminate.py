@@ -2,8 +2,8 @@
 
 Text becomes template words: white-space words with outer marks stripped and lower-cased, numbers, units after
 a number and names (capitalised words inside a sentence) replaced by typed placeholders. Benchmark
-templates are cut into windows of ``WINDOW`` words (an item with fewer words is one window), each with at
-least ``MIN_LITERAL`` words that are no placeholder unless the item has none such. Windows of all documents
+templates are cut into windows of ``WINDOW`` words (an item with fewer words is one window); those with fewer than
+``MIN_LITERAL`` words that are no placeholder (all words, if the window is shorter) say too little and are left out. Windows of all documents
 meet them by a hash join. Matches of one document and item on one diagonal (same distance between the
 two positions) are compared word by word: a slot is consistent if one benchmark value always stands for
 one document value. A document leaks an item if consistent matches cover at least ``MIN_COVER`` of
@@ -50,7 +50,7 @@ def template(text: Column) -> Column:
     """Template words of ``text``, in step with ``words_of``."""
     taken = text.contains(NUMBER) | text.contains(UNIT) | text.contains(NAME)
     clean = F.when(taken, F.regexp_replace(text, f"[{NUMBER}{UNIT}{NAME}]", "?")).otherwise(text)
-    digits = F.regexp_replace(clean, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
+    digits = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     units = F.regexp_replace(digits, rf"({NUMBER}\s?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
     numbers = F.when(text.rlike("[0-9]"), units).otherwise(clean)
     # the capital first: the look-behind is tried at capitals only
