@@ -19,36 +19,46 @@ WORD_PATTERN = r"[\p{L}\p{N}_]+"
 MULTI_LETTER = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ĳ", "ij")]
 SINGLE_LETTER = [("ø", "o"), ("đ", "d"), ("ð", "d"), ("ħ", "h"), ("ı", "i"), ("ł", "l"), ("ŧ", "t"), ("ŋ", "n")]
 
-# Characters kept by clean_special.
+# Cyrillic and Greek lower-case letters and their Latin spelling.
+OTHER_SCRIPTS = [
+    ("а", "a"), ("б", "b"), ("в", "v"), ("г", "g"), ("д", "d"), ("е", "e"), ("ж", "zh"), ("з", "z"), ("и", "i"), ("к", "k"),
+    ("л", "l"), ("м", "m"), ("н", "n"), ("о", "o"), ("п", "p"), ("р", "r"), ("с", "s"), ("т", "t"), ("у", "u"), ("ф", "f"),
+    ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ы", "y"), ("э", "e"), ("ю", "iu"), ("я", "ia"),
+    ("є", "ie"), ("і", "i"), ("ј", "j"), ("љ", "lj"), ("њ", "nj"), ("ћ", "tsh"), ("ђ", "dj"), ("џ", "dzh"), ("ґ", "g"),
+    ("α", "a"), ("β", "b"), ("γ", "g"), ("δ", "d"), ("ε", "e"), ("ζ", "z"), ("η", "e"), ("θ", "th"), ("ι", "i"), ("κ", "k"),
+    ("λ", "l"), ("μ", "m"), ("ν", "n"), ("ξ", "x"), ("ο", "o"), ("π", "p"), ("ρ", "r"), ("σ", "s"), ("ς", "s"), ("τ", "t"),
+    ("υ", "u"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ω", "o"),
+]
+
+# Code points whose letters are looked at: Latin with marks, Greek, Cyrillic, further Latin, full-width Latin.
+BLOCKS = [(0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000), (0xFF21, 0xFF5B)]
+
+# Fixed value: characters kept by clean_special.
 KEEP_CLASS = "[^a-zA-Z0-9 ().\\n]"
 
 
-def _decomposable_latin() -> tuple[str, str]:
-    """Rule-built table: every lower-case letter of U+00C0..U+024F whose compatibility
-    decomposition starts with an ASCII letter maps to that letter."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
-        ch = chr(cp)
-        if not ch.islower():
-            continue
-        base = unicodedata.normalize("NFKD", ch)[:1]
-        if base.isascii() and base.isalpha() and base != ch:
-            src.append(ch)
-            dst.append(base.lower())
-    for a, b in SINGLE_LETTER:
-        if a not in src:
-            src.append(a)
-            dst.append(b)
-    return "".join(src), "".join(dst)
+def _letters() -> tuple[str, str, list[tuple[str, str]]]:
+    """Rule-built tables: a lower-case letter of BLOCKS is spelled as the first character of its
+    compatibility decomposition, itself spelled by the fixed lists if it is not ASCII.
+    One-letter spellings go into a translation table, longer ones into a list of replacements."""
+    fixed = dict(SINGLE_LETTER + MULTI_LETTER + OTHER_SCRIPTS)
+    spelled = dict(fixed)
+    for first, last in BLOCKS:
+        for ch in map(chr, range(first, last)):
+            base = unicodedata.normalize("NFKD", ch)[:1]
+            if ch.islower() and ch not in fixed and (base in fixed or base.isascii() and base.isalpha()):
+                spelled[ch] = fixed.get(base, base.lower())
+    one = [(a, b) for a, b in spelled.items() if len(b) == 1]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), [(a, b) for a, b in spelled.items() if len(b) > 1]
 
 
-ACCENT_FROM, ACCENT_TO = _decomposable_latin()
+ACCENT_FROM, ACCENT_TO, LONGER = _letters()
 
 
 def unaccent(c: Column) -> Column:
-    """Transliterate accented Latin letters to ASCII (input already lower-cased)."""
+    """Spell accented Latin, Cyrillic and Greek letters in ASCII (input already lower-cased)."""
     out = F.translate(c, ACCENT_FROM, ACCENT_TO)
-    for a, b in MULTI_LETTER:
+    for a, b in LONGER:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -107,7 +117,7 @@ def _q(s: str) -> str:
 
 def sql_unaccent(e: str) -> str:
     out = f"translate({e}, {_q(ACCENT_FROM)}, {_q(ACCENT_TO)})"
-    for a, b in MULTI_LETTER:
+    for a, b in LONGER:
         out = f"replace({out}, {_q(a)}, {_q(b)})"
     return out
 

@@ -77,10 +77,14 @@ def transfer_items(target_items: DataFrame, source_items: DataFrame, mapping: Da
     order (W6); the first ``ceil(n_items * limit)`` entries are used (O3). With
     ``compat=True`` one more entry is used, as the reference's loop does (Q1).
     When two used entries share a target, the later one wins. Returns the new item
-    table (with a ``transferred`` flag) and ``n_emb``.
+    table (with a ``transferred`` flag) and ``n_emb``. A pair uses up budget only if its
+    source has a vector and its target is in the table.
     """
     n_emb = int(math.ceil(n_items * limit))
-    ranked = global_index(mapping.select("source_item", "target_item", "stage"), ["stage", "source_item"], "rank")
+    usable = (mapping.select("source_item", "target_item", "stage")
+              .join(source_items.select(F.col("id").alias("source_item")), "source_item", "left_semi")
+              .join(target_items.select(F.col("id").alias("target_item")), "target_item", "left_semi"))
+    ranked = global_index(usable, ["stage", "source_item"], "rank")
     cut = F.col("rank") <= n_emb if compat else F.col("rank") < n_emb
     used = (ranked.filter(cut).groupBy("target_item")
             .agg(F.max_by("source_item", "rank").alias("source_item")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warmstart.functions.seeded import hash_int
+from warmstart.operators.ordering import positions_within
 from warmstart.operators.splits import build_index
 from warmstart.session import cut_lineage
 
@@ -41,72 +42,108 @@ def leave_one_out(df: DataFrame, seed: int = 42, min_n: int = 1, fold: int | Non
 
 def loo_folds(df: DataFrame, k: int = 5, seed: int = 42, min_n: int = 1, user: str = "user_id",
               item: str = "item_id") -> DataFrame:
-    """M13 input: ``k`` leave-one-out splits as one long table with a ``fold`` column."""
-    out = None
-    for f in range(1, k + 1):
-        part = leave_one_out(df, seed, min_n, fold=f, user=user, item=item).withColumn("fold", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def allowed_counts(test: DataFrame, train: DataFrame, n_items: int, user: str = "user_id",
-                   item: str = "item_id") -> DataFrame:
-    """Per test row, the number of items that are neither train positives of the user nor the test item."""
-    pos = train.select(user, item).distinct()
-    n_pos = pos.groupBy(user).agg(F.count(F.lit(1)).alias("_np"))
+    """M13 input: ``k`` leave-one-out splits as one long table with a ``fold`` column.
+
+    One job over the table with an exploded fold; fold f is ``leave_one_out(fold=f)``."""
+    long = df.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    h = hash_int(seed, F.col("fold"), F.col(user), F.col(item))
+    per_user = (long.groupBy("fold", user)
+                .agg(F.count(F.lit(1)).alias("_n"), F.min_by(item, F.struct(h, F.col(item))).alias("_test"))
+                .filter(F.col("_n") > min_n))
+    return (long.join(per_user, ["fold", user])
+            .withColumn("split", F.when(F.col(item) == F.col("_test"), "test").otherwise("train"))
+            .drop("_n", "_test").select(*df.columns, "split", "fold"))
+
+
+def allowed_counts(test: DataFrame, train: DataFrame, n_items: int | DataFrame, user: str = "user_id",
+                   item: str = "item_id", fold: str | None = None) -> DataFrame:
+    """Per test row, the number of items that are neither train positives of the user nor the test item.
+
+    With ``fold`` all tables carry that column and ``n_items`` is a table (fold, n_items)."""
+    by = [fold] if fold else []
+    pos = train.select(*by, user, item).distinct()
+    n_pos = pos.groupBy(*by, user).agg(F.count(F.lit(1)).alias("_np"))
     in_train = pos.withColumn("_in", F.lit(1))
-    t = test.select(user, F.col(item).alias("pos_item"))
-    return (t.join(n_pos, user, "left")
-            .join(in_train.withColumnRenamed(item, "pos_item"), [user, "pos_item"], "left")
-            .select(user, "pos_item",
-                    (F.lit(n_items) - F.coalesce(F.col("_np"), F.lit(0)) - F.when(F.col("_in").isNull(), 1).otherwise(0))
+    t = test.select(*by, user, F.col(item).alias("pos_item"))
+    t = t.join(n_items, fold) if fold else t.withColumn("n_items", F.lit(n_items).cast("long"))
+    return (t.join(n_pos, [*by, user], "left")
+            .join(in_train.withColumnRenamed(item, "pos_item"), [*by, user, "pos_item"], "left")
+            .select(*by, user, "pos_item", "n_items",
+                    (F.col("n_items") - F.coalesce(F.col("_np"), F.lit(0)) - F.when(F.col("_in").isNull(), 1).otherwise(0))
                     .alias("n_allowed")))
 
 
 def negative_sample(test: DataFrame, train: DataFrame, n: int = 99, seed: int = 42, oversample: float = 1.3,
-                    max_rounds: int = 12, user: str = "user_id", item: str = "item_id") -> DataFrame:
+                    max_rounds: int = 12, dense: int = 16, user: str = "user_id", item: str = "item_id",
+                    fold: str | None = None) -> DataFrame:
     """``(user, pos_item, j, neg_item)``: ``n`` negatives per test row (``j`` = 0..n-1).
 
     The item universe is the set of train items. A row with no allowed item gets no
-    negatives (the reference would fail there).
+    negatives (the reference would fail there). Rows with fewer than one allowed item in
+    ``dense`` draw from the list of their allowed items instead of by rejection; these
+    lists are built for such users only, whose own interactions are about as many.
+    With ``fold`` every fold is sampled by itself, all of them in the same jobs.
+    Raises if rows are still short after ``max_rounds``.
     """
-    items = build_index(train, item, "idx")
-    n_items = items.count()
-    if n_items == 0:
-        raise ValueError("empty train set")
-    items = items.select(F.col(item).alias("neg_item"), "idx")
-    allowed = allowed_counts(test, train, n_items, user, item).filter(F.col("n_allowed") > 0)
+    by = [fold] if fold else []
+    if fold:
+        items = positions_within(train.select(fold, item).distinct(), fold, [item], "idx")
+        n_items = items.groupBy(fold).agg(F.count(F.lit(1)).alias("n_items"))
+    else:
+        items = build_index(train, item, "idx")
+        n_items = items.count()
+        if n_items == 0:
+            raise ValueError("empty train set")
+    items = items.select(*by, F.col(item).alias("neg_item"), "idx")
+    key = [*by, user, "pos_item"]
+    allowed = allowed_counts(test, train, n_items, user, item, fold).filter(F.col("n_allowed") > 0)
     # Draws needed for n survivors at this row's acceptance rate, with slack.
-    need = F.ceil(F.lit(n * oversample) * F.lit(n_items) / F.col("n_allowed")).cast("int") + F.lit(8)
-    rows = allowed.withColumn("_draws", need)
-    positives = train.select(F.col(user), F.col(item).alias("neg_item")).distinct()
-    rank_w = Window.partitionBy(user, "pos_item").orderBy("j")
+    need = F.ceil(F.lit(n * oversample) * F.col("n_items") / F.col("n_allowed")).cast("long") + F.lit(8)
+    few = F.col("n_allowed") * F.lit(dense) < F.col("n_items")
+    rows = allowed.filter(~few).withColumn("_draws", need)
+    positives = train.select(*by, user, F.col(item).alias("neg_item")).distinct()
+    listed = _from_complement(allowed.filter(few), items, positives, n, seed, user, by)
+    rank_w = Window.partitionBy(*key).orderBy("j")
 
     def survivors(r: DataFrame) -> DataFrame:
-        draws = (r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
-                 .withColumn("idx", F.pmod(hash_int(seed, F.col(user), F.col("pos_item"), F.col("j")),
-                                           F.lit(n_items))))
-        ok = (draws.join(items, "idx")
+        draws = (r.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
+                 .withColumn("idx", F.pmod(hash_int(seed, *map(F.col, key), F.col("j")), F.col("n_items"))))
+        ok = (draws.join(items, [*by, "idx"])
               .filter(F.col("neg_item") != F.col("pos_item"))
-              .join(positives, [user, "neg_item"], "left_anti"))
+              .join(positives, [*by, user, "neg_item"], "left_anti"))
         return (ok.withColumn("_r", F.row_number().over(rank_w) - 1).filter(F.col("_r") < n)
-                .select(user, "pos_item", F.col("_r").alias("j"), "neg_item"))
+                .select(*key, F.col("_r").cast("int").alias("j"), "neg_item"))
 
     # Each round is pinned: the loop's checks and the final union reuse it.
     done = cut_lineage(survivors(rows))
     result = done
     todo = rows
     for _ in range(max_rounds):
-        got = done.groupBy(user, "pos_item").agg(F.count(F.lit(1)).alias("_got"))
-        short = todo.join(got, [user, "pos_item"], "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < n)
+        got = done.groupBy(*key).agg(F.count(F.lit(1)).alias("_got"))
+        short = todo.join(got, key, "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < n)
         if short.limit(1).count() == 0:
-            return result
+            return result.unionByName(listed)
         # Rows still short are redone with four times the draws; their earlier
         # partial result is replaced (the draw sequence is the same, only longer).
         todo = short.select(*rows.columns).withColumn("_draws", F.col("_draws") * 4)
         done = cut_lineage(survivors(todo))
-        result = result.join(todo.select(user, "pos_item"), [user, "pos_item"], "left_anti").unionByName(done)
-    return result
+        result = result.join(todo.select(*key), key, "left_anti").unionByName(done)
+    raise RuntimeError(f"negative samples are still short after {max_rounds} rounds")
+
+
+def _from_complement(rows: DataFrame, items: DataFrame, positives: DataFrame, n: int, seed: int, user: str,
+                     by: list[str]) -> DataFrame:
+    """Draws for ``rows`` (user, pos_item, n_items, n_allowed) from the explicit list of allowed items."""
+    key = [*by, user, "pos_item"]
+    free = (rows.select(*by, user, "n_items").distinct()
+            .withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_items") - 1)))
+            .join(items, [*by, "idx"]).join(positives, [*by, user, "neg_item"], "left_anti").drop("n_items"))
+    place = Window.partitionBy(*key).orderBy("idx")
+    free = (rows.join(free, [*by, user]).filter(F.col("neg_item") != F.col("pos_item"))
+            .withColumn("_k", F.row_number().over(place).cast("long") - 1).select(*key, "_k", "neg_item"))
+    draws = (rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+             .withColumn("_k", F.pmod(hash_int(seed, *map(F.col, key), F.col("j")), F.col("n_allowed"))))
+    return draws.join(free, [*key, "_k"]).select(*key, F.col("j").cast("int").alias("j"), "neg_item")
 
 
 def negatives_lines(neg: DataFrame, user: str = "user_id") -> DataFrame:
@@ -122,14 +159,11 @@ def implicit_dataset(df: DataFrame, k: int = 5, seed: int = 42, n_neg: int = 99,
     """Per fold: leave-one-out train/test, fold statistics and negatives for the test rows."""
     from warmstart.operators.stats import dataset_stats
 
-    folds = loo_folds(df, k, seed, 1, user, item)
+    # every later job reads both sides of all folds: pin them once
+    folds = cut_lineage(loo_folds(df, k, seed, 1, user, item))
     meta = dataset_stats(folds.filter(F.col("split") == "train"), by=["fold"], user=user, item=item)
-    negs = None
-    for f in range(1, k + 1):
-        fd = folds.filter(F.col("fold") == f)
-        ng = negative_sample(fd.filter(F.col("split") == "test"), fd.filter(F.col("split") == "train"),
-                             n_neg, seed + f, user=user, item=item).withColumn("fold", F.lit(f))
-        negs = ng if negs is None else negs.unionByName(ng)
+    negs = negative_sample(folds.filter(F.col("split") == "test"), folds.filter(F.col("split") == "train"),
+                           n_neg, seed, user=user, item=item, fold="fold")
     return folds, meta, negs
 
 

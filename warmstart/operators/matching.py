@@ -19,8 +19,8 @@ ties) and accepts it when ``round(score, 4) > threshold``.
 * Statistics. ``stats="all"`` (default, the reference's definition) computes the
   per-source min/max over all leftover targets, for every source that has a
   candidate (no other source can be accepted), without materialising pairs:
-  targets are cut into blocks of bounded size, each block is broadcast, and one
-  ``mapInPandas`` pass per block reduces every source to four numbers with a
+  targets are cut into blocks of bounded size and sources into chunks, and one cogrouped
+  task per (block, chunk) reduces every source to four numbers with a
   bit-parallel numpy kernel. The work is |sources| x |targets| character steps,
   as in the reference; ``stats="candidates"`` is the linear, approximate mode
   (min/max over candidate pairs only).
@@ -39,11 +39,12 @@ from warmstart.functions.seeded import hash_int
 from warmstart.functions.text import WORD_PATTERN, raw_title, raw_title_year
 from warmstart.session import cut_lineage
 
+# Weights and threshold of the fuzzy score.
 DEFAULT_WEIGHTS = (3.0, 1.0, 0.0, 0.0, 1.0)  # cosine, indel, jaro, jaro_winkler, levenshtein
 DEFAULT_THRESHOLD = 0.75
-# Target strings per broadcast block of the all-options statistics.
+# Target strings per block of the all-options statistics, and their bytes.
 BLOCK_ROWS = 20000
-BLOCK_MAX_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 4 * 1024 * 1024
 # Sources per task of the all-target statistics (bounds one task's work).
 SOURCES_PER_TASK = 512
 
@@ -55,17 +56,22 @@ def match_on_key(a: DataFrame, b: DataFrame, key_a, key_b, stage: int):
     """Equi-join two catalogs ``(item_id, title)`` on a derived key.
 
     Returns ``(mapping, left_a, left_b)``. A source matching several targets keeps
-    the smallest target id (Q13). Every source and target that joined is removed
-    from the leftovers, as in the reference.
+    the smallest target id (Q13). Every source and target whose key occurs on the
+    other side is removed from the leftovers, as in the reference. The target side is
+    reduced to one row per key first, so a key shared by n sources and m targets makes
+    n rows, not n x m. Rows with a null or empty key (a title without any letter that
+    can be transliterated) match nothing and stay.
     """
-    ka = a.select(F.col("item_id").alias("source_item"), key_a.alias("_k"))
-    kb = b.select(F.col("item_id").alias("target_item"), key_b.alias("_k"))
-    pairs = ka.join(kb, "_k").select("source_item", "target_item")
-    mapping = (pairs.groupBy("source_item").agg(F.min("target_item").alias("target_item"))
+    ka = a.withColumn("_k", key_a)
+    kb = b.withColumn("_k", key_b)
+    real = F.col("_k") != ""
+    per_key = kb.filter(real).groupBy("_k").agg(F.min("item_id").alias("target_item"))
+    mapping = (ka.filter(real).select(F.col("item_id").alias("source_item"), "_k").join(per_key, "_k")
+               .groupBy("source_item").agg(F.min("target_item").alias("target_item"))
                .select("source_item", "target_item", F.lit(stage).alias("stage"),
                        F.lit(None).cast("double").alias("score")))
-    left_a = a.join(pairs.select(F.col("source_item").alias("item_id")), "item_id", "left_anti")
-    left_b = b.join(pairs.select(F.col("target_item").alias("item_id")), "item_id", "left_anti")
+    left_a = ka.join(per_key.select("_k"), "_k", "left_anti").select(*a.columns)
+    left_b = kb.join(ka.filter(real).select("_k").distinct(), "_k", "left_anti").select(*b.columns)
     return mapping, left_a, left_b
 
 
@@ -159,45 +165,34 @@ def _stats_schema():
 def all_target_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """W7 statistics over *all* targets: per source min/max of Levenshtein and Indel similarity.
 
-    Targets are hashed into blocks of about ``block_rows`` strings (size checked
-    before each broadcast); every block is one pass over the sources, reduced to
-    per-source partial min/max; the partials are merged by an aggregate.
+    Targets are hashed into blocks of about ``block_rows`` strings or ``BLOCK_BYTES`` bytes, sources into
+    chunks; every (block, chunk) pair is one cogrouped task that reduces its sources to four
+    numbers, and an aggregate merges the blocks. No string passes through the driver.
     """
     spark = src_keys.sparkSession
-    n_t = tgt_keys.count()
-    if n_t == 0:
-        return spark.createDataFrame([], _stats_schema())
-    n_blocks = max(1, math.ceil(n_t / block_rows))
-    blocked = tgt_keys.withColumn("_blk", F.pmod(hash_int(7, "tid"), F.lit(n_blocks)))
-    # The kernel is CPU-bound: spread the sources over enough tasks (a small
-    # catalog is often one file, i.e. one input partition).
+    size = F.sum(F.octet_length("key"))
+    n_t, t_bytes = tgt_keys.agg(F.count(F.lit(1)), size).first()
     n_s = src_keys.count()
-    tasks = max(spark.sparkContext.defaultParallelism * 2, math.ceil(n_s / SOURCES_PER_TASK))
-    src_keys = src_keys.select("sid", "key").repartition(tasks)
-    parts = []
-    for b in range(n_blocks):
-        rows = blocked.filter(F.col("_blk") == b).select("key").collect()
-        strings = [r["key"] or "" for r in rows]
-        size = sum(len(s) for s in strings) * 4
-        if size > BLOCK_MAX_BYTES:
-            raise ValueError(f"target block {b} is {size} bytes; lower block_rows")
-        bc = spark.sparkContext.broadcast(strings)
-
-        def kernel(batches, bc=bc):
-            blk = sim.TargetBlock(bc.value)
-            for pdf in batches:
-                keys = [k or "" for k in pdf["key"].tolist()]
-                mm = sim.block_minmax(keys, blk)
-                yield pd.DataFrame({"sid": pdf["sid"].astype("int64").values,
-                                    "lev_min": mm[:, 0], "lev_max": mm[:, 1],
-                                    "ind_min": mm[:, 2], "ind_max": mm[:, 3]})
-
-        parts.append(src_keys.mapInPandas(kernel, _stats_schema()))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionAll(p)
-    return allp.groupBy("sid").agg(F.min("lev_min").alias("lev_min"), F.max("lev_max").alias("lev_max"),
-                                   F.min("ind_min").alias("ind_min"), F.max("ind_max").alias("ind_max"))
+    if n_t == 0 or n_s == 0:
+        return spark.createDataFrame([], _stats_schema())
+    n_blocks = max(1, math.ceil(n_t / block_rows), math.ceil((t_bytes or 0) / BLOCK_BYTES))
+    n_chunks = max(1, math.ceil(n_s / SOURCES_PER_TASK))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    tgt = (tgt_keys.select("key", F.pmod(hash_int(7, "tid"), F.lit(n_blocks)).cast("int").alias("blk"))
+           .select("key", "blk", each(n_chunks, "chunk")))
+    src = (src_keys.select("sid", "key", F.pmod(hash_int(7, "sid"), F.lit(n_chunks)).cast("int").alias("chunk"))
+           .select("sid", "key", "chunk", each(n_blocks, "blk")))
+
+    def kernel(sp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
+        if not len(sp) or not len(tp):
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("sid", "lev_min", "lev_max", "ind_min", "ind_max")})
+        mm = sim.block_minmax([k or "" for k in sp["key"]], sim.TargetBlock([k or "" for k in tp["key"]]))
+        return pd.DataFrame({"sid": sp["sid"].astype("int64").values, "lev_min": mm[:, 0], "lev_max": mm[:, 1],
+                             "ind_min": mm[:, 2], "ind_max": mm[:, 3]})
+
+    parts = src.groupBy("blk", "chunk").cogroup(tgt.groupBy("blk", "chunk")).applyInPandas(kernel, _stats_schema())
+    return parts.groupBy("sid").agg(F.min("lev_min").alias("lev_min"), F.max("lev_max").alias("lev_max"),
+                                    F.min("ind_min").alias("ind_min"), F.max("ind_max").alias("ind_max"))
 
 
 def _scaled(x, lo, hi):

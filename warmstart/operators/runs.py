@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warmstart.functions.text import run_key, scenario_label
+from warmstart.session import cut_lineage
 
 # Datasets whose epoch alignment is per (dataset, method, limit, init).
 PER_INIT_DATASETS = ["ML100k", "ML1M"]
@@ -87,8 +88,20 @@ def init_ordinal(df: DataFrame, col: str = "init") -> DataFrame:
 
 
 def sort_runs(runs: DataFrame) -> DataFrame:
-    """O1: order by dataset, split, init."""
-    return runs.orderBy("dataset", "split", "init")
+    """O1: order by dataset, split, init; ties by ``run_id`` if there is one."""
+    return runs.orderBy("dataset", "split", "init", *(["run_id"] if "run_id" in runs.columns else []))
+
+
+def with_position(ordered: DataFrame, name: str = "pos") -> DataFrame:
+    """Place of each row of an ordered table, from 0: partition offset plus place inside the partition."""
+    tagged = cut_lineage(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("first")).orderBy("_pid").collect()
+    shifts, before = [], 0
+    for r in counts:  # one row per partition
+        shifts.append((r["_pid"], before - r["first"]))
+        before += r["n"]
+    shift = ordered.sparkSession.createDataFrame(shifts, "_pid int, _shift long")
+    return tagged.join(F.broadcast(shift), "_pid").withColumn(name, F.col("_mono") + F.col("_shift")).drop("_pid", "_mono", "_shift")
 
 
 # ---------------------------------------------------------------- epochs

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from warmstart.functions.seeded import hash_int
 from warmstart.operators.ordering import global_index, hashed_prefix_sum
 
-# Largest number of selected keys shipped to every task by a broadcast.
-BROADCAST_MAX_KEYS = 2_000_000
-
 
 def distinct_ids(df: DataFrame, col: str) -> DataFrame:
     """U4: unique ids."""
@@ -71,13 +68,11 @@ def split_users_disjoint(df: DataFrame, target_n: int, seed: int = 42, user: str
 
     Users are taken in shuffled order until at least ``target_n`` interactions are
     selected; the user that crosses the target is included. Raises when the table
-    has fewer than ``target_n`` interactions (the complement would be empty).
+    has no more than ``target_n`` interactions (the complement would be empty).
     """
+    check_split_size(df, target_n)
     totals = user_running_totals(df, seed, user)
     chosen = totals.filter(F.col("before") < target_n).select(user)
-    # Every chosen user brings at least one interaction, so the set has at most
-    # target_n keys: a proven bound for the broadcast.
-    chosen = F.broadcast(chosen) if target_n <= BROADCAST_MAX_KEYS else chosen
     flagged = chosen.withColumn("_in", F.lit(True))
     out = (df.join(flagged, user, "left")
            .withColumn(part_col, F.when(F.col("_in"), "sample").otherwise("rest")).drop("_in"))

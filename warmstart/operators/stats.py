@@ -54,10 +54,10 @@ def adjacency(df: DataFrame, key: str, other: str, value: str | None = None, max
 def rating_rows(df: DataFrame, row: str = "user_id", col: str = "item_id", val: str = "rating",
                 max_len: int = 1000) -> DataFrame:
     """Sparse rating-matrix rows ``(row, piece, cells map<col, val>)``, pieces of at most
-    ``max_len`` cells (last value wins on duplicate cells)."""
+    ``max_len`` cells (the latest value wins on duplicate cells, the largest without a ``ts``)."""
     from warmstart.operators.ordering import positions_within
 
-    dedup = df.groupBy(row, col).agg(F.last(val).alias(val))
+    dedup = df.groupBy(row, col).agg((F.max_by(val, F.struct("ts", val)) if "ts" in df.columns else F.max(val)).alias(val))
     pos = positions_within(dedup, row, [col], "_p")
     return (pos.groupBy(row, F.floor(F.col("_p") / max_len).alias("piece"))
             .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(col, val)))).alias("cells")))

@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 SEED = 42
-SPLIT_TARGET = 20000
+# The target set of a split holds a third of the interactions.
+SPLIT_SQL = "(select count(*) // 3 from core)"
 
 
 def query(name: str, sql: str | None = None):
@@ -44,10 +45,14 @@ def _epoch_seconds(ts):
 H_USER = sql_hash_int(SEED, "user_id")
 
 
+def split_target(rat: DataFrame) -> int:
+    return rat.count() // 3
+
+
 # ---------------------------------------------------------------- flagship
-def user_split_stats(spark: SparkSession, sf_dir: str, target_n: int = SPLIT_TARGET) -> DataFrame:
+def user_split_stats(spark: SparkSession, sf_dir: str, target_n: int | None = None) -> DataFrame:
     rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
-    labelled = splits.split_users_disjoint(rat, target_n, seed=SEED)
+    labelled = splits.split_users_disjoint(rat, target_n or split_target(rat), seed=SEED)
     st = stats.dataset_stats(labelled, by=["part"])
     return st.select("part", "n_users", "n_items", "n_ratings", r6(F.col("sparsity")).alias("sparsity"))
 
@@ -62,7 +67,7 @@ group by part
 core as (select * from RAT where user_id in (select user_id from RAT group by user_id having count(*) >= 20)),
 cnt as (select user_id, count(*) as n, {H_USER} as h from core group by user_id),
 run as (select user_id, sum(n) over (order by h, user_id rows between unbounded preceding and current row) - n as before from cnt),
-sel as (select user_id from run where before < {SPLIT_TARGET})
+sel as (select user_id from run where before < {SPLIT_SQL})
 """))(user_split_stats)
 
 
@@ -236,10 +241,10 @@ def q_title_keys(spark, sf_dir):
 
 @query("C1_unaccent_documents", f"""
 select doc_id, md5({tx.sql_unaccent('lower(text)')}) as h, length({tx.sql_unaccent('lower(text)')}) as n
-from documents where lang in ('fr', 'de', 'es')
+from documents
 """)
 def q_unaccent(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es"))
+    d = fx.table(spark, sf_dir, "documents")
     u = tx.unaccent(F.lower(F.col("text")))
     return d.select("doc_id", F.md5(u).alias("h"), F.length(u).cast("long").alias("n"))
 
@@ -307,6 +312,26 @@ def q_fuzzy_cos_lev(spark, sf_dir):
     return m.select("source_item", "target_item", r6(F.col("score")).alias("score"))
 
 
+@query("J5_match_items_cos_lev", with_views("""
+select source_item, min(target_item) as target_item, 1 as stage, null::double as score from p1 group by source_item
+union all
+select source_item, min(target_item) as target_item, 2 as stage, null::double as score from p2 group by source_item
+union all
+select sid, tid, 3 as stage, round(score, 6) from (
+  select sc.sid, sc.tid,
+         (3 * cosine + 2 * (case when lev_max > lev_min then (lev - lev_min) / (lev_max - lev_min) else 0 end)) / 5 as score,
+         row_number() over (partition by sc.sid order by
+           (3 * cosine + 2 * (case when lev_max > lev_min then (lev - lev_min) / (lev_max - lev_min) else 0 end)) / 5 desc,
+           sc.tid) as rn
+  from sc join mm using (sid)) x
+where rn = 1 and round(score, 4) > 0.75
+""", "CAT_A", "CAT_B", extra=_LEFT_CTES + "," + _PAIR_CTES))
+def q_match_items_cos_lev(spark, sf_dir):
+    a, b = _cats(spark, sf_dir)
+    m = mt.match_items(a, b, weights=COS_LEV)
+    return m.select("source_item", "target_item", "stage", r6(F.col("score")).alias("score"))
+
+
 @query("J5_match_items")
 def q_match_items(spark, sf_dir):
     a, b = _cats(spark, sf_dir)
@@ -330,14 +355,16 @@ select source_item, target_item from new_m
 union all
 select source_item, target_item from old_m where source_item not in (select source_item from new_m)
 """, "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
-old_m as (select source_item, min(target_item) as target_item from p1 where source_item % 3 <> 0 group by source_item),
-new_m as (select source_item, min(target_item) + 1 as target_item from p1 where source_item % 2 = 0 group by source_item)
+old_m as (select source_item, min(target_item) as target_item from p1 group by source_item),
+new_m as (select source_item, min(target_item) + 1 as target_item from p1
+          where source_item in (select item_id from CAT_A where year >= 2005) group by source_item)
 """))
 def q_merge_mapping(spark, sf_dir):
     a, b = _cats(spark, sf_dir)
     m, _, _ = mt.match_exact(a, b)
-    old = m.filter(F.col("source_item") % 3 != 0).select("source_item", "target_item")
-    new = m.filter(F.col("source_item") % 2 == 0).select("source_item", (F.col("target_item") + 1).alias("target_item"))
+    old = m.select("source_item", "target_item")
+    late = a.filter(F.col("year") >= 2005).select(F.col("item_id").alias("source_item"))
+    new = old.join(late, "source_item", "left_semi").select("source_item", (F.col("target_item") + 1).alias("target_item"))
     return mt.merge_mapping(old, new)
 
 
@@ -347,12 +374,12 @@ from (select source_item, min(target_item) as target_item from p1 group by sourc
 join (select item_id, row_number() over (order by item_id) - 1 as idx from RAT_I) s on s.item_id = m.source_item
 join (select item_id, row_number() over (order by item_id) - 1 as idx from CAT_B) t on t.item_id = m.target_item
 """, "RAT", "CAT_A", "CAT_B", extra=_LEFT_CTES + """,
-RAT_I as (select distinct item_id from RAT where item_id % 7 <> 0)
+RAT_I as (select item_id from RAT group by item_id having count(*) >= 20)
 """))
 def q_solve_mapping(spark, sf_dir):
     a, b = _cats(spark, sf_dir)
     m, _, _ = mt.match_exact(a, b)
-    rat = fx.ratings(spark, sf_dir).filter(F.col("item_id") % 7 != 0)
+    rat = filters.core_items(fx.ratings(spark, sf_dir), 20)
     s_idx = splits.build_index(rat, "item_id")
     t_idx = splits.build_index(b, "item_id")
     return mt.solve_mapping(m.select("source_item", "target_item"), s_idx, t_idx)
@@ -622,10 +649,12 @@ def q_eligible(spark, sf_dir):
 
 
 @query("O1_sort_runs", with_views("""
-select run_id, dataset, split, init from RUNS order by dataset, split, init
+select run_id, dataset, split, init, row_number() over (order by dataset, split, init, run_id) - 1 as pos from RUNS
 """, "RUNS"))
 def q_sort_runs(spark, sf_dir):
-    return ru.sort_runs(fx.runs(spark, sf_dir)).select("run_id", "dataset", "split", "init")
+    # the row's place in the sorted result, so that an unsorted one does not pass
+    out = ru.sort_runs(fx.runs(spark, sf_dir)).select("run_id", "dataset", "split", "init")
+    return ru.with_position(out)
 
 
 # ---------------------------------------------------------------- factor models
@@ -655,6 +684,12 @@ def q_init_random(spark, sf_dir):
         "id", F.col("k").cast("long").alias("k"), r6(F.col("v")).alias("v"))
 
 
+def _elements(df, *keys):
+    """One row per vector element: a permuted vector is another result."""
+    return (df.select(*keys, "bias", F.posexplode("vec").alias("k", "v"))
+            .select(*keys, F.col("k").cast("long").alias("k"), (r6(F.col("v")) + 0.0).alias("v"), r6(F.col("bias")).alias("bias")))
+
+
 def _fac(spark, sf_dir, rat=None):
     rat = rat if rat is not None else fx.ratings(spark, sf_dir)
     return {(s, m): fx.factors(spark, sf_dir, s, m, rat) for s in ("user", "item") for m in (0, 1)}
@@ -699,15 +734,18 @@ def q_loss(spark, sf_dir):
 
 
 @query("M12_interpolate_params", with_views("""
-select a.id, round(list_sum(list_transform(list_zip(a.vec::DOUBLE[], b.vec::DOUBLE[]), lambda x: 0.7 * x[1] + 0.3 * x[2])), 6) as vsum,
+select 'item' as side, a.id, t.k - 1 as k, round(0.7 * a.vec[t.k]::DOUBLE + 0.3 * b.vec[t.k]::DOUBLE, 6) + 0.0 as v,
        round(0.7 * a.bias + 0.3 * b.bias, 6) as bias
-from FAC0_ITEM a join FAC1_ITEM b on a.id = b.id
-""", "RAT", "FAC0_ITEM", "FAC1_ITEM"))
+from FAC0_ITEM a join FAC1_ITEM b on a.id = b.id cross join range(1, 65) t(k)
+union all
+select 'user' as side, a.id, t.k - 1 as k, round(0.7 * a.vec[t.k]::DOUBLE + 0.3 * b.vec[t.k]::DOUBLE, 6) + 0.0 as v,
+       round(0.7 * a.bias + 0.3 * b.bias, 6) as bias
+from FAC0_USER a join FAC1_USER b on a.id = b.id cross join range(1, 65) t(k)
+""", "RAT", "FAC0_ITEM", "FAC1_ITEM", "FAC0_USER", "FAC1_USER"))
 def q_interp_params(spark, sf_dir):
     f = _fac(spark, sf_dir)
-    m = fa.interpolate_params(f[("item", 0)], f[("item", 1)], 0.3)
-    return m.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
-                    r6(F.col("bias")).alias("bias"))
+    both = [fa.interpolate_params(f[(s, 0)], f[(s, 1)], 0.3).withColumn("side", F.lit(s)) for s in ("item", "user")]
+    return _elements(both[0].unionByName(both[1]), "side", "id")
 
 
 @query("A14_interpolate_rmse", with_views(f"""
@@ -749,13 +787,11 @@ def _grad_sql(side: str) -> str:
     t = "FAC0_USER" if side == "user" else "FAC0_ITEM"
     s = "u" if side == "user" else "i"
     return f"""
-select f.id, round(sum(f.vec[t.k] + coalesce(0.001 * g.g, 0)), 6) as vsum,
-       round(sum(pow(f.vec[t.k] + coalesce(0.001 * g.g, 0), 2)), 6) as vsq,
-       round(any_value(f.bias) + 0.001 * coalesce(any_value(b.gb), 0), 6) as bias
+select f.id, t.k - 1 as k, round(f.vec[t.k]::DOUBLE + coalesce(0.001 * g.g, 0), 6) + 0.0 as v,
+       round(f.bias + 0.001 * coalesce(b.gb, 0), 6) as bias
 from {t} f cross join range(1, 65) t(k)
 left join gv_{s} g on g.id = f.id and g.k = t.k
 left join gb_{s} b on b.id = f.id
-group by f.id
 """
 
 
@@ -766,34 +802,30 @@ def _grad(spark, sf_dir):
     return fa.gradient_step(rat, f[("user", 0)], f[("item", 0)], mu, lr=0.001, reg=0.04)
 
 
-def _vec_summary(df):
-    return df.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
-                     r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)).alias("vsq"),
-                     r6(F.col("bias")).alias("bias"))
-
 
 @query("M6_gradient_step_users", with_views(_grad_sql("user"), "RAT", "FAC0_USER", "FAC0_ITEM", extra=_GRAD_CTE))
 def q_grad_users(spark, sf_dir):
-    return _vec_summary(_grad(spark, sf_dir)[0])
+    return _elements(_grad(spark, sf_dir)[0], "id")
 
 
 @query("M6_gradient_step_items", with_views(_grad_sql("item"), "RAT", "FAC0_USER", "FAC0_ITEM", extra=_GRAD_CTE))
 def q_grad_items(spark, sf_dir):
-    return _vec_summary(_grad(spark, sf_dir)[1])
+    return _elements(_grad(spark, sf_dir)[1], "id")
 
 
 @query("J9_transfer_items", with_views("""
-select t.id, coalesce(s.svec, t.vec) is not null and s.svec is not null as transferred,
-       round(list_sum(coalesce(s.svec, t.vec::DOUBLE[])), 6) as vsum
-from tgt t left join (
+select t.id, s.svec is not null as transferred, g.k - 1 as k, round(coalesce(s.svec, t.vec::DOUBLE[])[g.k], 6) + 0.0 as v
+from tgt t cross join range(1, 65) g(k) left join (
   select u.target_item, f.vec::DOUBLE[] as svec from (
     select target_item, arg_max(source_item, rk) as source_item from (
-      select source_item, target_item, row_number() over (order by stage, source_item) - 1 as rk from mp) r
+      select source_item, target_item, row_number() over (order by stage, source_item) - 1 as rk from mp
+      where source_item in (select id from src) and target_item in (select id from tgt)) r
     where rk < (select ceil(count(*) * 0.5) from tgt) group by target_item) u
-  join FAC0_ITEM f on f.id = u.source_item) s on s.target_item = t.id
+  join src f on f.id = u.source_item) s on s.target_item = t.id
 """, "RAT", "CAT_A", "CAT_B", "FAC0_ITEM", "FAC1_ITEM", extra=_LEFT_CTES + """,
 mp as (select source_item, min(target_item) as target_item, 1 as stage from p1 group by source_item
        union all select source_item, min(target_item) as target_item, 2 as stage from p2 group by source_item),
+src as (select f.* from FAC0_ITEM f where id in (select item_id from RAT group by item_id having count(*) >= 30)),
 tgt as (select id + 1000000 as id, vec from FAC1_ITEM)
 """))
 def q_transfer(spark, sf_dir):
@@ -803,8 +835,10 @@ def q_transfer(spark, sf_dir):
     mapping = mt.match_items(a, b, fuzzy=False)
     tgt = f[("item", 1)].withColumn("id", F.col("id") + 1000000)
     n_items = tgt.count()
-    out, _ = fa.transfer_items(tgt, f[("item", 0)], mapping, n_items, 0.5)
-    return out.select("id", "transferred", r6(F.aggregate("vec", F.lit(0.0), lambda x, v: x + v)).alias("vsum"))
+    # some mapped source items have no vector: they use up no budget
+    trained = filters.core_items(rat, 30).select(F.col("item_id").alias("id")).distinct()
+    out, _ = fa.transfer_items(tgt, f[("item", 0)].join(trained, "id", "left_semi"), mapping, n_items, 0.5)
+    return _elements(out, "id", "transferred").drop("bias")
 
 
 # ---------------------------------------------------------------- implicit feedback
@@ -869,6 +903,29 @@ def q_allowed(spark, sf_dir):
     return im.allowed_counts(test, train, n_items).select("user_id", "pos_item", F.col("n_allowed").cast("long"))
 
 
+@query("M13_implicit_negatives", with_views("select fold, user_id, pos_item, j, neg_item from neg_f", "IMPL",
+       extra="loo_f as (" + " union all ".join(f"select * from ({_loo_sql(f)}) l{f}" for f in range(1, 6)) + f"""),
+tr_f as (select fold, user_id, item_id from loo_f where split = 'train'),
+te_f as (select fold, user_id, item_id as pos_item from loo_f where split = 'test'),
+idx_f as (select fold, item_id, row_number() over (partition by fold order by item_id) - 1 as idx
+          from (select distinct fold, item_id from tr_f) d),
+n_f as (select fold, count(*) as n from idx_f group by fold),
+ok_f as (select te_f.fold, te_f.user_id, te_f.pos_item, g.j, i.item_id as neg_item
+         from te_f join n_f using (fold) cross join range(0, 400) g(j)
+         join idx_f i on i.fold = te_f.fold
+           and i.idx = ({sql_hash_int(SEED, 'te_f.fold', 'te_f.user_id', 'te_f.pos_item', 'g.j')}) % n_f.n
+         where i.item_id <> te_f.pos_item and not exists (
+           select 1 from tr_f where tr_f.fold = te_f.fold and tr_f.user_id = te_f.user_id and tr_f.item_id = i.item_id)),
+neg_f as (select fold, user_id, pos_item, j, neg_item from (
+            select fold, user_id, pos_item, neg_item,
+                   row_number() over (partition by fold, user_id, pos_item order by j) - 1 as j from ok_f) r
+          where j < 20)
+"""))
+def q_implicit_negatives(spark, sf_dir):
+    _, _, neg = im.implicit_dataset(fx.implicit(spark, sf_dir), 5, SEED, 20)
+    return neg.select(F.col("fold").cast("int").alias("fold"), "user_id", "pos_item", F.col("j").cast("long").alias("j"), "neg_item")
+
+
 @query("W10_negative_sample", with_views("select user_id, pos_item, j, neg_item from neg", "IMPL", extra=_NEG_CTE))
 def q_negatives(spark, sf_dir):
     train, test = _impl_fold1(spark, sf_dir)
@@ -1001,9 +1058,9 @@ def q_read_runs(spark, sf_dir):
 
 
 @query("K4_factors_round_trip", with_views("""
-select 'item' as side, id, round(list_sum(vec::DOUBLE[]), 6) as vsum, round(bias, 6) as bias from FAC0_ITEM
+select 'item' as side, f.id, t.k - 1 as k, round(f.vec[t.k]::DOUBLE, 6) + 0.0 as v, round(f.bias, 6) as bias from FAC0_ITEM f cross join range(1, 65) t(k)
 union all
-select 'user' as side, id, round(list_sum(vec::DOUBLE[]), 6) as vsum, round(bias, 6) as bias from FAC0_USER
+select 'user' as side, f.id, t.k - 1 as k, round(f.vec[t.k]::DOUBLE, 6) + 0.0 as v, round(f.bias, 6) as bias from FAC0_USER f cross join range(1, 65) t(k)
 """, "RAT", "FAC0_ITEM", "FAC0_USER"))
 def q_factors_rt(spark, sf_dir):
     path = scratch_path(spark, "models")
@@ -1012,12 +1069,11 @@ def q_factors_rt(spark, sf_dir):
     wr.save_factors(f[("user", 1)], f[("item", 1)], path, "fac1", {"dim": 64})
     u, i = wr.load_factors(spark, path, "fac0")
     both = u.withColumn("side", F.lit("user")).unionByName(i.withColumn("side", F.lit("item")))
-    return both.select("side", "id", r6(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)).alias("vsum"),
-                       r6(F.col("bias")).alias("bias"))
+    return _elements(both, "side", "id")
 
 
 @query("K5_upsert_mapping", with_views("""
-select source_item, target_item from p1 where source_item % 2 = 0
+select source_item, target_item from p1 where source_item in (select item_id from CAT_A where year >= 2005)
 """, "CAT_A", "CAT_B", extra=_LEFT_CTES))
 def q_upsert(spark, sf_dir):
     path = scratch_path(spark, "mappings")
@@ -1025,8 +1081,9 @@ def q_upsert(spark, sf_dir):
     m, _, _ = mt.match_exact(a, b)
     m = m.select("source_item", "target_item")
     wr.upsert_mapping(m, path, "cat_a", "cat_b")
-    wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 1), path, "cat_a", "cat_c")
-    wr.upsert_mapping(m.filter(F.col("source_item") % 2 == 0), path, "cat_a", "cat_b")  # replaces cat_b only
+    late = a.filter(F.col("year") >= 2005).select(F.col("item_id").alias("source_item"))
+    wr.upsert_mapping(m.join(late, "source_item", "left_anti"), path, "cat_a", "cat_c")
+    wr.upsert_mapping(m.join(late, "source_item", "left_semi"), path, "cat_a", "cat_b")  # replaces cat_b only
     return wr.read_mapping(spark, path, "cat_a", "cat_b")
 
 
@@ -1042,16 +1099,40 @@ def _rat_fold1(spark, sf_dir):
     return rs.filter(F.col("fold") != 1), rs.filter(F.col("fold") == 1)
 
 
-@query("M2_init_svd")
+_FOLD1 = f"(select * from RAT where ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 <> 1)"
+
+
+def _shape(df):
+    """What a learned table must look like: a row for every id, its length, no NaN or infinity."""
+    good = F.forall("vec", lambda v: ~F.isnan(v) & (F.abs(v) < F.lit(1e6)))
+    return df.withColumn("dim", F.size("vec").cast("long")).withColumn("finite", good)
+
+
+def _model_sql(rows: str, dim: int, user: str = "user_id", item: str = "item_id") -> str:
+    return (f"select 'user' as side, id, {dim}::bigint as dim, true as finite from (select distinct {user} as id from {rows} a) u "
+            f"union all select 'item' as side, id, {dim}::bigint, true from (select distinct {item} as id from {rows} b) i")
+
+
+def _model_rows(res):
+    both = res.users.withColumn("side", F.lit("user")).unionByName(res.items.withColumn("side", F.lit("item")))
+    return _shape(both).select("side", "id", "dim", "finite")
+
+
+@query("M2_init_svd", with_views(f"""
+select id, 16::bigint as dim, true as finite, 1.0::double as norm from (select distinct item_id as id from {_FOLD1} t) d
+""", "RAT"))
 def q_svd(spark, sf_dir):
     train, _ = _rat_fold1(spark, sf_dir)
-    return em.init_svd(train, 16, side="item", seed=SEED)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
+    return _shape(em.init_svd(train, 16, side="item", seed=SEED)).select("id", "dim", "finite", r6(norm).alias("norm"))
 
 
-@query("M3_init_word2vec")
+@query("M3_init_word2vec", with_views(f"""
+select id, 16::bigint as dim, true as finite from (select distinct item_id as id from {_FOLD1} t) d
+""", "RAT"))
 def q_w2v(spark, sf_dir):
     train, _ = _rat_fold1(spark, sf_dir)
-    return em.init_word2vec(train, 16, window_size=5, seed=SEED)
+    return _shape(em.init_embeddings(train, 16, "word2vec", window_size=5, seed=SEED)).select("id", "dim", "finite")
 
 
 @query("M4_init_embeddings_dispatch", with_views(f"""
@@ -1082,40 +1163,54 @@ def q_epoch_metrics(spark, sf_dir):
     return spark.createDataFrame([("train", round(a, 6)), ("test", round(b, 6))], "split string, rmse double")
 
 
-@query("M5_fit_mf")
+@query("M5_fit_mf", with_views(_model_sql(_FOLD1, 16), "RAT"))
 def q_fit(spark, sf_dir):
     train, test = _rat_fold1(spark, sf_dir)
     users = fa.init_random(train.select(F.col("user_id").alias("id")), 16, 0.1, seed=SEED, side="user")
     items = fa.init_random(train.select(F.col("item_id").alias("id")), 16, 0.1, seed=SEED, side="item")
+    test = splits.restrict_test(train, test)
     res = mf.fit(train, users, items, test, epochs=3, lr=0.005, reg=0.04, blocks=8, seed=SEED)
-    return mf.run_metrics_table(spark, 0, res)
+    return _model_rows(res)
 
 
-@query("M8_checkpoint_resume")
+@query("M8_checkpoint_resume", with_views(_model_sql(_FOLD1, 8), "RAT"))
 def q_resume(spark, sf_dir):
     train, test = _rat_fold1(spark, sf_dir)
     users = fa.init_random(train.select(F.col("user_id").alias("id")), 8, 0.1, seed=SEED, side="user")
     items = fa.init_random(train.select(F.col("item_id").alias("id")), 8, 0.1, seed=SEED, side="item")
+    test = splits.restrict_test(train, test)
     path = scratch_path(spark, "mf-state")
     mf.fit(train, users, items, test, epochs=3, lr=0.005, blocks=4, path=path, checkpoint_every=1,
            max_epochs_this_run=2)
     res = mf.fit(train, users, items, test, epochs=3, lr=0.005, blocks=4, path=path, checkpoint_every=1)
-    return mf.run_metrics_table(spark, 0, res)
+    return _model_rows(res)
+
+
+_SPLIT_FOLD = f"""
+core as (select * from RAT where user_id in (select user_id from RAT group by user_id having count(*) >= 20)),
+cnt as (select user_id, count(*) as n, {H_USER} as h from core group by user_id),
+run as (select user_id, sum(n) over (order by h, user_id rows between unbounded preceding and current row) - n as before from cnt),
+sel as (select user_id from run where before < {SPLIT_SQL}),
+rest as (select * from core where user_id not in (select user_id from sel)),
+rest1 as (select * from rest where ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 <> 1),
+smp as (select user_id, item_id + 1000000 as item_id from core where user_id in (select user_id from sel)),
+smp1 as (select * from smp where ({sql_hash_int(SEED, 'user_id', 'item_id')}) % 5 + 1 <> 1)
+"""
 
 
-@query("M9_train_source")
+@query("M9_train_source", with_views(_model_sql("rest1", 16), "RAT", extra=_SPLIT_FOLD))
 def q_train_source(spark, sf_dir):
     rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
-    rest = splits.split_users_disjoint(rat, SPLIT_TARGET, SEED).filter(F.col("part") == "rest").drop("part")
+    rest = splits.split_users_disjoint(rat, split_target(rat), SEED).filter(F.col("part") == "rest").drop("part")
     out = tr.train_source(rest, "pca", fold=1, dim=16, epochs=2, lr=0.005, blocks=8,
                           path=scratch_path(spark, "source-model"))
-    return mf.run_metrics_table(spark, 0, out["result"])
+    return _model_rows(out["result"])
 
 
-@query("M10_train_target")
+@query("M10_train_target", with_views(_model_sql("smp1", 16), "RAT", extra=_SPLIT_FOLD))
 def q_train_target(spark, sf_dir):
     rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
-    lab = splits.split_users_disjoint(rat, SPLIT_TARGET, SEED)
+    lab = splits.split_users_disjoint(rat, split_target(rat), SEED)
     rest = lab.filter(F.col("part") == "rest").drop("part")
     sample = (lab.filter(F.col("part") == "sample").drop("part")
               .withColumn("item_id", F.col("item_id") + 1000000))  # target catalog ids
@@ -1123,7 +1218,7 @@ def q_train_target(spark, sf_dir):
     a, b = _cats(spark, sf_dir)
     out = tr.train_target(sample, b, a, src["result"].items, "src_random", init="random", limit=0.5, fold=1,
                           dim=16, epochs=2, lr=0.005, blocks=8, mapping_path=scratch_path(spark, "mappings"))
-    return mf.run_metrics_table(spark, 0, out["result"])
+    return _model_rows(out["result"])
 
 
 # ---------------------------------------------------------------- single-operator entries
@@ -1144,7 +1239,7 @@ _SPLIT_CTES = f"""
 core as (select * from RAT where user_id in (select user_id from RAT group by user_id having count(*) >= 20)),
 cnt as (select user_id, count(*) as n, {H_USER} as h from core group by user_id),
 run as (select user_id, sum(n) over (order by h, user_id rows between unbounded preceding and current row) - n as before from cnt),
-sel as (select user_id from run where before < {SPLIT_TARGET})
+sel as (select user_id from run where before < {SPLIT_SQL})
 """
 
 
@@ -1155,7 +1250,7 @@ from core c left join sel s using (user_id)
 def q_write_split(spark, sf_dir):
     path = scratch_path(spark, "leakage-split")
     rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
-    wr.write_split(splits.split_users_disjoint(rat, SPLIT_TARGET, SEED).select("user_id", "item_id", "part"), path)
+    wr.write_split(splits.split_users_disjoint(rat, split_target(rat), SEED).select("user_id", "item_id", "part"), path)
     back = spark.read.schema("user_id long, item_id long, part string").option("header", True).csv(path)
     return back.select("user_id", "item_id", "part")
 
@@ -1311,6 +1406,52 @@ def q_load_dataset(spark, sf_dir):
     return ratings.join(items, "item_id").select("user_id", "item_id", "rating", "title")
 
 
+@query("X3_load_split_halves", with_views("""
+select c.user_id, c.item_id, c.rating, a.title, case when s.user_id is not null then 'sample' else 'rest' end as part
+from core c left join sel s using (user_id) join (select item_id, 'The "' || title || '", part 2' as title from CAT_A) a using (item_id)
+""", "RAT", "CAT_A", extra=_SPLIT_CTES))
+def q_load_split(spark, sf_dir):
+    root = scratch_path(spark, "split-layout")
+    rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
+    lab = splits.split_users_disjoint(rat, split_target(rat), SEED)
+    wr.write_split(lab.select("user_id", "item_id", "rating", _epoch_seconds(F.col("ts")).alias("ts"), "part"), root)
+    title = F.concat(F.lit('The "'), "title", F.lit('", part 2'))  # quotes are doubled in the file
+    (fx.catalog_a(spark, sf_dir).select("item_id", title.alias("title")).write.mode("overwrite").option("header", True)
+     .option("escape", '"').csv(f"{root}/movies.csv"))
+    out = None
+    for part in ("sample", "rest"):
+        ratings, items = ds.load_dataset(spark, f"split_{part}", root)
+        one = (ratings.join(items, "item_id").select("user_id", "item_id", "rating", "title").withColumn("part", F.lit(part)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("X1_metrics_by_name", with_views("""
+select sid, tid, greatest(length(s_key), length(t_key)) - levenshtein(s_key, t_key) as levenshtein,
+       round(jaro_similarity(s_key, t_key), 6) as jaro, round(jaro_winkler_similarity(s_key, t_key), 6) as jaro_winkler
+from pr
+""", "CAT_A", "CAT_B", extra=_PAIRS_SQL))
+def q_metrics_by_name(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    s, t = F.col("s_key"), F.col("t_key")
+    value = {n: sim.metric(n)(s, t) for n in ("levenshtein", "jaro", "jaro_winkler")}
+    return p.select("sid", "tid", value["levenshtein"].alias("levenshtein"),
+                    *(r6(value[n]).alias(n) for n in ("jaro", "jaro_winkler")))
+
+
+@query("X2_embeddings_by_name", with_views("""
+select method, id, 8::bigint as dim, true as finite
+from (select distinct item_id as id from RAT) d cross join (values ('random'), ('svd'), ('word2vec')) m(method)
+""", "RAT"))
+def q_embeddings_by_name(spark, sf_dir):
+    rat = cut_lineage(fx.ratings(spark, sf_dir))
+    out = None
+    for method in ("random", "svd", "word2vec"):
+        one = em.init_embeddings(rat, 8, method, seed=SEED).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return _shape(out).select("method", "id", "dim", "finite")
+
+
 @query("C2_clean_special_documents", f"""
 select doc_id, md5({tx.sql_clean_special('lower(text)')}) as h, length({tx.sql_clean_special('lower(text)')}) as n
 from documents

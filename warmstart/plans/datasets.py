@@ -6,7 +6,7 @@ and ``items(item_id, title[, year])``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +34,30 @@ LAYOUTS = {
     "ml20m": Layout("ratings.csv", ",", True, "movies.csv", ",", True),
     "ml25m": Layout("ratings.csv", ",", True, "movies.csv", ",", True),
     "netflix": Layout("combined_data_*.txt", ",", False, "movie_titles.csv", ",", False, "ISO-8859-1", True),
-    "split_csv": Layout("*.csv", ",", True, "movies.csv", ",", True),
+    # one side of a user-disjoint split: the ratings file is named by the caller
+    "split_csv": Layout("", ",", True, "movies.csv", ",", True),
+    # both sides as ``writers.write_split`` stores them
+    "split_sample": Layout("part=sample/*.csv", ",", True, "movies.csv", ",", True),
+    "split_rest": Layout("part=rest/*.csv", ",", True, "movies.csv", ",", True),
 }
 
 
-def load_dataset(spark: SparkSession, name: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """Load a registered dataset from ``root``; unknown names raise ``ValueError``."""
+def load_dataset(spark: SparkSession, name: str, root: str, ratings_file: str | None = None,
+                 items_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Load a registered dataset from ``root``; unknown names raise ``ValueError``.
+
+    ``ratings_file`` (with or without ``.csv``) and ``items_file`` replace the layout's file
+    names. ``split_csv`` needs a ratings file: a sample and its complement lie in one folder
+    and must never be read together."""
     key = name.lower()
     if key not in LAYOUTS:
         raise ValueError(f"unknown dataset {name!r}; known: {', '.join(sorted(LAYOUTS))}")
     lay = LAYOUTS[key]
+    if ratings_file and lay.ratings_sep == "," and not ratings_file.endswith(".csv"):
+        ratings_file += ".csv"
+    lay = replace(lay, ratings=ratings_file or lay.ratings, items=items_file or lay.items)
+    if not lay.ratings:
+        raise ValueError(f"dataset {name!r} needs ratings_file")
     root = root.rstrip("/")
     if lay.sectioned:
         ratings = rd.read_sectioned_ratings(spark, f"{root}/{lay.ratings}")

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings this package relies on. They are applied only where the session has none.
@@ -22,18 +23,36 @@ DEFAULT_CONF = {
 }
 
 
+# Settings of a new context; a running one keeps its own.
+STARTUP_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "8g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "warmstart") -> SparkSession:
     """Create (or reuse) a session for tests and local runs."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        for k, v in DEFAULT_CONF.items():
+            if running.conf.isModifiable(k) and running.conf.get(k, None) is None:
+                running.conf.set(k, v)
+        return running
+    given = SparkConf()  # what spark-defaults.conf and the command line say
+    wanted = dict(DEFAULT_CONF) | STARTUP_CONF
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if memory := os.environ.get("WARMSTART_DRIVER_MEMORY"):
+        wanted["spark.driver.memory"] = memory
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    for k, v in DEFAULT_CONF.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("WARMSTART_DRIVER_MEMORY", "16g"))
+    for k, v in wanted.items():
+        if not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -66,6 +85,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the entries of a folder; an absent folder has none, other errors are raised."""
+    fs, p = _folder(spark, path)
+    return [str(x.getPath()) for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

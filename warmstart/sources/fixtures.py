@@ -105,17 +105,17 @@ def implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-# --- RUN_METRICS / RUNS: an experiment grid of 495 training runs ----------------------------
-RUN_METRICS_SQL = """
-select cast(event_id % 495 as int) as run_id,
-       cast(row_number() over (partition by event_id % 495 order by ts, event_id) - 1 as int) as epoch,
+# --- RUN_METRICS / RUNS: an experiment grid; two runs for every 40 events, of 13 to 27 epochs each ----------
+_RUN_SQL = """cast(2 * floor(event_id / 40) + case when event_id % 40 < 13 + floor(event_id / 40) % 7 then 0 else 1 end as int)"""
+RUN_METRICS_SQL = f"""
+select run_id, cast(row_number() over (partition by run_id order by ts, event_id) - 1 as int) as epoch,
        value / 100 as loss, (value + 5) / 100 as val_loss
-from events
+from (select *, {_RUN_SQL} as run_id from events) e
 """
 
 RUNS_SQL = """
 select run_id, case when run_id % 2 = 0 then 'ML1M' else 'ExplicitMLTransfer' end as dataset,
-       concat('Pretrained from src_', case cast(floor(run_id / 165) as int) when 0 then 'random' when 1 then 'pca' else 'word2vec' end) as method,
+       concat('Pretrained from src_', case cast(floor(run_id / 165) as int) % 3 when 0 then 'random' when 1 then 'pca' else 'word2vec' end) as method,
        case cast(floor(run_id / 55) as int) % 3 when 0 then 'random' when 1 then 'pca' else 'word2vec' end as init,
        cast(cast(floor(run_id / 5) as int) % 11 / 10.0 as double) as lim,
        run_id % 5 + 1 as split, count(*) as last_epoch, run_id % 13 <> 0 as is_complete
@@ -125,7 +125,7 @@ from RUN_METRICS group by run_id
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    run = (F.col("event_id") % 495).cast("int")
+    run = F.expr(_RUN_SQL)
     w = Window.partitionBy("run_id").orderBy("ts", "event_id")
     return (ev.withColumn("run_id", run)
             .select("run_id", (F.row_number().over(w) - 1).cast("int").alias("epoch"),
@@ -142,7 +142,7 @@ def runs(spark: SparkSession, sf_dir: str, metrics: DataFrame | None = None) ->
     return (m.groupBy("run_id").agg(F.count(F.lit(1)).alias("last_epoch"))
             .select("run_id",
                     F.when(r % 2 == 0, "ML1M").otherwise("ExplicitMLTransfer").alias("dataset"),
-                    F.concat(F.lit("Pretrained from src_"), _level(F.floor(r / 165).cast("int"))).alias("method"),
+                    F.concat(F.lit("Pretrained from src_"), _level(F.floor(r / 165).cast("int") % 3)).alias("method"),
                     _level(F.floor(r / 55).cast("int") % 3).alias("init"),
                     ((F.floor(r / 5).cast("int") % 11) / 10.0).cast("double").alias("lim"),
                     (r % 5 + 1).alias("split"), "last_epoch", (r % 13 != 0).alias("is_complete")))
@@ -151,11 +151,12 @@ def runs(spark: SparkSession, sf_dir: str, metrics: DataFrame | None = None) ->
 # --- FAC0 / FAC1: two factor models (dim 64) over the ids of RAT ----------------------------
 def _fac_sql(side: str, model: int) -> str:
     col = "item_id" if side == "item" else "user_id"
+    n = "(select count(*) from embeddings)"
     if side == "item":
-        vec = "r.item_id % 500" if model == 0 else "(r.item_id * 7 + 3) % 500"
+        vec = f"r.item_id % {n}" if model == 0 else f"(r.item_id * 7 + 3) % {n}"
         bias = "(r.item_id % 11 - 5) / 10.0"
     else:
-        vec = "(r.user_id * 3 + 1) % 500" if model == 0 else "(r.user_id * 11 + 5) % 500"
+        vec = f"(r.user_id * 3 + 1) % {n}" if model == 0 else f"(r.user_id * 11 + 5) % {n}"
         bias = "(r.user_id % 7 - 3) / 10.0"
     return (f"select r.{col} as id, e.embedding as vec, cast({bias} as double) as bias "
             f"from (select distinct {col} from RAT) r join embeddings e on e.vec_id = {vec}")
@@ -168,12 +169,12 @@ def factors(spark: SparkSession, sf_dir: str, side: str, model: int, rat: DataFr
     """``(id, vec array<double>, bias double)`` for one side of fixture model 0 or 1."""
     rat = rat if rat is not None else ratings(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    i = F.col("id")
+    i, n = F.col("id"), F.lit(emb.count())  # every vector of the table is used
     if side == "item":
-        vec_id = i % 500 if model == 0 else (i * 7 + 3) % 500
+        vec_id = i % n if model == 0 else (i * 7 + 3) % n
         bias = (i % 11 - 5) / 10.0
     else:
-        vec_id = (i * 3 + 1) % 500 if model == 0 else (i * 11 + 5) % 500
+        vec_id = (i * 3 + 1) % n if model == 0 else (i * 11 + 5) % n
         bias = (i % 7 - 3) / 10.0
     ids = rat.select(F.col("item_id" if side == "item" else "user_id").alias("id")).distinct()
     return (ids.withColumn("vec_id", vec_id).join(emb, "vec_id")

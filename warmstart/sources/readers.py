@@ -36,7 +36,7 @@ def read_items(spark: SparkSession, path, sep: str = "|", header: bool = False,
         fields.append(T.StructField("year", T.StringType()))
     fields.append(T.StructField("title", T.StringType()))
     df = (spark.read.schema(T.StructType(fields)).option("sep", sep).option("header", header)
-          .option("encoding", encoding).csv(path))
+          .option("encoding", encoding).option("escape", '"').csv(path))  # a quote in a title is doubled
     if with_year:
         df = df.withColumn("year", clean_year(F.col("year")))
     return df
