@@ -3,17 +3,18 @@
 Text becomes template words: white-space words with outer marks stripped and lower-cased, numbers, units after
 a number and names (capitalised words inside a sentence) replaced by typed placeholders. Benchmark
 templates are cut into windows of ``WINDOW`` words (an item with fewer words is one window); those with fewer than
-``MIN_LITERAL`` words that are no placeholder (all words, if the window is shorter) say too little and are left out. Windows of all documents
-meet them by a hash join. Matches of one document and item on one diagonal (same distance between the
+``MIN_LITERAL`` words that are no placeholder (all words, if the window is shorter) say too little and are
+left out. Windows of all documents meet them by a hash join. Matches of one document and item on one diagonal (same distance between the
 two positions) are compared word by word: a slot is consistent if one benchmark value always stands for
 one document value. A document leaks an item if consistent matches cover at least ``MIN_COVER`` of
 the item's words; ``exact`` says that all slot values are the benchmark's own, else the item was
 re-parameterised.
 
-Documents are scanned once for windows (only hashes of matching windows go on), and only those with a match are read
-again. Every benchmark window has an anchor, its longest literal word; only windows of documents that hold an anchor of
-some window are hashed, which loses none. Beyond ``MAX_ANCHORS`` anchors all windows are hashed. The hashes of the benchmark are broadcast while there are at most ``MAX_BROADCAST`` of them
-(16 bytes each, counted first), beyond that both sides are shuffled by hash.
+Documents are scanned once; only the windows that match go on, with their words, so no text is shuffled.
+Every benchmark window has an anchor, its longest literal word; only windows of documents that hold an
+anchor of some window are hashed, which loses none. Beyond ``MAX_ANCHORS`` anchors all windows are hashed.
+The hashes of the benchmark are broadcast while there are at most ``MAX_BROADCAST`` of them (16 bytes
+each, counted first), beyond that both sides are shuffled by hash.
 
 Defined results: null and empty texts (documents or items) match nothing; a row is known by its id and text, so
 null ids are fine, repeated rows are reported once and all of them are dropped; repeated items are
@@ -31,7 +32,7 @@ WINDOW, MIN_LITERAL, MIN_COVER = 8, 4, 0.5
 MAX_BROADCAST = 2_000_000
 MAX_ANCHORS = 5_000
 #: Placeholders: private-use characters, so that no word of a text is taken for one.
-NUMBER, UNIT, NAME = "", "", ""
+NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002"
 #: Units that may follow a number.
 UNITS = ("km|m|cm|mm|miles?|inch(?:es)?|feet|foot|ft|yards?|kg|g|mg|grams?|kilograms?|pounds?|lbs?|ounces?|oz|tons?|l|ml|lit(?:er|re)s?|"
          "gallons?|s|ms|sec(?:ond)?s?|min(?:ute)?s?|h|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|"
@@ -46,8 +47,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, _EDGE, ""), _GAP), lambda w: w != "")
 
 
-def template(text: Column) -> Column:
-    """Template words of ``text``, in step with ``words_of``."""
+def template_text(text: Column) -> Column:
+    """``text`` in lower case with placeholders; ``words_of`` it and ``words_of`` the lower-cased text are in step."""
     taken = text.contains(NUMBER) | text.contains(UNIT) | text.contains(NAME)
     clean = F.when(taken, F.regexp_replace(text, f"[{NUMBER}{UNIT}{NAME}]", "?")).otherwise(text)
     digits = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
@@ -56,32 +57,42 @@ def template(text: Column) -> Column:
     # the capital first: the look-behind is tried at capitals only
     names = F.regexp_replace(
         numbers, rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{N}},;{NUMBER}{UNIT}]\s{{1,2}})\p{{Lu}}[\p{{Ll}}'’-]+(?![\p{{L}}\p{{N}}])", NAME)
-    return words_of(F.lower(names))
+    return F.lower(names)
+
+
+def template(text: Column) -> Column:
+    """Template words of ``text``."""
+    return words_of(template_text(text))
 
 
 def _is_slot(word: Column) -> Column:
     return word.contains(NUMBER) | word.contains(UNIT) | word.contains(NAME)
 
 
-def _windows(words: Column, size: int, anchors: list[str] | None) -> Column:
-    """(at, h) of the windows of ``size`` words that hold an anchor; all windows if anchors is None."""
+def _windows(words: Column, plain: Column, size: int, anchors: list[str] | None) -> Column:
+    """(at, h, tw, ow): place, hash, template words and words of the windows of ``size`` words that hold an anchor; of
+    all windows if anchors is None."""
     none = F.array().cast("array<int>")
 
-    def placed(ws: Column) -> Column:
+    def placed(v: Column) -> Column:
+        ws = v["w"]
         last = F.size(ws) - size
         starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
         if anchors is not None:
             at = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
-            around = F.transform(at, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last)))
+            around = F.transform(at, lambda i: F.when(F.greatest(i - (size - 1), F.lit(0)) <= F.least(i, last), F.sequence(
+                F.greatest(i - (size - 1), F.lit(0)), F.least(i, last))))
             starts = F.array_distinct(F.flatten(F.filter(around, lambda x: x.isNotNull())))
-        return F.transform(F.when(last >= 0, starts).otherwise(none),
-                           lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(ws, i + 1, size)).alias("h")))
+        return F.transform(F.when(last >= 0, starts).otherwise(none), lambda i: F.struct(
+            i.alias("at"), F.xxhash64(F.slice(ws, i + 1, size)).alias("h"), F.slice(ws, i + 1, size).alias("tw"),
+            F.slice(v["o"], i + 1, size).alias("ow")))
 
-    return let(words, placed)
+    return let(F.struct(words.alias("w"), plain.alias("o")), placed)
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, size, item_id, place, anchor) of every usable window; anchor is its longest literal word."""
+    """(h, size, item_id, place, n, bw, bo, anchor) of every usable window: its place in an item of n words, its template
+    words and words, and its longest literal word."""
     items = benchmark_items(benchmark, id_col, text_col)
     size = F.least(F.lit(WINDOW), F.size("bt"))
     rows = items.withColumn("size", size).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("bt") - F.col("size"))))
@@ -89,7 +100,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     plain = F.filter(part, lambda w: ~_is_slot(w))
     longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return (rows.filter(F.size(plain) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
-            .select(F.xxhash64(part).alias("h"), "size", "item_id", "place", longest.alias("anchor")))
+            .select(F.xxhash64(part).alias("h"), "size", "item_id", "place", F.size("bt").alias("n"), part.alias("bw"),
+                    F.slice("bo", F.col("place") + 1, F.col("size")).alias("bo"), longest.alias("anchor")))
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -103,48 +115,43 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, item_id, coverage, windows, slots, exact) for every leaked item of every document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    items = store(benchmark_items(benchmark), "items")
     win = store(benchmark_windows(benchmark), "windows")
     marks = win.select("h").distinct()
-    sizes = [r[0] for r in win.select("size").distinct().collect()]  # WINDOW values at most
+    sizes = sorted(r[0] for r in win.select("size").distinct().collect())  # WINDOW values at most
     if win.count() <= MAX_BROADCAST:
         marks = F.broadcast(marks)
     # every window of the benchmark holds its anchor: windows without any anchor cannot match
     anchors = [r[0] for r in win.select("anchor").distinct().limit(MAX_ANCHORS + 1).collect()]
     if len(anchors) > MAX_ANCHORS or None in anchors:
         anchors = None
-    # the hash alone meets the benchmark; a window's place and its document are all that goes on
-    words = rows.select("id", "text_hash", template(F.col("text")).alias("dt"))
-    every = F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *(_windows(F.col("dt"), s, anchors) for s in sorted(sizes)))
-    hits = words.select("id", "text_hash", F.explode(every).alias("w")).select("id", "text_hash", "w.at", "w.h")
+    marked = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", template_text(F.col("text")).alias("masked"))
+    slotted = F.col("masked").contains(NUMBER) | F.col("masked").contains(UNIT) | F.col("masked").contains(NAME)
+    words = marked.select("id", "text_hash", words_of(F.col("masked")).alias("dt"),
+                          F.when(slotted, words_of(F.lower("text"))).alias("do"))
+    plain = F.coalesce("do", "dt")  # without placeholders the template words are the words
+    none = F.array().cast("array<struct<at:int,h:bigint,tw:array<string>,ow:array<string>>>")
+    every = F.concat(none, *(_windows(F.col("dt"), plain, s, anchors) for s in sizes))
+    hits = (words.select("id", "text_hash", F.explode(every).alias("w"))
+            .select("id", "text_hash", "w.at", "w.h", "w.tw", "w.ow"))
+    # the windows that meet the benchmark are all that goes on
     hits = store(hits.join(marks, "h", "left_semi"), "hits")
-    diagonals = (hits.join(win, "h").withColumn("shift", F.col("at") - F.col("place"))
-                 .groupBy("id", "text_hash", "item_id", "shift").agg(F.sort_array(F.collect_set("place")).alias("places")))
-    found = hits.select(F.col("id").alias("i"), F.col("text_hash").alias("th")).distinct()
-    pairs = F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("th"))
-    texts = (rows.join(found, pairs, "left_semi").dropDuplicates(["id", "text_hash"])
-             .select(F.col("id").alias("i"), F.col("text_hash").alias("th"), template(F.col("text")).alias("dt"),
-                     words_of(F.lower("text")).alias("do")))
-    both = diagonals.join(texts, pairs).drop("i", "th").join(items.withColumnRenamed("item_id", "it"),
-                                                             F.col("item_id").eqNullSafe(F.col("it"))).drop("it")
-    # item places covered by a window whose template words are really equal (a hash may collide)
-    size = F.least(F.lit(WINDOW), F.size("bt"))
-    true = F.filter("places", lambda p: F.slice(F.col("bt"), p + 1, size) == F.slice(F.col("dt"), p + F.col("shift") + 1, size))
-    both = both.withColumn("places", true).filter("size(places) > 0")
-    both = both.withColumn("covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + size - 1)))))
-    slot = F.filter("covered", lambda p: _is_slot(F.get("bt", p)))
-    both = both.withColumn("slots", F.transform(slot, lambda p: F.struct(
-        F.get("bo", p).alias("b"), F.get("do", p + F.col("shift")).alias("d"))))
-    pairs_of = F.size(F.array_distinct("slots"))
+    slot = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.struct(
+        F.get("bw", j).alias("t"), F.get("bo", j).alias("b"), F.get("ow", j).alias("d"))), lambda x: _is_slot(x["t"]))
+    same = (hits.join(win, "h").filter("tw = bw")  # a hash may collide
+            .select("id", "text_hash", "item_id", "n", (F.col("at") - F.col("place")).alias("shift"), "place",
+                    F.sequence("place", F.col("place") + F.col("size") - 1).alias("covers"), slot.alias("slots")))
+    # a diagonal has as many windows as the item has words at most
+    diagonal = (same.groupBy("id", "text_hash", "item_id", "n", "shift")
+                .agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("covered"),
+                     F.size(F.collect_set("place")).alias("windows"),
+                     F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
-    both = both.filter(pairs_of == values)
+    pairs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["b"], s["d"]))))
     exact = F.forall("slots", lambda s: s["b"].eqNullSafe(s["d"]))
-    return (both.select("id", "text_hash", "item_id", "covered", "places", F.size("slots").alias("slots"), exact.alias("exact"),
-                        F.size("bt").alias("n"))
-            .groupBy("id", "text_hash", "item_id")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("c"), F.max("n").alias("n"),
-                 F.sum(F.size("places")).alias("windows"), F.sum("slots").alias("slots"), F.every("exact").alias("exact"))
+    return (diagonal.filter(pairs == values)
+            .groupBy("id", "text_hash", "item_id", "n")
+            .agg(F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("c"), F.sum("windows").alias("windows"),
+                 F.sum(values).alias("slots"), F.every(exact).alias("exact"))
             .withColumn("coverage", F.col("c") / F.col("n")).filter(F.col("coverage") >= MIN_COVER)
             .select("id", "text_hash", "item_id", "coverage", "windows", "slots", "exact"))
 
