@@ -6,7 +6,7 @@ its pre-tokens have.
 
 1. Every task counts the pre-tokens of its texts; Spark adds the counts up: one row per distinct pre-token.
 2. Each distinct pre-token is encoded once.
-3. The ``FREQUENT`` most frequent ones (a fixed number, about 90 % of all words) are broadcast: they are summed
+3. The most frequent ones (``FREQUENT`` at most, about 90 % of all words here) are broadcast: they are summed
    up within the document's row. What is left goes to the pre-token table by a shuffled join, as (document,
    pre-token, frequency) rows, so no pre-token that many documents share is ever a join key.
 
@@ -92,6 +92,20 @@ def pretoken_pieces(docs: DataFrame, model_path: str, text_col: str = "text") ->
     return counts.mapInArrow(encode, "pretoken string, n long, pieces long")
 
 
+def _most_frequent(table: DataFrame, limit: int) -> DataFrame:
+    """The rows of the highest frequency classes (sixteenths of a power of two) that are ``limit`` rows at most.
+
+    Only the sizes of the classes reach the driver, about a thousand rows for any table."""
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for r in table.groupBy(grade.alias("g")).count().orderBy(F.desc("g")).collect():
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["g"]
+    return table.filter(grade >= least) if least is not None else table.limit(0)
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                  frequent: int = FREQUENT) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of ``docs``."""
@@ -99,8 +113,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     model = _model(model_path)
     check_vocabulary([model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i)])
     table = store(pretoken_pieces(docs, model_path, text_col), "pretokens")
-    top = table.filter("length(pretoken) <= 64").orderBy(F.desc("n"), "pretoken").limit(frequent)
-    got = top.select("pretoken", "pieces").toPandas()
+    got = _most_frequent(table.filter("length(pretoken) <= 64"), frequent).select("pretoken", "pieces").toPandas()
     known = dict(zip(got["pretoken"], got["pieces"].tolist()))
     if sum(len(k.encode()) + 64 for k in known) > MAX_FREQUENT_BYTES:
         raise ValueError("the frequent pre-tokens pass MAX_FREQUENT_BYTES")
