@@ -51,3 +51,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once: an expression named inside a lambda is worked out at every call."""
     return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+#: Rows of ids (16 bytes each) up to which a table is broadcast; it is counted first.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if it has at most MAX_BROADCAST_ROWS rows; else as it is, for a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids

@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is a partial aggregation (the smallest neighbour of every node) and a join; links never
-leave the executors. Only a count and a checksum of the links reach the driver, to see that a
-round changed nothing. Every round is stored, so lost executors cost one round at most.
+leave the executors; only counts reach the driver, to see whether the links are stars already.
+Every round is stored, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ def _small_star(e: DataFrame) -> DataFrame:
             .filter("u <> v").distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _settled(e: DataFrame) -> bool:
+    """True if the links (u, v), v < u, are stars: every u has one v and no v is a u."""
+    heads = e.select(F.col("u").alias("v")).distinct()
+    r = e.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d")).first()
+    return r["n"] == r["d"] and e.join(heads, "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,15 +43,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``links``: (u, v) of a comparable type; loops and repeated links are fine, an empty table gives
     an empty table. The rounds needed grow with the logarithm of the longest path; if they pass
     ``max_rounds`` the call raises instead of returning an unfinished result."""
-    e = store(links.filter("u <> v").select("u", "v").distinct(), "links")
-    mark = _mark(e)
-    if mark[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = store(e, "links")
     for _ in range(max_rounds):
+        if _settled(e):
+            tips = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return tips.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = store(_small_star(_large_star(e)), "links")
-        now = _mark(e)
-        if now == mark:
-            root = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return root.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark = now
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

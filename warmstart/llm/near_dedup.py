@@ -8,7 +8,7 @@ components of these links.
    are one class from here on, so thousands of copies cost one row.
 2. Forest: the signature is cut into ``TREES`` labels of ``DEPTH`` values. All (tree, label) rows are
    range-partitioned and sorted; in each order a class is paired with the classes among its next
-   ``NEIGHBOURS`` places that share at least ``MIN_DEPTH`` leading values. A thin region is paired
+   places that share at least ``MIN_DEPTH`` leading values. A thin region is paired
    at the minimum depth; in a crowded region the places go to the longest common prefixes, so the depth
    adapts to the region. Range partitions cut through crowded regions (the class is the last sort
    key); the rows at partition ends are stored aside and paired in a second, small pass.
@@ -16,6 +16,10 @@ components of these links.
    allow the similarity; then both texts meet and the sets themselves decide.
 4. Components by star contraction (``components``).
 
+Steps 2 to 4 run twice: the first round looks ``NEAREST`` places ahead, which ties almost all of a
+large group together; the second looks ``NEIGHBOURS`` places ahead, but only at classes of different
+components. So the pairs of a group of n near copies grow with n, and are few.
+
 A pair at similarity 0.75 shares two leading values in none of 16 trees with probability
 (1 - 0.75**2) ** 16 = 2e-6. In a crowded region the chance depends on how many classes are nearer; the
 README gives the measured recall.
@@ -36,12 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from warmstart.llm import arrowtext as A
-from warmstart.llm.common import fresh, store
+from warmstart.llm.common import few, fresh, store
 from warmstart.llm.components import components
 
 AWAY = "__llm_away"
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 6, 2, 8
+TREES, DEPTH, MIN_DEPTH, NEAREST, NEIGHBOURS = 16, 6, 2, 2, 8
 #: Share of equal signature values below which a pair is not looked at again: 4.5 standard deviations
 #: under 0.75 for 96 values.
 AGREE = 0.55
@@ -102,58 +106,61 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "n_shingles", "k1", "k2", "text"])
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("label", pa.binary()),
-                   ("node", pa.int64())])
+_ROW = [("tree", pa.int32()), ("label", pa.binary()), ("node", pa.int64()), ("root", pa.int64())]
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_ROW])
+_PAIR_DDL = "a long, b long, tree int, label binary, node long, root long"
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (tree, label, node), which come sorted; the rows at both ends come out as well."""
+def _neighbours(first: int, last: int):
+    """Arrow function over rows (tree, label, node, root), which come sorted: pairs of rows of different roots, ``first``
+    to ``last`` places apart, with a long enough common prefix. The rows at both ends come out as well."""
     def ends(rows: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, *rows.columns], schema=_PAIR)
 
-    head, tail = 0, None
-    for b in batches:
-        if not len(b):
-            continue
-        b = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(1), b.column(2)],
-                                       names=["tree", "label", "node"])
-        if head < NEIGHBOURS:
-            yield ends(b.slice(0, NEIGHBOURS - head))
-            head += min(len(b), NEIGHBOURS - head)
-        old = 0 if tail is None else len(tail)
-        rows = b if tail is None else pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-        tree, node = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+    def pairs(rows: pa.RecordBatch, old: int) -> Iterator[pa.RecordBatch]:
+        tree, node, root = (rows.column(i).to_numpy() for i in (0, 2, 3))
         label = np.frombuffer(b"".join(rows.column(1).to_pylist()), dtype=">u4").reshape(len(rows), DEPTH)
-        found = []
-        for s in range(1, min(NEIGHBOURS, len(rows) - 1) + 1):
-            near = (tree[s:] == tree[:-s]) & (label[s:, :MIN_DEPTH] == label[:-s, :MIN_DEPTH]).all(axis=1)
+        for s in range(first, min(last, len(rows) - 1) + 1):
+            near = (tree[s:] == tree[:-s]) & (root[s:] != root[:-s])
+            near &= (label[s:, :MIN_DEPTH] == label[:-s, :MIN_DEPTH]).all(axis=1)
             near &= np.arange(s, len(rows)) >= old  # pairs inside the tail are out already
             i = np.flatnonzero(near)
-            found.append(np.stack([node[i], node[i + s]]))
-        if found and (p := np.concatenate(found, axis=1)).size:
-            p.sort(axis=0)
-            none = pa.nulls(p.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), none.cast(pa.int32()),
-                                              none.cast(pa.binary()), none.cast(pa.int64())], schema=_PAIR)
-        tail = rows.slice(max(0, len(rows) - NEIGHBOURS))
-    if tail is not None:
-        yield ends(tail)
-
-
-_PAIR_DDL = "a long, b long, tree int, label binary, node long"
-
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of neighbours in one of the sorted orders."""
-    width = 4 * DEPTH
-    rows = (nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-            .select("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"), "node"))
-    out = store(rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-                .mapInArrow(_neighbours, _PAIR_DDL), "forest")
-    # 2 * NEIGHBOURS rows of every partition at most: grows with the partitions, not with the documents
-    ends = (out.filter("label is not null").select("tree", "label", "node").distinct()
-            .coalesce(1).sortWithinPartitions("tree", "label", "node").mapInArrow(_neighbours, _PAIR_DDL))
+            if len(i):
+                p = np.sort(np.stack([node[i], node[i + s]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), *(pa.nulls(len(i), t) for _, t in _ROW)],
+                                                 schema=_PAIR)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tail = 0, None
+        for b in batches:
+            if not len(b):
+                continue
+            b = pa.RecordBatch.from_arrays([c.cast(t) for c, (_, t) in zip(b.columns, _ROW)], schema=pa.schema(_ROW))
+            if head < last:
+                yield ends(b.slice(0, last - head))
+                head += min(len(b), last - head)
+            old = 0 if tail is None else len(tail)
+            rows = b if tail is None else pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
+            yield from pairs(rows, old)
+            tail = rows.slice(max(0, len(rows) - last))
+        if tail is not None:
+            yield ends(tail)
+
+    return scan
+
+
+def _candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of neighbours in one of the sorted orders, from (node, sig, root)."""
+    width, order = 4 * DEPTH, ["tree", "label", "node"]
+    rows = (nodes.select("node", "sig", "root", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+            .select("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"), "node", "root"))
+    scan = _neighbours(first, last)
+    out = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, _PAIR_DDL), "forest")
+    # 2 * last rows of every partition at most: grows with the partitions, not with the documents; rows that were not
+    # next to each other before are compared too, which does no harm, and all distances count here
+    ends = (out.filter("label is not null").select(*order, "root").distinct()
+            .coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(1, last), _PAIR_DDL))
     pairs = out.select("a", "b", "label").union(ends.select("a", "b", "label"))
     return pairs.filter("label is null and a < b").select("a", "b").distinct()
 
@@ -182,6 +189,27 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _links(rows: DataFrame, nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """Confirmed links (u, v) between nodes of different roots that are neighbours in the forest."""
+    key = ["n_shingles", "k1", "k2"]
+    side = nodes.select("node", "n_shingles", "sig")
+    pairs = (_candidates(nodes.select("node", "sig", "root"), first, last)
+             .join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+             .filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+             .select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"))
+    pairs = store(pairs, "pairs")
+    near = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+                 .join(nodes.select("node", "rep", *key), "node"), "near")
+    # texts of the nodes in a pair: by id, then by set, as an id may come with several texts
+    wanted = few(near.select(F.col("rep").alias("w")).distinct())
+    keyed = T.StructType([rows.schema["id"], *(T.StructField(k, T.LongType()) for k in key), rows.schema["text"]])
+    texts = (rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").mapInArrow(_with_key, keyed)
+             .join(near.select("node", *key), key).groupBy("node").agg(F.first("text").alias("text")))
+    texts = store(texts, "texts")
+    return store(pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+                 .select("a", "b", "ta", "tb").mapInArrow(_confirm, "u long, v long"), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, k1, k2, component_id, component), a row for every row of ``docs``.
 
@@ -196,23 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = store(signed.filter("n_shingles > 0").groupBy(*key)
                   .agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    side = nodes.select("node", "n_shingles", "sig")
-    pairs = (_candidates(nodes)
-             .join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-             .filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-             .select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"))
-    pairs = store(pairs, "pairs")
-    near = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                 .join(nodes.select("node", "rep", *key), "node"), "near")
-    # texts of the nodes in a pair: by id, then by set, as an id may come with several texts
-    wanted = near.select(F.col("rep").alias("w")).distinct()
-    texts = (rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi")
-             .mapInArrow(_with_key, T.StructType([*head, T.StructField("text", T.StringType())]))
-             .join(near.select("node", *key), key).groupBy("node").agg(F.first("text").alias("text")))
-    texts = store(texts, "texts")
-    links = (pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-             .select("a", "b", "ta", "tb").mapInArrow(_confirm, "u long, v long"))
+    links = _links(rows, nodes.withColumn("root", F.col("node")), 1, NEAREST)
     roots = components(links)
+    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _links(rows, joined, NEAREST + 1, NEIGHBOURS)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     member = roots.join(nodes.select("node", "rep"), "node")
     named = (member.join(member.groupBy("root").agg(F.min("rep").alias("least")), "root")
              .select("node", "root", "least"))
@@ -225,13 +242,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.unionByName(none).select("id", *key, "component_id", "component")
 
 
-def _append_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _append_keys(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows whose last column is the text to look at; that column makes way for the keys of its set."""
     for b in batches:
         got = [_keys(sets) for sets in _sets(b.column(b.num_columns - 1))]
         if got:
             keys = [pa.array(np.concatenate(x)) for x in zip(*got)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *keys], names=[*b.schema.names[:-1], "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *keys], names=[*b.schema.names[:-1], *names])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,13 +260,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = store(found, "found")
     again = found.filter("component is not null").groupBy("id").count().filter("count > 1").select("id")
     lost = found.filter(~F.col("component_id").eqNullSafe(F.col("id"))).select("id")
-    away = lost.union(again).distinct().withColumnRenamed("id", AWAY)
+    away = few(store(lost.union(again).distinct(), "away").withColumnRenamed("id", AWAY))
     once = docs.join(away, docs[id_col].eqNullSafe(F.col(AWAY)), "left_anti")
     # ids that occur more than once: judged by row, through the keys of its set
     c, more = fresh(docs, "__text", "__n", "__k1", "__k2", "__i", "__s"), again.withColumnRenamed("id", AWAY)
     shape = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in c[1:4])])
     keyed = (docs.join(more, docs[id_col].eqNullSafe(F.col(AWAY)), "left_semi")
-             .withColumn(c[0], F.col(text_col).cast("string")).mapInArrow(_append_keys, shape))
+             .withColumn(c[0], F.col(text_col).cast("string")).mapInArrow(lambda batches: _append_keys(batches, c[1:4]), shape))
     stay = (found.join(more, F.col("id").eqNullSafe(F.col(AWAY)), "left_semi")
             .filter(F.col("component").isNull() | F.col("component_id").eqNullSafe(F.col("id"))))
     one = (stay.filter("component is not null").groupBy("component", "id")
