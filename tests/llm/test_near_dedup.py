@@ -55,6 +55,37 @@ def test_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_large_star_group(spark):
+    """Copies that are each like the original, but not like each other: all of them are in its component."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = {0: " ".join(base)}
+    for i in range(1, 1001):
+        w = list(base)
+        for j in rng.sample(range(3, 147), 3):
+            w[j] = f"v{i}x{j}"
+        rows[i] = " ".join(w)
+    want = components({i: rows[i] for i in range(60)})  # brute force on a part; each further copy has 15 of 146 shingles changed
+    assert {c for _, c in want.values()} == {0}
+    got = near_dedup.near_duplicates(frame(spark, list(rows.items()))).collect()
+    assert len(got) == 1001 and {r["component_id"] for r in got} == {0}
+
+
+def test_crowded_range_without_links_equals_brute_force(spark, monkeypatch):
+    """Many classes of one range that are not linked, and a few linked pairs among them; small blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = {}
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(100), 4):
+            w[j] = f"v{i}x{j}"
+        rows[i] = " ".join(w)
+    got = near_dedup.near_duplicates(frame(spark, list(rows.items()))).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+
+
 def test_repeated_rows_null_ids_and_extra_columns(spark):
     same = "a b c d e f g h i j"
     rows = [(1, same, "x"), (1, same, "x"), (None, same, "y"), (2, same + " k", "z"), (3, "q r s t u v", "w"),
