@@ -159,6 +159,25 @@ def test_licence_needs_its_key_phrase_and_most_words(spark):
     assert got == {0: "", 1: "mit", 2: ""}
 
 
+def test_licence_notices_and_headers(spark):
+    head = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+            "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    rows = {"Text. Released under the MIT License. More.": "mit", "Licensed under the MIT license": "mit", head.format("", 3): "gpl,gpl-3.0",
+            head.format("", 2): "gpl,gpl-2.0", head.format("Lesser ", 3): "gpl,lgpl-3.0", head.format("Lesser ", "2.1"): "gpl,lgpl-2.1",
+            head.format("Affero ", 3): "agpl-3.0,gpl", "Released under the MIT name": ""}
+    got = {r["text"]: r["scan"]["labels"] for r in licenses.scan(spark.createDataFrame([(t,) for t in rows], "text string")).collect()}
+    assert got == rows
+
+
+def test_every_licence_notice_of_the_documents_gets_its_label(spark):
+    got = licenses.scan(table(spark, SF01, "documents")).select(F.lower("text").alias("t"), F.split("scan.labels", ",").alias("l"))
+    for notice, label in (("released under the mit license", "mit"), ("gnu general public license, version 3", "gpl-3.0"),
+                          ("licensed under cc by-nc 4.0", "cc-by-nc-4.0"), ("licensed under the apache license, version 2.0", "apache-2.0"),
+                          ("all rights reserved", "reserved")):
+        rows = got.filter(F.col("t").contains(notice))
+        assert rows.filter(~F.array_contains("l", label)).count() == 0 < rows.count(), notice
+
+
 def test_rare_index_takes_the_rarest():
     t = licenses.Template("t", "the rare the word again rare", ())
     index = licenses.rare_index([t], {"the": 90, "rare": 1, "word": 5, "again": 5})

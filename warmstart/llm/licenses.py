@@ -34,11 +34,17 @@ RARE, MIN_SUPPORT, MIN_SCORE = 4, 0.5, 0.8
 
 @dataclass(frozen=True)
 class Template:
-    """Words of a notice; ``keys`` are phrases of it that must be there in full."""
+    """Words of a notice; ``keys`` are phrases of it that must be there in full. A label may have several templates, told
+    apart by ``form``."""
 
     label: str
     text: str
     keys: tuple[str, ...]
+    form: str = ""
+
+    @property
+    def name(self) -> str:
+        return f"{self.label} {self.form}".strip()
 
     @property
     def words(self) -> list[str]:
@@ -49,6 +55,13 @@ def split(text: str) -> list[str]:
     return re.findall(WORDS, "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
 
+def _header(label: str, licence: str, version: str) -> Template:
+    """The usual header of a source file under a GNU licence."""
+    body = f"GNU {licence} General Public License as published by the Free Software Foundation"
+    return Template(label, f"under the terms of the {body}, either version {version} of the License",
+                    (body, f"either version {version} of the license"), "header")
+
+
 #: Short notices of common public licences.
 TEMPLATES = [
     Template("agpl-3.0", "licensed under the GNU Affero General Public License, version 3", ("affero general public license",)),
@@ -69,6 +82,12 @@ TEMPLATES = [
              ("mozilla public license",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain",
              ("released into the public domain",)),
+    Template("mit", "Released under the MIT License", ("the mit license",), "notice"),
+    _header("gpl-2.0", "", "2"),
+    _header("gpl-3.0", "", "3"),
+    _header("lgpl-2.1", "Lesser", "2.1"),
+    _header("lgpl-3.0", "Lesser", "3"),
+    _header("agpl-3.0", "Affero", "3"),
 ]
 
 
@@ -84,11 +103,11 @@ def document_frequencies(words: DataFrame, templates: list[Template]) -> dict[st
 
 
 def rare_index(templates: list[Template], frequency: dict[str, int]) -> dict[str, list[tuple[str, int]]]:
-    """For every label the (word, position) entries of its ``RARE`` rarest words; ties in alphabetical order."""
+    """For every template name the (word, position) entries of its ``RARE`` rarest words; ties in alphabetical order."""
     out = {}
     for t in templates:
         rare = sorted(set(t.words), key=lambda w: (frequency.get(w, 0), w))[:RARE]
-        out[t.label] = [(w, i) for i, w in enumerate(t.words) if w in rare]
+        out[t.name] = [(w, i) for i, w in enumerate(t.words) if w in rare]
     return out
 
 
@@ -157,7 +176,7 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "scan", templates:
     rows = rows.withColumn(p, F.struct(*base)).withColumn(h, at)
     hits, found = F.col(h), []
     for t in templates:
-        score = F.when(F.size(hits) > 0, _best(words, _starts(hits, index[t.label]), t)).otherwise(0.0)
+        score = F.when(F.size(hits) > 0, _best(words, _starts(hits, index[t.name]), t)).otherwise(0.0)
         found.append(F.struct(F.lit(t.label).alias("label"), score.alias("score")))
     rows = rows.withColumn(s, F.array(*found) if found else F.array().cast("array<struct<label:string,score:double>>"))
     names = [F.when(F.size(F.col(p)[x.replace(" ", "_")]) > 0, label) for x, label in PHRASES.items()]
