@@ -117,6 +117,12 @@ def test_short_items_many_copies_and_empty_tables(spark):
     assert left.columns == d.columns and [r["doc_id"] for r in left.collect()] == [99]
 
 
+def test_items_of_mostly_slots(spark):
+    item = "Compute 12 * 45 - 7 * 9 + 3"
+    got = leaks(spark, [(0, "First: " + item + " please."), (1, "Compute 12 * 45 - 7 * 9 + 4")], [(1, item)])
+    assert set(got) == {(0, 1)} and got[0, 1]["exact"] and got[0, 1]["coverage"] == 1
+
+
 def test_leaks_of_plain_items_equal_brute_force(spark):
     bench = [(r["item_id"], r["text"]) for r in table(spark, SF01, "benchmark").collect()]
     docs = table(spark, SF01, "documents").select("doc_id", "text")

@@ -4,7 +4,8 @@ Text becomes template words: white-space words with outer marks stripped and low
 a number and names (capitalised words inside a sentence) replaced by typed placeholders. Benchmark
 templates are cut into windows of ``WINDOW`` words (an item with fewer words is one window); those with fewer than
 ``MIN_LITERAL`` words that are no placeholder (all words, if the window is shorter) say too little and are
-left out. Windows of all documents meet them by a hash join. Matches of one document and item on one diagonal (same distance between the
+left out. Beside them every window is kept as its plain lower-cased words, so a verbatim copy is found whatever
+its case, its blanks and its share of placeholders. Windows of all documents meet both by a hash join. Matches of one document and item on one diagonal (same distance between the
 two positions) are compared word by word: a slot is consistent if one benchmark value always stands for
 one document value. A document leaks an item if consistent matches cover at least ``MIN_COVER`` of
 the item's words; ``exact`` says that all slot values are the benchmark's own, else the item was
@@ -92,16 +93,21 @@ def _windows(words: Column, plain: Column, size: int, anchors: list[str] | None)
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(h, size, item_id, place, n, bw, bo, anchor) of every usable window: its place in an item of n words, its template
-    words and words, and its longest literal word."""
+    words and words, and its longest literal word; then every window with bw = bo, its words alone."""
     items = benchmark_items(benchmark, id_col, text_col)
     size = F.least(F.lit(WINDOW), F.size("bt"))
     rows = items.withColumn("size", size).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("bt") - F.col("size"))))
-    part = F.slice("bt", F.col("place") + 1, F.col("size"))
-    plain = F.filter(part, lambda w: ~_is_slot(w))
+    rows = rows.select("size", "item_id", "place", F.size("bt").alias("n"),
+                       F.slice("bt", F.col("place") + 1, F.col("size")).alias("bw"),
+                       F.slice("bo", F.col("place") + 1, F.col("size")).alias("bo"))
+    plain = F.filter("bw", lambda w: ~_is_slot(w))
+    # the longest word that is no placeholder, if there is one
+    best = F.array_max(F.zip_with("bw", "bo", lambda t, o: F.struct((~_is_slot(t)).alias("l"), F.length(o).alias("n"), o.alias("w"))))
     longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return (rows.filter(F.size(plain) >= F.least(F.lit(MIN_LITERAL), F.col("size")))
-            .select(F.xxhash64(part).alias("h"), "size", "item_id", "place", F.size("bt").alias("n"), part.alias("bw"),
-                    F.slice("bo", F.col("place") + 1, F.col("size")).alias("bo"), longest.alias("anchor")))
+    template_rows = rows.filter(F.size(plain) >= F.least(F.lit(MIN_LITERAL), F.col("size"))).withColumn("anchor", longest)
+    plain_rows = rows.withColumn("anchor", best["w"]).withColumn("bw", F.col("bo"))
+    both = template_rows.filter("bw <> bo").unionByName(plain_rows)
+    return both.select(F.xxhash64("bw").alias("h"), "size", "item_id", "place", "n", "bw", "bo", "anchor")
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +136,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                           F.when(slotted, words_of(F.lower("text"))).alias("do"))
     plain = F.coalesce("do", "dt")  # without placeholders the template words are the words
     none = F.array().cast("array<struct<at:int,h:bigint,tw:array<string>,ow:array<string>>>")
-    every = F.concat(none, *(_windows(F.col("dt"), plain, s, anchors) for s in sizes))
+    own = F.coalesce("do", F.array().cast("array<string>"))  # windows of plain words, where they are not the template's
+    every = F.concat(none, *(_windows(F.col("dt"), plain, s, anchors) for s in sizes), *(_windows(own, own, s, anchors) for s in sizes))
     hits = (words.select("id", "text_hash", F.explode(every).alias("w"))
             .select("id", "text_hash", "w.at", "w.h", "w.tw", "w.ow"))
     # the windows that meet the benchmark are all that goes on
