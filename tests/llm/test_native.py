@@ -123,6 +123,16 @@ def test_items_of_mostly_slots(spark):
     assert set(got) == {(0, 1)} and got[0, 1]["exact"] and got[0, 1]["coverage"] == 1
 
 
+def test_conflicting_slots_cost_their_windows_only(spark):
+    words = [f"w{i}x" for i in range(60)]
+    words[10] = words[40] = "5"
+    def copy(a, b):
+        return " ".join([*words[:10], a, *words[11:40], b, *words[41:]])
+    got = leaks(spark, [(0, copy("5", "6")), (1, copy("3", "4")), (2, copy("8", "8"))], [(1, copy("5", "5"))])
+    assert {d for d, _ in got} == {0, 1, 2} and not any(r["exact"] for r in got.values())
+    assert got[2, 1]["coverage"] == 1 and got[1, 1]["coverage"] < got[0, 1]["coverage"] < 1
+
+
 def test_leaks_of_plain_items_equal_brute_force(spark):
     bench = [(r["item_id"], r["text"]) for r in table(spark, SF01, "benchmark").collect()]
     docs = table(spark, SF01, "documents").select("doc_id", "text")

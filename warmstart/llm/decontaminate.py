@@ -5,11 +5,12 @@ a number and names (capitalised words inside a sentence) replaced by typed place
 templates are cut into windows of ``WINDOW`` words (an item with fewer words is one window); those with fewer than
 ``MIN_LITERAL`` words that are no placeholder (all words, if the window is shorter) say too little and are
 left out. Beside them every window is kept as its plain lower-cased words, so a verbatim copy is found whatever
-its case, its blanks and its share of placeholders. Windows of all documents meet both by a hash join. Matches of one document and item on one diagonal (same distance between the
-two positions) are compared word by word: a slot is consistent if one benchmark value always stands for
-one document value. A document leaks an item if consistent matches cover at least ``MIN_COVER`` of
-the item's words; ``exact`` says that all slot values are the benchmark's own, else the item was
-re-parameterised.
+its case, its blanks and its share of placeholders. Windows of all documents meet both by a hash join. Matches of one document
+and item on one diagonal (same distance between the two positions) are compared word by word: a slot
+conflicts if its value is neither the benchmark's own nor the one that stands for this benchmark value most often.
+Windows with a conflicting slot are left out, and each conflicting slot counts against the coverage by
+one word. A document leaks an item if the other windows cover at least ``MIN_COVER`` of the item's
+words; ``exact`` says that all slot values are the benchmark's own, else the item was re-parameterised.
 
 Documents are scanned once; only the windows that match go on, with their words, so no text is shuffled.
 Every benchmark window has an anchor, its longest literal word; only windows of documents that hold an
@@ -143,22 +144,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # the windows that meet the benchmark are all that goes on
     hits = store(hits.join(marks, "h", "left_semi"), "hits")
     slot = F.filter(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.struct(
-        F.get("bw", j).alias("t"), F.get("bo", j).alias("b"), F.get("ow", j).alias("d"))), lambda x: _is_slot(x["t"]))
+        (F.col("place") + j).alias("p"), F.get("bw", j).alias("t"), F.get("bo", j).alias("b"), F.get("ow", j).alias("d"))), lambda x: _is_slot(x["t"]))
     same = (hits.join(win, "h").filter("tw = bw")  # a hash may collide
             .select("id", "text_hash", "item_id", "n", (F.col("at") - F.col("place")).alias("shift"), "place",
                     F.sequence("place", F.col("place") + F.col("size") - 1).alias("covers"), slot.alias("slots")))
-    # a diagonal has as many windows as the item has words at most
+    # a diagonal has twice as many windows as the item has words at most
     diagonal = (same.groupBy("id", "text_hash", "item_id", "n", "shift")
-                .agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("covered"),
-                     F.size(F.collect_set("place")).alias("windows"),
-                     F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")))
+                .agg(F.collect_set(F.struct("place", "covers", "slots")).alias("w"))
+                .withColumn("slots", F.array_distinct(F.flatten(F.transform("w", lambda w: w["slots"])))))
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
     pairs = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["b"], s["d"]))))
     exact = F.forall("slots", lambda s: s["b"].eqNullSafe(s["d"]))
-    return (diagonal.filter(pairs == values)
-            .groupBy("id", "text_hash", "item_id", "n")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("c"), F.sum("windows").alias("windows"),
-                 F.sum(values).alias("slots"), F.every(exact).alias("exact"))
+
+    def times(s: Column) -> Column:
+        return F.size(F.filter("slots", lambda x: (x["b"] == s["b"]) & (x["d"] == s["d"])))
+
+    def conflicts(s: Column) -> Column:
+        return (s["d"] != s["b"]) & F.exists("slots", lambda x: (x["b"] == s["b"]) & (x["d"] != s["d"]) & (times(x) >= times(s)))
+
+    bad = F.when(pairs > values, F.transform(F.filter("slots", conflicts), lambda s: s["p"])).otherwise(F.array().cast("array<int>"))
+    kept = F.filter("w", lambda w: ~F.exists(w["slots"], lambda s: F.array_contains(F.col("bad"), s["p"])))
+    diagonal = (diagonal.withColumn("values", values).withColumn("exact", exact).withColumn("bad", F.array_distinct(bad))
+                .withColumn("w", kept).filter("size(w) > 0")
+                .select("id", "text_hash", "item_id", "n", "values", "exact", "bad",
+                        F.array_distinct(F.flatten(F.transform("w", lambda w: w["covers"]))).alias("covered"),
+                        F.size(F.array_distinct(F.transform("w", lambda w: w["place"]))).alias("windows")))
+    covered = F.array_distinct(F.flatten(F.collect_set("covered")))
+    # a slot that another diagonal has right is no conflict of the document
+    lost = F.array_except(F.array_distinct(F.flatten(F.collect_set("bad"))), covered)
+    return (diagonal.groupBy("id", "text_hash", "item_id", "n")
+            .agg((F.size(covered) - F.size(lost)).alias("c"), F.sum("windows").alias("windows"),
+                 F.sum("values").alias("slots"), F.every("exact").alias("exact"))
             .withColumn("coverage", F.col("c") / F.col("n")).filter(F.col("coverage") >= MIN_COVER)
             .select("id", "text_hash", "item_id", "coverage", "windows", "slots", "exact"))
 
