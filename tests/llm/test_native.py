@@ -133,6 +133,12 @@ def test_conflicting_slots_cost_their_windows_only(spark):
     assert got[2, 1]["coverage"] == 1 and got[1, 1]["coverage"] < got[0, 1]["coverage"] < 1
 
 
+def test_names_in_any_case_and_after_any_blanks(spark):
+    item = "Yesterday Anna met Berta and Carla near Dresden while Erika and Frieda saw Greta in Hamburg with Ida"
+    got = leaks(spark, [(0, item.lower()), (1, item.upper()), (2, item.replace(" ", "    ")), (3, item)], [(1, item)])
+    assert {d for d, _ in got} == {0, 1, 2, 3} and all(r["coverage"] == 1 for r in got.values())
+
+
 def test_leaks_of_plain_items_equal_brute_force(spark):
     bench = [(r["item_id"], r["text"]) for r in table(spark, SF01, "benchmark").collect()]
     docs = table(spark, SF01, "documents").select("doc_id", "text")
