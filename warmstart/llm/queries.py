@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warmstart.llm import (decontaminate, langid, licenses, mixing, near_dedup, quality_model, quality_rules, token_counts,
-                           url_filter, warc)
-from warmstart.llm.common import held_out, n_words, table
+from warmstart.llm import (conversations, decontaminate, langid, licenses, mixing, near_dedup, periodic, quality_model,
+                           quality_rules, simhash, token_counts, url_filter, warc)
+from warmstart.llm.common import WORD, held_out, let, n_words, table
 from warmstart.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,5 +108,55 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by crc32(``conv_id:turn``) % 20, 0 drops a row, 1 empties its text, 2 removes its ends of
+    sentences, 3 repeats it, 4 makes it the user's; nulls are one space."""
+    given = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat_ws(":", given["conv_id"], given["turn"])) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(given["text"], "[.!?]", "")).otherwise(given["text"])
+    return (rows.withColumn("fault", fault).filter("fault <> 0")
+            .select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(given["role"]).alias("role"), text.alias("text"),
+                    F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+            .drop("copy"))
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.summaries(damaged(rows), rows.select("conv_id"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """With h = crc32(doc_id) and g = h div 10: where h % 10 = 0, each word i >= a of the n becomes word a + (i - a) % p, with
+    a = g % n and p = 1 + (n - a) div (3 + g % 8); rows without id or words stay."""
+    def periodic_words(w, g):
+        n = F.size(w).cast("long")
+        a = g % n
+        return let(F.struct(n.alias("n"), a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda s: F.concat(
+            F.slice(w, F.lit(1), s["a"].cast("int")),
+            F.transform(F.sequence(s["a"], s["n"] - 1), lambda i: w[(s["a"] + (i - s["a"]) % s["p"]).cast("int")])))
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    text = let(words, lambda w: F.when(F.size(w) > 0, F.array_join(periodic_words(w, F.floor(h / 10)), " ")).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"),
+                    F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "strongest.*",
+                      F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+                      F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLE.items() if k in QUERIES}
