@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from warmstart.functions import similarity as sim
+from tests import plain_strings as plain
+from tests.conftest import SF
 from warmstart.functions import text as tx
 from warmstart.operators import matching as mt
 from warmstart.sources import fixtures as fx
-from tests.conftest import SF
 
 
 def _keys(df):
@@ -39,9 +39,9 @@ def brute_force(a_rows, b_rows, weights=(3, 1, 0, 0, 1), thr=0.75):
     wc, wi, _, _, wl = weights
     for s in a_ids:
         x = a_rows[s]["ry"]
-        cos = np.array([sim.cosine_py(x, b_rows[t]["ry"]) for t in b_ids])
-        ind = np.array([sim.indel_similarity_py(x, b_rows[t]["ry"]) for t in b_ids], dtype=float)
-        lev = np.array([sim.levenshtein_similarity_py(x, b_rows[t]["ry"]) for t in b_ids], dtype=float)
+        cos = np.array([plain.cosine(x, b_rows[t]["ry"]) for t in b_ids])
+        ind = np.array([2 * plain.lcs(x, b_rows[t]["ry"]) for t in b_ids], dtype=float)
+        lev = np.array([plain.levenshtein_similarity(x, b_rows[t]["ry"]) for t in b_ids], dtype=float)
 
         def scale(v):
             return (v - v.min()) / (v.max() - v.min()) if v.max() > v.min() else np.zeros_like(v)
@@ -85,7 +85,7 @@ def test_prefix_filter_keeps_every_pair_above_bound(spark):
     srows, trows = sk.collect(), tk.collect()
     for s in srows:
         for t in trows:
-            if sim.cosine_py(s["key"], t["key"]) >= theta:
+            if plain.cosine(s["key"], t["key"]) >= theta:
                 assert (s["sid"], t["tid"]) in cands
 
 
@@ -139,3 +139,42 @@ def test_normalize_all_titles(spark):
     df = spark.createDataFrame([("Été & Co",)], "t string")
     row = df.select(tx.raw_title(F.col("t")).alias("a"), tx.raw_title(F.col("t"), normalize_all=True).alias("b")).first()
     assert row["a"] == "été & co" and row["b"] == "ete and co"
+
+
+def _titles(spark, seed, n, item):
+    """Random titles over few words, so that many pairs share tokens and score near the threshold."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["red", "blue", "old", "new", "widget", "gear", "bolt", "rod", "small", "large"]
+    rows = [(item + i, " ".join(rng.choice(words) + rng.choice(["", "", "s"]) for _ in range(rng.randint(1, 6)))
+             + rng.choice(["", f" ({1990 + rng.randint(0, 2)})"])) for i in range(n)]
+    return spark.createDataFrame(rows, "item_id long, title string")
+
+
+@pytest.mark.parametrize("weights", [(3, 1, 0, 0, 1), (3, 0, 0, 0, 2), (3, 2, 0, 0, 0), (4, 1, 1, 0, 1), (1, 0, 0, 0, 0)])
+def test_certified_match_equals_full_statistics(spark, weights):
+    a, b = _titles(spark, 1, 120, 0), _titles(spark, 2, 90, 1000)
+    for threshold in (0.6, 0.75, 0.9):
+        if mt.cosine_bound(weights, threshold) <= 0:
+            continue
+        got, want = ({(r["source_item"], r["target_item"], round(r["score"], 9))
+                      for r in mt.match_fuzzy(a, b, weights, threshold, stats=s).collect()} for s in ("certified", "all"))
+        assert got == want
+        if threshold < 0.9:
+            assert want
+
+
+def test_certified_match_with_constant_statistics(spark):
+    """One target: every metric is constant, so the scaled terms are 0 and nothing can be accepted on the cosine's weight alone."""
+    a = spark.createDataFrame([(1, "red widget brand7 (1999)")], "item_id long, title string")
+    b = spark.createDataFrame([(10, "red widget brand7 x (1999)")], "item_id long, title string")
+    assert mt.match_fuzzy(a, b).collect() == mt.match_fuzzy(a, b, stats="all").collect() == []
+
+
+def test_few_sources_need_the_smallest_values(spark):
+    a, b = fx.catalog_a(spark, SF), fx.catalog_b(spark, SF)
+    _, a1, b1 = mt.match_exact(a, b)
+    _, a2, b2 = mt.match_raw_title(a1, b1)
+    rows = mt.certified_pairs(a2, b2).select("sid", "decided").distinct().collect()
+    assert sum(r["decided"] for r in rows) >= 50

@@ -16,20 +16,22 @@ ties) and accepts it when ``round(score, 4) > threshold``.
   remaining suffix has unit-norm weight below the bound. Two titles reaching the
   bound must share a prefix token, so no accepted match is lost, and frequent
   tokens (a year, "the") mostly fall in suffixes: they do not produce all pairs.
-* Statistics. ``stats="all"`` (default, the reference's definition) computes the
-  per-source min/max over all leftover targets, for every source that has a
-  candidate (no other source can be accepted), without materialising pairs:
-  targets are cut into blocks of bounded size and sources into chunks, and one cogrouped
-  task per (block, chunk) reduces every source to four numbers with a
-  bit-parallel numpy kernel. The work is |sources| x |targets| character steps,
-  as in the reference; ``stats="candidates"`` is the linear, approximate mode
-  (min/max over candidate pairs only).
+* Statistics. The scaled terms need each source's smallest and greatest similarity over all leftover targets. The match
+  itself (``stats="certified"``) works out only what decides it. A pair's score is bounded from above with 0 for the smallest
+  value and the candidates' own greatest value; sources without a pair above the threshold are rejected. For the others the greatest values are
+  made exact: characters in common bound both similarities, one matrix product per block of targets, and only
+  pairs that the bound leaves open are evaluated (``similarity.greatest``). A pair that has both greatest values has scaled
+  terms of exactly 1, whatever the smallest values are (they need only be smaller, which the fewest common characters
+  show); the smallest values are searched only for the sources that are still undecided. Accepted
+  pairs and their scores are those of the full definition. ``stats="all"`` works out both ends for every source that has a candidate (W7),
+  ``stats="candidates"`` is the approximate mode (min/max over candidate pairs only).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +47,12 @@ DEFAULT_THRESHOLD = 0.75
 # Target strings per block of the all-options statistics, and their bytes.
 BLOCK_ROWS = 20000
 BLOCK_BYTES = 4 * 1024 * 1024
-# Sources per task of the all-target statistics (bounds one task's work).
-SOURCES_PER_TASK = 512
+# Sources per task of the statistics over all targets (bounds one task's work), and chunks of sources at least.
+SOURCES_PER_TASK = 4096
+MIN_CHUNKS = 32
+
+# Beyond any LCS or similarity.
+FAR = 1 << 40
 
 MAPPING_COLS = ["source_item", "target_item", "stage", "score"]
 
@@ -158,41 +164,74 @@ def candidate_pairs(tok_s: DataFrame, tok_t: DataFrame, theta: float) -> DataFra
 
 
 # ---------------------------------------------------------------- min-max statistics
-def _stats_schema():
-    return "sid long, lev_min long, lev_max long, ind_min long, ind_max long"
+_STATS = "sid long, lev_min long, lev_max long, ind_min long, ind_max long"
+_GREATEST = "sid long, lev_max long, ind_max long, fewest long"
+_LEAST = "sid long, lev_min long, ind_min long"
 
 
-def all_target_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """W7 statistics over *all* targets: per source min/max of Levenshtein and Indel similarity.
+def _by_blocks(src: DataFrame, tgt_keys: DataFrame, kernel, schema: str, block_rows: int) -> DataFrame:
+    """``kernel(sources, target keys)`` for every chunk of ``src`` (sid, key, ...) and block of targets (tid, key).
 
-    Targets are hashed into blocks of about ``block_rows`` strings or ``BLOCK_BYTES`` bytes, sources into
-    chunks; every (block, chunk) pair is one cogrouped task that reduces its sources to four
-    numbers, and an aggregate merges the blocks. No string passes through the driver.
-    """
-    spark = src_keys.sparkSession
-    size = F.sum(F.octet_length("key"))
-    n_t, t_bytes = tgt_keys.agg(F.count(F.lit(1)), size).first()
-    n_s = src_keys.count()
+    Targets are hashed into blocks of about ``block_rows`` strings or ``BLOCK_BYTES`` bytes, sources into at least
+    ``MIN_CHUNKS`` chunks of at most ``SOURCES_PER_TASK``; every (block, chunk) pair is one cogrouped task, so a target
+    is shuffled once per chunk. No string passes through the driver."""
+    spark = src.sparkSession
+    n_t, t_bytes = tgt_keys.agg(F.count(F.lit(1)), F.sum(F.octet_length("key"))).first()
+    n_s = src.count()
     if n_t == 0 or n_s == 0:
-        return spark.createDataFrame([], _stats_schema())
+        return spark.createDataFrame([], schema)
     n_blocks = max(1, math.ceil(n_t / block_rows), math.ceil((t_bytes or 0) / BLOCK_BYTES))
-    n_chunks = max(1, math.ceil(n_s / SOURCES_PER_TASK))
+    n_chunks = max(math.ceil(n_s / SOURCES_PER_TASK), min(MIN_CHUNKS, math.ceil(n_s / 64)))
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     tgt = (tgt_keys.select("key", F.pmod(hash_int(7, "tid"), F.lit(n_blocks)).cast("int").alias("blk"))
            .select("key", "blk", each(n_chunks, "chunk")))
-    src = (src_keys.select("sid", "key", F.pmod(hash_int(7, "sid"), F.lit(n_chunks)).cast("int").alias("chunk"))
-           .select("sid", "key", "chunk", each(n_blocks, "blk")))
+    chunked = (src.withColumn("chunk", F.pmod(hash_int(7, "sid"), F.lit(n_chunks)).cast("int"))
+               .select("*", each(n_blocks, "blk")))
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def kernel(sp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
+    def work(sp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
         if not len(sp) or not len(tp):
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("sid", "lev_min", "lev_max", "ind_min", "ind_max")})
-        mm = sim.block_minmax([k or "" for k in sp["key"]], sim.TargetBlock([k or "" for k in tp["key"]]))
-        return pd.DataFrame({"sid": sp["sid"].astype("int64").values, "lev_min": mm[:, 0], "lev_max": mm[:, 1],
-                             "ind_min": mm[:, 2], "ind_max": mm[:, 3]})
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in names})
+        return kernel(sp, tp["key"])[names]
+
+    return chunked.groupBy("blk", "chunk").cogroup(tgt.groupBy("blk", "chunk")).applyInPandas(work, schema)
+
+
+def all_target_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """W7 statistics over *all* targets: per source (sid, key) min/max of Levenshtein and Indel similarity."""
+    def kernel(sp: pd.DataFrame, keys: pd.Series) -> pd.DataFrame:
+        s, blk = sim.Strings(sp["key"]), sim.Block(keys)
+        none = np.full(s.n, -1)
+        lcs_max, lev_max, _ = sim.greatest(s, blk, none, none)
+        lcs_min, lev_min = sim.least(s, blk)
+        return pd.DataFrame({"sid": sp["sid"].to_numpy(), "lev_min": lev_min, "lev_max": lev_max,
+                             "ind_min": 2 * lcs_min, "ind_max": 2 * lcs_max})
+
+    return _by_blocks(src_keys.select("sid", "key"), tgt_keys, kernel, _STATS, block_rows).groupBy("sid").agg(
+        F.min("lev_min").alias("lev_min"), F.max("lev_max").alias("lev_max"),
+        F.min("ind_min").alias("ind_min"), F.max("ind_max").alias("ind_max"))
+
+
+def greatest_stats(src: DataFrame, tgt_keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(sid, lev_max, ind_max, fewest) over all targets for sources (sid, key, lev, ind); ``lev`` and ``ind`` are values that
+    some target reaches, ``fewest`` the fewest characters in common with a target."""
+    def kernel(sp: pd.DataFrame, keys: pd.Series) -> pd.DataFrame:
+        s = sim.Strings(sp["key"])
+        lcs_max, lev_max, fewest = sim.greatest(s, sim.Block(keys), sp["ind"].to_numpy() // 2, sp["lev"].to_numpy())
+        return pd.DataFrame({"sid": sp["sid"].to_numpy(), "lev_max": lev_max, "ind_max": 2 * lcs_max, "fewest": fewest})
+
+    return _by_blocks(src.select("sid", "key", "lev", "ind"), tgt_keys, kernel, _GREATEST, block_rows).groupBy("sid").agg(
+        F.max("lev_max").alias("lev_max"), F.max("ind_max").alias("ind_max"), F.min("fewest").alias("fewest"))
+
+
+def least_stats(src_keys: DataFrame, tgt_keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(sid, lev_min, ind_min) over all targets for sources (sid, key)."""
+    def kernel(sp: pd.DataFrame, keys: pd.Series) -> pd.DataFrame:
+        lcs_min, lev_min = sim.least(sim.Strings(sp["key"]), sim.Block(keys))
+        return pd.DataFrame({"sid": sp["sid"].to_numpy(), "lev_min": lev_min, "ind_min": 2 * lcs_min})
 
-    parts = src.groupBy("blk", "chunk").cogroup(tgt.groupBy("blk", "chunk")).applyInPandas(kernel, _stats_schema())
-    return parts.groupBy("sid").agg(F.min("lev_min").alias("lev_min"), F.max("lev_max").alias("lev_max"),
-                                    F.min("ind_min").alias("ind_min"), F.max("ind_max").alias("ind_max"))
+    return _by_blocks(src_keys.select("sid", "key"), tgt_keys, kernel, _LEAST, block_rows).groupBy("sid").agg(
+        F.min("lev_min").alias("lev_min"), F.min("ind_min").alias("ind_min"))
 
 
 def _scaled(x, lo, hi):
@@ -209,9 +248,19 @@ def cosine_bound(weights, threshold: float) -> float:
     return (threshold * total - (total - w["cosine"])) / w["cosine"]
 
 
-def score_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, threshold: float = DEFAULT_THRESHOLD,
-                stats: str = "all") -> DataFrame:
-    """Scored candidate pairs ``(sid, tid, cosine, ..., score)`` of the fuzzy stage."""
+def _linear(pairs: DataFrame, weights) -> DataFrame:
+    """``pairs`` (with the metrics and the statistics of their source) with their ``score``; metrics are scaled."""
+    w = dict(zip(sim.METRICS, [float(x) for x in weights]))
+    sims = {m: F.col(m) for m in ("cosine", "jaro", "jaro_winkler") if w[m]}
+    if w["indel"]:
+        sims["indel"] = _scaled(F.col("indel"), "ind_min", "ind_max")
+    if w["levenshtein"]:
+        sims["levenshtein"] = _scaled(F.col("levenshtein"), "lev_min", "lev_max")
+    return pairs.withColumn("score", sim.weighted_score(sims, w))
+
+
+def _candidates_scored(src: DataFrame, tgt: DataFrame, weights, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys of the sources (sid, key) and targets (tid, key), and the candidate pairs with the metrics of a positive weight."""
     w = dict(zip(sim.METRICS, [float(x) for x in weights]))
     bound = cosine_bound(weights, threshold)
     if bound <= 0:
@@ -222,21 +271,24 @@ def score_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, thresho
     tk = tgt.select(F.col("item_id").alias("tid"), raw_title_year(F.col("title")).alias("key"))
     tok_s, tok_t = token_table(sk, "sid"), token_table(tk, "tid")
     cands = cosine_pairs(candidate_pairs(tok_s, tok_t, theta), tok_s, tok_t).filter(F.col("cosine") >= theta)
-    need_stats = bool(w["indel"] or w["levenshtein"])
-    if need_stats and stats == "all":
-        # read twice (which sources need statistics, then scoring): pin once
-        cands = cut_lineage(cands)
     pairs = (cands.join(sk.withColumnRenamed("key", "s_key"), "sid")
              .join(tk.withColumnRenamed("key", "t_key"), "tid"))
-    sims = {"cosine": F.col("cosine")}
     for name in ("indel", "jaro", "jaro_winkler", "levenshtein"):
         if w[name]:
             pairs = pairs.withColumn(name, sim.metric(name)(F.col("s_key"), F.col("t_key")))
-    if need_stats:
+    return sk, tk, pairs
+
+
+def score_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, threshold: float = DEFAULT_THRESHOLD,
+                stats: str = "all") -> DataFrame:
+    """Candidate pairs ``(sid, tid, cosine, ..., score)`` of the fuzzy stage, all with their exact score."""
+    sk, tk, pairs = _candidates_scored(src, tgt, weights, threshold)
+    if weights[1] or weights[4]:
         if stats == "all":
             # Only a source with a candidate can be accepted, and its statistics only
             # scale its own candidates: the all-targets pass runs for those sources.
-            st = all_target_stats(sk.join(cands.select("sid").distinct(), "sid", "left_semi"), tk)
+            pairs = cut_lineage(pairs)
+            st = all_target_stats(sk.join(pairs.select("sid").distinct(), "sid", "left_semi"), tk)
         elif stats == "candidates":
             st = (pairs.withColumn("_lev", sim.levenshtein_similarity(F.col("s_key"), F.col("t_key")))
                   .withColumn("_ind", sim.indel_similarity(F.col("s_key"), F.col("t_key")))
@@ -245,14 +297,49 @@ def score_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, thresho
         else:
             raise ValueError("stats must be 'all' or 'candidates'")
         pairs = pairs.join(st, "sid")
-        if w["indel"]:
-            sims["indel"] = _scaled(F.col("indel"), "ind_min", "ind_max")
-        if w["levenshtein"]:
-            sims["levenshtein"] = _scaled(F.col("levenshtein"), "lev_min", "lev_max")
-    for name in ("jaro", "jaro_winkler"):
-        if w[name]:
-            sims[name] = F.col(name)
-    return pairs.withColumn("score", sim.weighted_score(sims, w))
+    return _linear(pairs, weights)
+
+
+def certified_pairs(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """The candidate pairs that can score above ``threshold``, with exact scores, from as few statistics as decide them.
+
+    No other pair of the source can be accepted or beat an accepted one. ``decided`` is true where no smallest
+    value over all targets was needed."""
+    _, tk, pairs = _candidates_scored(src, tgt, weights, threshold)
+    w_ind, w_lev = weights[1], weights[4]
+    for name in ("indel", "levenshtein"):
+        if name not in pairs.columns:
+            pairs = pairs.withColumn(name, F.lit(0.0))
+    pairs = cut_lineage(pairs)
+    least_zero = {"lev_min": F.lit(0), "ind_min": F.lit(0)}
+
+    def open_pairs(p: DataFrame, stats: DataFrame) -> DataFrame:
+        """Pairs whose score with 0 for the smallest values, its upper bound, is above the threshold."""
+        bounded = _linear(p.join(stats, "sid").withColumns(least_zero), weights)
+        return bounded.filter(F.col("score") > threshold - 1e-9).select(*p.columns, *(c for c in stats.columns if c != "sid"))
+
+    own = pairs.groupBy("sid").agg(F.max("levenshtein").cast("long").alias("lev_max"), F.max("indel").cast("long").alias("ind_max"))
+    first = open_pairs(pairs, own)
+    if not (w_ind or w_lev):
+        return _linear(first.withColumns(least_zero).withColumn("decided", F.lit(True)), weights)
+    first = cut_lineage(first)
+    asked = (first.groupBy("sid").agg(F.first("s_key").alias("key"), F.max("lev_max").alias("lev"), F.max("ind_max").alias("ind")))
+    # a metric without weight asks for nothing: its greatest value is set beyond all
+    if not w_ind:
+        asked = asked.withColumn("ind", F.lit(2 * FAR).cast("long"))
+    if not w_lev:
+        asked = asked.withColumn("lev", F.lit(FAR).cast("long"))
+    second = open_pairs(first.drop("lev_max", "ind_max"), greatest_stats(asked, tk))
+    reaches = F.lit(True)
+    if w_ind:
+        reaches &= (F.col("indel") == F.col("ind_max")) & (2 * F.col("fewest") < F.col("ind_max"))
+    if w_lev:
+        reaches &= (F.col("levenshtein") == F.col("lev_max")) & (F.col("fewest") < F.col("lev_max"))
+    second = cut_lineage(second.withColumn("_reaches", reaches))
+    status = second.groupBy("sid").agg(F.min("_reaches").alias("decided"), F.first("s_key").alias("key"))
+    rest = least_stats(status.filter(~F.col("decided")).select("sid", "key"), tk)
+    return _linear(second.join(status.select("sid", "decided"), "sid").join(rest, "sid", "left")
+                   .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lev_min", "ind_min")}).drop("_reaches", "fewest"), weights)
 
 
 def best_match(scored: DataFrame) -> DataFrame:
@@ -263,12 +350,14 @@ def best_match(scored: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, threshold: float = DEFAULT_THRESHOLD,
-                stats: str = "all", one_to_one: bool = False) -> DataFrame:
+                stats: str = "certified", one_to_one: bool = False) -> DataFrame:
     """Stage 3 mapping ``(source_item, target_item, stage=3, score)``.
 
     A target may be the best match of several sources (Q12); with ``one_to_one`` only
     the highest-scoring of them keeps it (ties: smallest source id)."""
-    best = best_match(score_pairs(src, tgt, weights, threshold, stats))
+    scored = (certified_pairs(src, tgt, weights, threshold) if stats == "certified"
+              else score_pairs(src, tgt, weights, threshold, stats))
+    best = best_match(scored)
     out = (best.filter(F.round("score", 4) > threshold)
            .select(F.col("sid").alias("source_item"), F.col("tid").alias("target_item"),
                    F.lit(3).alias("stage"), "score"))
@@ -280,7 +369,7 @@ def match_fuzzy(src: DataFrame, tgt: DataFrame, weights=DEFAULT_WEIGHTS, thresho
 
 
 def match_items(a: DataFrame, b: DataFrame, previous: DataFrame | None = None, weights=DEFAULT_WEIGHTS,
-                threshold: float = DEFAULT_THRESHOLD, stats: str = "all", fuzzy: bool = True,
+                threshold: float = DEFAULT_THRESHOLD, stats: str = "certified", fuzzy: bool = True,
                 one_to_one: bool = False) -> DataFrame:
     """The whole cascade. ``previous`` pairs are kept (stage 0) and their items skipped."""
     a = a.select("item_id", "title")
@@ -341,4 +430,4 @@ def transfer_rank(mapping: DataFrame) -> DataFrame:
 
 __all__ = ["match_exact", "match_raw_title", "match_fuzzy", "match_items", "merge_mapping", "solve_mapping",
            "mapping_coverage", "transfer_rank", "unmatched", "cosine_pairs", "token_table", "best_match",
-           "all_target_stats", "score_pairs"]
+           "all_target_stats", "greatest_stats", "least_stats", "score_pairs", "certified_pairs"]
