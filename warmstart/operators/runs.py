@@ -112,26 +112,31 @@ def min_epochs(runs: DataFrame) -> DataFrame:
     return g.agg(F.min("last_epoch").alias("min_epoch"), F.grouping_id().alias("level"))
 
 
+#: Groups of the epoch alignment up to which their minima are broadcast; they are counted first.
+MAX_GROUPS = 100_000
+
+
 def align_epoch(runs: DataFrame) -> DataFrame:
     """Every run's RMSE at its group's minimum ``last_epoch``.
 
     Group = (dataset, method, lim, init) for ``PER_INIT_DATASETS``, else
     (dataset, method, lim) over the other datasets. ``rmse2 = val_loss[epoch - 1]``,
-    the last value when out of range.
+    the last value when out of range. The minima are an aggregate over the configurations only; joined back by broadcast, the
+    element is taken where the run lies and no ``val_loss`` array is shuffled.
     """
-    per_init = F.col("dataset").isin(PER_INIT_DATASETS)
-    w1 = Window.partitionBy("dataset", "method", "lim", "init")
-    w2 = Window.partitionBy("dataset", "method", "lim", "_per_init")
-    le = F.when(F.col("_per_init"), F.min("last_epoch").over(w1)).otherwise(F.min("last_epoch").over(w2))
-    vl = F.col("results.val_loss")
-    n = F.size(vl)
-    out = (runs.withColumn("_per_init", per_init)
-           .withColumn("last_epoch2", le)
-           .withColumn("rmse2", F.when((F.col("last_epoch2") >= 1) & (F.col("last_epoch2") <= n),
-                                       F.element_at(vl, F.col("last_epoch2").cast("int")))
-                       .otherwise(F.element_at(vl, -1)))
-           .drop("_per_init"))
-    return out
+    key = ["dataset", "method", "lim", "_per_init", "_init"]
+    keyed = (runs.withColumn("_per_init", F.col("dataset").isin(PER_INIT_DATASETS))
+             .withColumn("_init", F.when(F.col("_per_init"), F.col("init"))))
+    least = cut_lineage(keyed.groupBy(*key).agg(F.min("last_epoch").alias("last_epoch2")))
+    side = least.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), "last_epoch2")
+    side = F.broadcast(side) if least.count() <= MAX_GROUPS else side
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    vl, n = F.col("results.val_loss"), F.size("results.val_loss")
+    value = (F.when((F.col("last_epoch2") >= 1) & (F.col("last_epoch2") <= n), F.element_at(vl, F.col("last_epoch2").cast("int")))
+             .otherwise(F.element_at(vl, -1)))
+    return keyed.join(side, same).select(*runs.columns, "last_epoch2", value.alias("rmse2"))
 
 
 def early_stop_epoch(metrics: DataFrame, patience: int = 5) -> DataFrame:

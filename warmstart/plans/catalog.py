@@ -411,7 +411,23 @@ def q_pair_similarity(spark, sf_dir):
                     r6(sim.jaro(s, t)).alias("jaro"), r6(sim.jaro_winkler(s, t)).alias("jaro_winkler"))
 
 
-@query("C8_indel_similarity")
+# LCS row by row: a cell is the greatest of the cells so far of "the one above" and "the diagonal one plus a match".
+_LCS_SQL = """
+step(sid, tid, s_key, t_key, i, row) as (
+  select sid, tid, s_key, t_key, 0, [0 for x in range(0, length(t_key) + 1)] from pr
+  union all
+  select sid, tid, s_key, t_key, i + 1,
+         list_reduce([[greatest(row[j], case when j > 1 and s_key[i + 1] = t_key[j - 1] then row[j - 1] + 1 else 0 end)]
+                      for j in range(1, length(t_key) + 2)],
+                     lambda done, cell: list_append(done, greatest(done[-1], cell[1])))
+  from step where i < length(s_key)
+)
+"""
+
+
+@query("C8_indel_similarity", with_views("""
+select sid, tid, 2 * row[-1]::bigint as indel from step where i = length(s_key)
+""", "CAT_A", "CAT_B", extra=_PAIRS_SQL + "," + _LCS_SQL).replace("with ", "with recursive ", 1))
 def q_indel(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     return p.select("sid", "tid", sim.indel_similarity(F.col("s_key"), F.col("t_key")).alias("indel"))
@@ -774,24 +790,26 @@ def q_interp_rmse(spark, sf_dir):
                       r6(F.col("rmse")).alias("rmse"))
 
 
+# The vectors are laid out once, an element a row; errors meet the other side's elements and are summed per id and element.
 _GRAD_CTE = _PRED_CTE + """,
-e as (select *, rating - est as err from pred),
-gb_u as (select user_id as id, sum(err - 0.04 * bu) as gb from e group by user_id),
-gv_u as (select user_id as id, k, sum(err * qi[k] - 0.04 * pu[k]) as g from e, range(1, 65) t(k) group by user_id, k),
-gb_i as (select item_id as id, sum(err - 0.04 * bi) as gb from e group by item_id),
-gv_i as (select item_id as id, k, sum(err * pu[k] - 0.04 * qi[k]) as g from e, range(1, 65) t(k) group by item_id, k)
+e as materialized (select user_id, item_id, rating - est as err, bu, bi from pred),
+ul as materialized (select id, unnest(vec)::double as v, unnest(range(1, 65)) as k from FAC0_USER),
+il as materialized (select id, unnest(vec)::double as v, unnest(range(1, 65)) as k from FAC0_ITEM),
+gb_u as (select user_id as id, sum(err - 0.04 * bu) as gb, count(*) as n from e group by user_id),
+gv_u as (select e.user_id as id, il.k, sum(e.err * il.v) as g from e join il on il.id = e.item_id group by e.user_id, il.k),
+gb_i as (select item_id as id, sum(err - 0.04 * bi) as gb, count(*) as n from e group by item_id),
+gv_i as (select e.item_id as id, ul.k, sum(e.err * ul.v) as g from e join ul on ul.id = e.user_id group by e.item_id, ul.k)
 """
 
 
 def _grad_sql(side: str) -> str:
-    t = "FAC0_USER" if side == "user" else "FAC0_ITEM"
-    s = "u" if side == "user" else "i"
+    t, elements, s = ("FAC0_USER", "ul", "u") if side == "user" else ("FAC0_ITEM", "il", "i")
     return f"""
-select f.id, t.k - 1 as k, round(f.vec[t.k]::DOUBLE + coalesce(0.001 * g.g, 0), 6) + 0.0 as v,
+select l.id, l.k - 1 as k, round(l.v + 0.001 * coalesce(g.g - 0.04 * b.n * l.v, 0), 6) + 0.0 as v,
        round(f.bias + 0.001 * coalesce(b.gb, 0), 6) as bias
-from {t} f cross join range(1, 65) t(k)
-left join gv_{s} g on g.id = f.id and g.k = t.k
-left join gb_{s} b on b.id = f.id
+from {elements} l join {t} f on f.id = l.id
+left join gv_{s} g on g.id = l.id and g.k = l.k
+left join gb_{s} b on b.id = l.id
 """
 
 
@@ -1159,8 +1177,8 @@ def q_epoch_metrics(spark, sf_dir):
     train, test = _rat_fold1(spark, sf_dir)
     f = _fac(spark, sf_dir)
     mu = train.agg(F.avg("rating")).first()[0]
-    a, b = mf.epoch_rmse(train, test, f[("user", 0)], f[("item", 0)], mu)
-    return spark.createDataFrame([("train", round(a, 6)), ("test", round(b, 6))], "split string, rmse double")
+    out = mf.split_rmse(train, test, f[("user", 0)], f[("item", 0)], mu)
+    return out.select("split", r6(F.col("rmse")).alias("rmse"))
 
 
 @query("M5_fit_mf", with_views(_model_sql(_FOLD1, 16), "RAT"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -110,3 +112,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh table path under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Plans made inside are not adaptive and shuffle into ``partitions``: a persisted table keeps the partitioning of its plan,
+    known from the start, and joins on its key need no exchange of it."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
