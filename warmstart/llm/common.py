@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,15 @@ MAX_BROADCAST_ROWS = 1_000_000
 def few(ids: DataFrame) -> DataFrame:
     """``ids`` with a broadcast hint if it has at most MAX_BROADCAST_ROWS rows; else as it is, for a shuffled join."""
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, max_bytes: int) -> Iterator[None]:
+    """Jobs run inside hand rows to Python in batches of at most ``max_bytes`` (or one row); the setting before returns after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

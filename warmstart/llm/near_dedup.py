@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from warmstart.llm import arrowtext as A
-from warmstart.llm.common import few, fresh, store
+from warmstart.llm.common import arrow_batches, few, fresh, store
 from warmstart.llm.components import components
 from warmstart.operators.ordering import global_index
 
 AWAY = "__llm_away"
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, MIN_DEPTH, NEAREST = 16, 6, 2, 2
+#: Bytes of text in one slice of rows and in one batch of rows (a longer text is one of its own): bound a worker's memory.
+SLICE_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
 #: Classes of a crowded range that are compared with one other block in one task.
 BLOCK = 512
 #: Share of equal signature values below which a pair is not looked at again: 4.5 standard deviations
@@ -60,7 +62,7 @@ _SEEDS = np.random.default_rng(7).integers(0, 2**64, TREES * DEPTH, dtype=np.uin
 
 def _sets(texts: pa.Array) -> Iterator[list[np.ndarray]]:
     """The sorted shingle sets of each slice of rows."""
-    for i, j, buf, offs in A.slices(texts):
+    for i, j, buf, offs in A.slices(texts, SLICE_BYTES):
         buf = A.lower_ascii(buf)
         starts, ends, row = A.words(buf, offs)
         h, r = A.windows(A.hashes(buf, starts, ends), row, j - i, SHINGLE)
@@ -293,6 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, k1, k2, component_id, component), a row for every row of ``docs``.
 
     k1 and k2 identify its set, ``component`` (null without shingles) its component."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     head = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()),
