@@ -16,15 +16,15 @@ components of these links.
    allow the similarity; then both texts meet and the sets themselves decide.
 4. Components by star contraction (``components``).
 
-The places of step 2 do not reach all of a crowded range (classes that share ``MIN_DEPTH`` values in a tree),
-so after step 4 every range of more classes than the places cover is compared in full, two more times 3 and 4:
-first the centres (classes with more links than any class linked to them) with all classes of other
-components, which ties a group of copies to its original; then all pairs of classes that are still in
-different components. Ranges are cut into blocks of ``BLOCK`` classes, dealt as pairs of blocks; whole blocks of
-one component are not paired. Signatures are compared inside a pair of blocks, so only pairs for step 3 come out.
+The places of step 2 do not reach all of a range of many classes (classes that share ``MIN_DEPTH`` values in a tree). After step 4
+all pairs of different components in such a range are compared. The depth adapts: a range of more than ``CROWDED`` classes is
+cut by further values, down to ``DEPTH``; what is still large is dealt as pairs of blocks. In a range, signatures first
+tell which classes have any candidate; only their sets go on, once per range, and a task ties them together: it
+returns a row for every class that it joins to another component, never the pairs. Then step 4 again.
 
 A pair at similarity 0.75 shares two leading values in none of 16 trees with probability
-(1 - 0.75**2) ** 16 = 2e-6, and agrees on too few values with 7e-6; no other pair is lost.
+(1 - 0.75**2) ** 16 = 2e-6, and agrees on too few values with 7e-6. In a range cut down to six values it still meets with
+probability 1 - (1 - 0.75**6) ** 16 = 0.957 (0.99999 at similarity 0.9), besides its chance as neighbours in step 2; no other pair is lost.
 
 Defined results: a null, empty or white-space text has no shingle (``n_shingles`` 0) and is linked with
 nothing; null ids are compared like others, the smallest non-null id names the component; repeated
@@ -44,19 +44,21 @@ from pyspark.sql import types as T
 from warmstart.llm import arrowtext as A
 from warmstart.llm.common import arrow_batches, few, fresh, store
 from warmstart.llm.components import components
-from warmstart.operators.ordering import global_index
 
 AWAY = "__llm_away"
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, MIN_DEPTH, NEAREST = 16, 6, 2, 2
 #: Bytes of text in one slice of rows and in one batch of rows (a longer text is one of its own): bound a worker's memory.
 SLICE_BYTES, BATCH_BYTES = 1 << 18, 4 << 20
-#: Classes of a crowded range that are compared with one other block in one task.
-BLOCK = 512
+#: Classes of a range beyond which it is cut by a further value.
+CROWDED = 4096
+#: Classes, and shingles of all of them, in one block of a range; two blocks meet in one task. Shared shingles looked at at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 19, 4096
 #: Share of equal signature values below which a pair is not looked at again: 4.5 standard deviations
 #: under 0.75 for 96 values.
 AGREE = 0.55
 
+_RANGE = ["tree", "prefix", "one", "two"]
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -104,13 +106,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "n_shingles", "k1", "k2", "sig"])
 
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts: the key of their set and the set."""
     for b in batches:
-        got = [_keys(sets) for sets in _sets(b.column(1))]
-        if got:
-            n, one, two = (pa.array(np.concatenate(x)) for x in zip(*got))
-            yield pa.RecordBatch.from_arrays([b.column(0), n, one, two, b.column(1)],
-                                             names=["id", "n_shingles", "k1", "k2", "text"])
+        for sets in _sets(b.column(0)):
+            keys = [pa.array(x) for x in _keys(sets)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([x.tobytes() for x in sets], pa.binary())],
+                                             names=["n_shingles", "k1", "k2", "shingles"])
 
 
 _ROW = [("tree", pa.int32()), ("label", pa.binary()), ("node", pa.int64()), ("root", pa.int64())]
@@ -183,17 +185,14 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text of a, text of b) whose full sets are similar enough."""
+    """Pairs (a, b, set of a, set of b) whose full sets are similar enough."""
     for b in batches:
-        for i in range(0, len(b), 256):  # few sets in memory at a time
-            part = b.slice(i, 256)
-            x, y = ([s for sets in _sets(part.column(k)) for s in sets] for k in (2, 3))
-            ok = []
-            for p, q in zip(x, y):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)],
-                                             names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        ok = []
+        for p, q in zip(b.column(2), b.column(3)):
+            p, q = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (p, q))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _near_places(nodes: DataFrame) -> DataFrame:
@@ -205,90 +204,124 @@ def _near_places(nodes: DataFrame) -> DataFrame:
             .select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"))
 
 
-def _compare(centres: bool):
-    """Arrow function over the rows of a pair of blocks (of one block, if no row has side 1): pairs of different roots whose
-    signatures agree; with ``centres`` those that hold a centre. A pair comes out in the first tree that it shares."""
-    def compare(t: pa.Table) -> pa.Table:
-        side, tree, node, root, n, kind = (t.column(c).to_numpy() for c in ("side", "tree", "node", "root", "n_shingles", "kind"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(len(t), TREES * DEPTH)
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one, a, b = not len(y), [], []
-        y = x if one else y
-        for i in x:
-            ok = (root[y] != root[i]) & (100 * np.minimum(n[y], n[i]) >= PERCENT * np.maximum(n[y], n[i]))
-            if one:
-                ok &= node[y] > node[i]
-            if centres and kind[i]:
-                ok &= kind[y] == 0
-            j = y[ok]
-            if len(j):
-                same = sig[j] == sig[i]
-                lead = same.reshape(len(j), TREES, DEPTH)[:, :, :MIN_DEPTH].all(axis=2)
-                j = j[(same.mean(axis=1) >= AGREE) & (lead.argmax(axis=1) == tree[i])]
-                a.append(np.minimum(node[j], node[i]))
-                b.append(np.maximum(node[j], node[i]))
-        a, b = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return compare
-
-
-def _in_ranges(nodes: DataFrame, centres: bool) -> DataFrame | None:
-    """Pairs (a, b) of nodes of different roots in one range of more than NEAREST + 1 nodes (the places cover smaller ones)
-    whose signatures agree, from (node, n_shingles, sig, root, kind); with ``centres`` those that hold a centre (kind 0).
-    None if there is no such range."""
-    at = ["tree", "prefix"]
-    rows = (nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-            .select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * MIN_DEPTH})").alias("prefix"), "node", "root",
-                    "n_shingles", "kind"))
-    ranges = (rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                    F.min("kind").alias("kind"))
-              .filter((F.col("n") > NEAREST + 1) & (F.col("lo") < F.col("hi"))))
-    ranges = store((ranges.filter("kind = 0") if centres else ranges).select(*at), "ranges")
-    if ranges.isEmpty():
-        return None
-    # classes of a component side by side, single ones by size: most pairs of blocks then need no look
-    rows = (rows.join(few(ranges), at, "left_semi")
-            .withColumn("by", F.when(F.col("kind") == 2, F.col("n_shingles")).otherwise(F.col("root"))))
-    rows = store(global_index(rows, [*at, "kind", "by", "node"], "place")
-                 .withColumn("block", F.floor(F.col("place") / BLOCK)).drop("place", "by"), "members")
-    blocks = store(rows.groupBy(*at, "block").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n_shingles").alias("least"),
-        F.max("n_shingles").alias("most"), F.min("kind").alias("kind")), "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = (x.join(y, at).filter("x.block <= y.block and (x.lo < x.hi or y.lo < y.hi or x.lo <> y.lo)")
-             .filter(f"100 * x.most >= {PERCENT} * y.least and 100 * y.most >= {PERCENT} * x.least"))
-    pairs = store((pairs.filter("x.kind = 0 or y.kind = 0") if centres else pairs).select(
-        F.monotonically_increasing_id().alias("pair"), *at, F.col("x.block").alias("one"), F.col("y.block").alias("two")), "block_pairs")
-    sides = pairs.select("pair", *at, F.col("one").alias("block"), F.lit(0).alias("side")).union(
-        pairs.filter("one < two").select("pair", *at, "two", F.lit(1)))
-    return (sides.join(rows, [*at, "block"]).join(nodes.select("node", "sig"), "node")
-            .select("pair", "side", "tree", "node", "root", "n_shingles", "kind", "sig")
-            .groupBy("pair").applyInArrow(_compare(centres), "a long, b long"))
-
-
-def _centres(links: DataFrame) -> DataFrame:
-    """(node): those with more links than any node linked to them; the larger node among equals."""
-    both = store(links.union(links.select("v", "u")).distinct(), "both")
-    rank = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", F.struct("n", "u").alias("rank"))
-    most = both.join(rank.toDF("v", "other"), "v").groupBy("u").agg(F.max("other").alias("other"))
-    return rank.join(most, "u").filter("rank > other").select(F.col("u").alias("node"))
+def _flag(t: pa.Table) -> pa.Table:
+    """The rows of a range (or of two of its blocks) that have a candidate: a row of another component whose size fits and whose
+    signature agrees. Every pair is looked at in one range only, the first whole one that holds both or, failing that, the cut ones."""
+    tree, deep = t.column("tree")[0].as_py(), t.column("deep")[0].as_py()
+    root, n, block, cut = (t.column(c).to_numpy() for c in ("root", "n_shingles", "m", "cut"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(len(t), TREES * DEPTH)
+    bits, flagged = 1 << np.arange(TREES), np.zeros(len(t), dtype=bool)
+    two = t.column("one")[0].as_py() != t.column("two")[0].as_py()
+    for i in range(len(t) - 1):
+        ok = (root[i + 1:] != root[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= PERCENT * np.maximum(n[i + 1:], n[i]))
+        if two:
+            ok &= block[i + 1:] != block[i]
+        j = i + 1 + np.flatnonzero(ok)
+        if len(j):
+            same = sig[j] == sig[i]
+            whole = (same.reshape(len(j), TREES, DEPTH)[:, :, :MIN_DEPTH].all(axis=2)) & ((cut[i] & bits) == 0)
+            here = ~whole.any(axis=1) if deep else whole.any(axis=1) & (whole.argmax(axis=1) == tree)
+            j = j[here & (same.mean(axis=1) >= AGREE)]
+            flagged[j] = True
+            flagged[i] |= len(j) > 0
+    return t.select([*_RANGE, "node", "root", "m"]).filter(pa.array(flagged))
+
+
+def _tie(t: pa.Table) -> pa.Table:
+    """The links between the rows (node, root, m, shingles) of a range, or of two of its blocks, as (u, v): every node joined to
+    another component, with one it is linked to. All pairs are decided on their full sets: shared shingles
+    are columns of a bit matrix, so a node meets all others at once; pairs that are connected already are skipped."""
+    node, block = t.column("node").to_numpy(), t.column("m").to_numpy()
+    two = t.column("one")[0].as_py() != t.column("two")[0].as_py()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    label = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = (np.cumsum(shared) - 1)[column]
+    keep = shared[column]
+    row, place = row[keep], place[keep]
+    common = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        here = (place >= lo) & (place < lo + COLUMNS)
+        dense = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        dense[row[here], place[here] - lo] = 1
+        common += np.rint(dense @ dense.T).astype(np.int32)
+    linked = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    if two:
+        linked &= block[:, None] != block[None, :]
+    u, v = [], []
+    for i in range(len(sets)):
+        for j in i + 1 + np.flatnonzero(linked[i, i + 1:]):
+            if label[i] != label[j]:
+                u.append(node[i])
+                v.append(node[j])
+                label[label == label[j]] = label[i]
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _ranges(nodes: DataFrame) -> DataFrame | None:
+    """The rows (tree, prefix, one, two, m, deep, node, root, n_shingles, sig, cut) of the ranges that the places do not cover, from
+    (node, root, n_shingles, sig); None if there are none.
+
+    A range of more than ``CROWDED`` classes is cut by one more value, down to ``DEPTH``; ``cut`` has a bit for every tree in
+    which that happened to a class. What is still large is cut into blocks, dealt as pairs of blocks (one, two)."""
+    at, width = ["tree", "prefix"], 4 * DEPTH
+    piece = lambda d: F.expr(f"substring(sig, tree * {width} + 1, {4 * d})").alias("prefix")
+    kept = ["node", "root", "n_shingles", "sig"]
+    rows = nodes.select(*kept, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows, parts, cut = rows.select("tree", piece(MIN_DEPTH), *kept), [], None
+    for depth in range(MIN_DEPTH, DEPTH + 1):
+        stats = store(rows.groupBy(*at).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .filter((F.col("n") > (NEAREST + 1 if depth == MIN_DEPTH else 1)) & (F.col("lo") < F.col("hi"))).drop("lo", "hi"), "ranges")
+        crowded = stats.filter(F.col("n") > CROWDED)
+        last = depth == DEPTH or crowded.isEmpty()
+        whole = stats if last else stats.filter(F.col("n") <= CROWDED)
+        parts.append(rows.join(few(whole), at).withColumn("deep", F.lit(depth > MIN_DEPTH)))
+        if last:
+            break
+        rows = store(rows.join(few(crowded.select(*at)), at, "left_semi"), "crowded")
+        if cut is None:
+            cut = rows.groupBy("node").agg(F.sum(F.expr("shiftleft(1, tree)")).cast("int").alias("cut"))
+        rows = rows.select("tree", piece(depth + 1), *kept)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.join(cut, "node", "left") if cut is not None else out.withColumn("cut", F.lit(0))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long")
+    return (out.withColumn("cut", F.coalesce("cut", F.lit(0))).withColumn("m", F.pmod(F.xxhash64("node"), blocks))
+            .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            .withColumn("one", F.least("m", "o")).withColumn("two", F.greatest("m", "o")).drop("n", "size", "o"))
+
+
+def _in_ranges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links between different components inside the crowded ranges, from (node, rep, n_shingles, k1, k2, sig, root)."""
+    kinds = {"tree": "int", "prefix": "binary", "one": "long", "two": "long", "node": "long", "root": "long", "m": "long"}
+    ranges = _ranges(nodes.select("node", "root", "n_shingles", "sig"))
+    some = store(ranges.groupBy(*_RANGE).applyInArrow(_flag, ", ".join(f"{c} {t}" for c, t in kinds.items())), "flagged")
+    sets = _node_sets(rows, nodes.join(some.select("node").distinct(), "node", "left_semi"))
+    return some.join(sets, "node").groupBy(*_RANGE).applyInArrow(_tie, "u long, v long")
+
+
+def _node_sets(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, shingles): the full sets of some nodes (node, rep, n_shingles, k1, k2), as bytes, each worked out once."""
+    key = ["n_shingles", "k1", "k2"]
+    near = store(near.select("node", "rep", *key), "near")
+    # by id, then by set, as an id may come with several texts
+    wanted = few(near.select(F.col("rep").alias("w")).distinct())
+    shape = T.StructType([*(T.StructField(k, T.LongType()) for k in key), T.StructField("shingles", T.BinaryType())])
+    return store(rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select("text").mapInArrow(_with_set, shape)
+                 .join(near.select("node", *key), key).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def _links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links (u, v) among ``pairs`` (a, b) of nodes: those whose full sets are similar enough."""
-    key = ["n_shingles", "k1", "k2"]
     pairs = store(pairs, "pairs")
-    near = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                 .join(nodes.select("node", "rep", *key), "node"), "near")
-    # texts of the nodes in a pair: by id, then by set, as an id may come with several texts
-    wanted = few(near.select(F.col("rep").alias("w")).distinct())
-    keyed = T.StructType([rows.schema["id"], *(T.StructField(k, T.LongType()) for k in key), rows.schema["text"]])
-    texts = (rows.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").mapInArrow(_with_key, keyed)
-             .join(near.select("node", *key), key).groupBy("node").agg(F.first("text").alias("text")))
-    texts = store(texts, "texts")
-    return store(pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-                 .select("a", "b", "ta", "tb").mapInArrow(_confirm, "u long, v long"), "links")
+    sets = _node_sets(rows, nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi"))
+    return store(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+                 .select("a", "b", "sa", "sb").mapInArrow(_confirm, "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,17 +345,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = _links(rows, nodes, _near_places(nodes))
     roots = components(links)
-    for centres in (True, False):
-        joined = nodes.join(roots, "node", "left")
-        kind = F.when(F.col("root").isNull(), 2).otherwise(1)
-        if centres:
-            joined = joined.join(_centres(links).withColumn("centre", F.lit(0)), "node", "left")
-            kind = F.coalesce("centre", kind)
-        joined = joined.withColumn("kind", kind).withColumn("root", F.coalesce("root", "node"))
-        pairs = _in_ranges(joined.select("node", "n_shingles", "sig", "root", "kind"), centres)
-        more = None if pairs is None else _links(rows, nodes, pairs)
-        if more is not None and not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    joined = store(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "joined")
+    more = store(_in_ranges(rows, joined), "more")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     member = roots.join(nodes.select("node", "rep"), "node")
     named = (member.join(member.groupBy("root").agg(F.min("rep").alias("least")), "root")
              .select("node", "root", "least"))
