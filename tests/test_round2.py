@@ -66,8 +66,6 @@ def test_dense_users_draw_from_their_complement(spark):
         by.setdefault(r["user_id"], []).append(r["neg_item"])
     assert set(by) == {1, 3} and len(by[1]) == len(by[3]) == 20  # user 2 has no allowed item
     assert set(by[1]) <= {98, 99} and len(set(by[1])) == 2 and not set(by[3]) & {5, 7}
-    with pytest.raises(RuntimeError):
-        im.negative_sample(test, train, 20, 1, oversample=0.0001, max_rounds=0)
 
 
 def test_implicit_folds_equal_single_folds(spark):

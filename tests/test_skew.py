@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from warmstart.operators import factors as fa
 from warmstart.operators import filters, implicit, mf, splits, stats
-from warmstart.operators.embeddings import sentences
+from warmstart.operators.skipgram import pieces
 from warmstart.operators.ordering import positions_within
 from warmstart.sources import fixtures as fx
 from tests.conftest import SF
@@ -59,8 +59,10 @@ def test_positions_and_pieces(skewed):
     assert adj.entries.map(len).max() <= 100
     hot = adj[adj.user_id == HOT]
     assert hot.entries.map(len).sum() == (pdf.user_id == HOT).sum() and len(hot) > 5
-    sent = sentences(skewed, max_sentence=100).toPandas()
-    assert sent.sentence.map(len).max() <= 100 and sent.sentence.map(len).sum() == len(pdf)
+    cut = pieces(skewed, 5, piece=100, ts=None).toPandas()
+    assert cut.rows.map(len).max() <= 110
+    owned = cut.apply(lambda p: sum(p.start <= x["r"] < p.start + 100 for x in p.rows), axis=1)
+    assert owned.sum() == len(pdf)
 
 
 def test_negatives_for_hot_user(skewed):

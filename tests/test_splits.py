@@ -1,4 +1,5 @@
 """Splits, folds, leave-one-out and negative sampling invariants."""
+import pytest
 from pyspark.sql import functions as F
 
 from warmstart.operators import filters, implicit, splits
@@ -80,10 +81,33 @@ def test_negatives_valid_and_complete(spark):
     assert neg.join(items, "neg_item", "left_anti").count() == 0
 
 
-def test_negatives_need_more_rounds(spark):
-    # user 1 owns 18 of 20 items: most draws are rejected, later rounds must fill the row
+def test_negatives_of_a_dense_user(spark):
+    # user 1 owns 18 of 20 items, another is the test item: one is left
     rows = [(1, i, 1.0) for i in range(18)] + [(2, i, 1.0) for i in range(20)]
     train = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
     test = spark.createDataFrame([(1, 18, 1.0)], "user_id long, item_id long, rating double")
-    neg = implicit.negative_sample(test, train, 99, 3, oversample=0.01).toPandas()
-    assert len(neg) == 99 and set(neg.neg_item) <= {19}
+    neg = implicit.negative_sample(test, train, 99, 3).toPandas()
+    assert len(neg) == 99 and set(neg.neg_item) == {19}
+
+
+@pytest.mark.parametrize("width", [3, 64, 1 << 16])
+def test_negatives_are_the_kth_allowed_items(spark, width):
+    """Every draw is the allowed item of its rank, whatever the spans."""
+    import hashlib
+    import random
+
+    rng = random.Random(width)
+    own = {u: {3 * i for i in range(60) if rng.random() < p} for u, p in ((1, 0.5), (2, 0.02), (3, 0.98), (4, 0.0))}
+    own[5] = {3 * i for i in range(60)}
+    pos = {1: 0, 2: 177, 3: 7, 4: 90, 5: 3}  # 7 is no train item; 5 owns its test item and all others
+    train = spark.createDataFrame([(u, i) for u in own for i in own[u]], "user_id long, item_id long")
+    test = spark.createDataFrame(list(pos.items()), "user_id long, item_id long")
+    got = {(r["user_id"], r["j"]): r["neg_item"] for r in implicit.negative_sample(test, train, 40, 9, width=width).collect()}
+    items = sorted(set().union(*own.values()))
+    want = {}
+    for u, p in pos.items():
+        allowed = [i for i in items if i not in own[u] and i != p]
+        for j in range(40 if allowed else 0):
+            h = int(hashlib.md5(f"9:{u}:{p}:{j}".encode()).hexdigest()[:8], 16)
+            want[u, j] = allowed[h % len(allowed)]
+    assert got == want

@@ -1,14 +1,23 @@
-"""Tables of blocks: rows hashed into B blocks, a block per row, kept in B buckets from one step of a job to the next."""
+"""Tables of blocks: rows hashed into B blocks, a block per row, kept in B buckets from one step of a job to the next.
+
+``Strata`` runs updates of two sides of factors (users and items, or inputs and outputs) entry by entry in parallel: an
+epoch is B strata, and in stratum s block b of the first side meets block (b + s) mod B of the second, so the B pairs of
+blocks share no row. The first side stays in its buckets; the blocks of the second are the only exchange.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warmstart.functions.seeded import hash_int
-from warmstart.session import delete_path, scratch_path
+from warmstart.session import delete_path, fixed_plans, scratch_path
 
 
 def block_of(col: str, n: int, seed: int) -> Column:
@@ -59,3 +68,120 @@ class Buckets:
         for t in self.tables.values():
             self._drop(*t)
         self.tables = {}
+
+
+@dataclass
+class Side:
+    """A block of one side: sorted ids, a factor row and a bias for each."""
+
+    ids: np.ndarray
+    vec: np.ndarray
+    bias: np.ndarray
+
+
+def _packed(side: DataFrame, b: int, seed: int, names: str) -> DataFrame:
+    """Blocks of a factor table (id, vec, bias): one row (block, ids, vec, bias) each, the last three as bytes.
+
+    Every block from 0 to b - 1 has a row, if only an empty one."""
+    block, *parts = names.split()
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        columns = (pdf["id"].to_numpy(dtype=np.int64), np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["bias"].to_numpy(dtype=np.float64))
+        return pd.DataFrame({block: [key[0]], **{n: [x.tobytes()] for n, x in zip(parts, columns)}})
+
+    rows = (side.select(block_of("id", b, seed).alias("_b"), F.col("id").cast("long").alias("id"), "vec", "bias")
+            .groupBy("_b").applyInPandas(pack, f"{block} int, " + ", ".join(f"{n} binary" for n in parts)))
+    every = side.sparkSession.range(b).select(F.col("id").cast("int").alias(block))
+    return every.join(rows, block, "left").select(block, *(F.coalesce(n, F.lit(b"")).alias(n) for n in parts))
+
+
+def _side(ids: bytes, vec: bytes, bias: bytes) -> Side:
+    n = len(ids) // 8
+    return Side(np.frombuffer(ids, dtype=np.int64), np.frombuffer(vec, dtype=np.float64).reshape(n, -1).copy() if n else np.zeros((0, 1)),
+                np.frombuffer(bias, dtype=np.float64).copy())
+
+
+def _unpacked(state: DataFrame, names: str) -> DataFrame:
+    """(id, vec, bias) rows of packed blocks."""
+    def rows(batches):
+        for pdf in batches:
+            for ids, vec, bias in zip(*(pdf[c] for c in pdf.columns)):
+                s = _side(ids, vec, bias)
+                for k in range(0, len(s.ids), 10_000):
+                    yield pd.DataFrame({"id": s.ids[k:k + 10_000], "vec": list(s.vec[k:k + 10_000]), "bias": s.bias[k:k + 10_000]})
+
+    return state.select(*names.split()).mapInPandas(rows, "id long, vec array<double>, bias double")
+
+
+def _packed_entries(entries: DataFrame, b: int, slots: list[int]) -> DataFrame:
+    """Entries (u, i, r, ub, ib) packed by block pair: (stratum, slot, ru, ri, rr), by u and i inside."""
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "i"], kind="mergesort")
+        return pd.DataFrame({"stratum": [key[0]], "slot": [slots[key[1]]], "ru": [pdf["u"].to_numpy(dtype=np.int64).tobytes()],
+                             "ri": [pdf["i"].to_numpy(dtype=np.int64).tobytes()], "rr": [pdf["r"].to_numpy(dtype=np.float64).tobytes()]})
+
+    return (entries.withColumn("stratum", F.pmod(F.col("ib") - F.col("ub"), F.lit(b))).groupBy("stratum", "ub")
+            .applyInPandas(pack, "stratum int, slot long, ru binary, ri binary, rr binary").repartition(b, "slot"))
+
+
+_FIRST, _SECOND = "uid pu bu", "iid qi bi"
+
+
+class Strata:
+    """The state of two sides in ``b`` blocks each, and the entries (u, i, r) between them."""
+
+    def __init__(self, spark, b: int, seed: int):
+        self.spark, self.b, self.seed = spark, b, seed
+        self.slots, self.tables = block_keys(spark, b), Buckets(spark, b)
+        self.slot_of = F.lit(self.slots).cast("array<long>")
+
+    def begin(self, first: DataFrame, second: DataFrame, entries: DataFrame | None) -> None:
+        """Factor tables (id, vec, bias) of both sides; entries with long ids and a double."""
+        b, seed = self.b, self.seed
+        state = (_packed(first, b, seed, "ub uid pu bu")
+                 .join(_packed(second, b, seed + 1, "ib iid qi bi"), F.col("ub") == F.col("ib"))
+                 .withColumn("slot", self.slot_of[F.col("ub")]).repartition(b, "slot"))
+        self.tables.write("state", state)
+        if entries is not None:
+            rows = entries.withColumn("ub", block_of("u", b, seed)).withColumn("ib", block_of("i", b, seed + 1))
+            self.tables.write("entries", _packed_entries(rows, b, self.slots), ["stratum"])
+
+    def run(self, s: int, change: Callable[[np.ndarray, np.ndarray, np.ndarray, Side, Side], None]) -> None:
+        """Stratum s: ``change(u, i, r, first, second)`` updates a pair of blocks in place for its entries, by u and i."""
+        @F.pandas_udf("pu binary, bu binary, qi binary, bi binary")
+        def update(uid: pd.Series, pu: pd.Series, bu: pd.Series, iid: pd.Series, qi: pd.Series, bi: pd.Series, ru: pd.Series,
+                   ri: pd.Series, rr: pd.Series) -> pd.DataFrame:
+            out = []
+            for k in range(len(uid)):
+                one, two = _side(uid[k], pu[k], bu[k]), _side(iid[k], qi[k], bi[k])
+                if rr[k] is not None:
+                    change(np.frombuffer(ru[k], dtype=np.int64), np.frombuffer(ri[k], dtype=np.int64),
+                           np.frombuffer(rr[k], dtype=np.float64), one, two)
+                out.append([x.tobytes() for x in (one.vec, one.bias, two.vec, two.bias)])
+            return pd.DataFrame(out, columns=["pu", "bu", "qi", "bi"])
+
+        with fixed_plans(self.spark, self.b):
+            state = self.tables.read("state")
+            mine = self.tables.read("entries").filter(F.col("stratum") == s).select("slot", "ru", "ri", "rr")
+            moved = state.select(self.slot_of[F.pmod(F.col("ib") - F.lit(s), F.lit(self.b))].alias("slot"), "ib", *_SECOND.split())
+            pair = (state.select("slot", "ub", *_FIRST.split()).join(moved.hint("merge"), "slot").join(mine, "slot", "left")
+                    .withColumn("new", update("uid", "pu", "bu", "iid", "qi", "bi", "ru", "ri", "rr")))
+            self.tables.write("state", pair.select("slot", "ub", "uid", F.col("new.pu").alias("pu"), F.col("new.bu").alias("bu"),
+                                                   "ib", "iid", F.col("new.qi").alias("qi"), F.col("new.bi").alias("bi")))
+
+    def users(self) -> DataFrame:
+        """(id, vec, bias) of the first side."""
+        return _unpacked(self.tables.read("state"), _FIRST)
+
+    def items(self) -> DataFrame:
+        """(id, vec, bias) of the second side."""
+        return _unpacked(self.tables.read("state"), _SECOND)
+
+    def close(self) -> tuple[DataFrame, DataFrame]:
+        """Both sides as they are at the end; everything else goes."""
+        state = self.tables.close("state")
+        return _unpacked(state, _FIRST), _unpacked(state, _SECOND)
+
+    def abandon(self) -> None:
+        self.tables.abandon()

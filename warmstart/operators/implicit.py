@@ -2,19 +2,22 @@
 
 Leave-one-out picks one interaction per user with an aggregate (``min_by`` over
 an md5 key), not a per-user window sort: a user holding a third of all rows is
-reduced map-side like any other. Negative sampling is rejection sampling on md5
-draws: draw ``j`` of a test row is item ``pmod(md5(seed:user:item:j), n_items)``
-of the dense item index; draws that hit the user's positives or the test item
-are rejected, and the first ``n`` surviving draws (in ``j`` order) are the
-negatives, i.e. ``n`` uniform draws with replacement from the allowed items.
-Each row gets as many draws as its own rejection rate needs; the rare rows still
-short after a round get a larger round. No user x item cross product is formed.
+reduced map-side like any other. Negative sampling selects by rank: draw ``j`` of a test row is the ``k``-th
+allowed item, ``k = pmod(md5(seed:user:item:j), n_allowed)``, i.e. ``n`` uniform draws with replacement from the
+items that are neither the user's positives nor the test item. With the taken places ``p_0 < p_1 < ...`` of the dense
+item index, ``p_i - i`` allowed items come before ``p_i``, so the k-th allowed item stands at ``k`` plus the number
+of taken places with ``p_i - i <= k``. Nothing is rejected or drawn again, and neither a list of allowed items nor a
+user x item product is formed. Taken places are kept in spans of ``SPAN`` places with a directory of their sizes, so
+the places of a user with a third of all rows are many bounded rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warmstart.functions.seeded import hash_int
 from warmstart.operators.ordering import positions_within
@@ -73,77 +76,76 @@ def allowed_counts(test: DataFrame, train: DataFrame, n_items: int | DataFrame,
                     .alias("n_allowed")))
 
 
-def negative_sample(test: DataFrame, train: DataFrame, n: int = 99, seed: int = 42, oversample: float = 1.3,
-                    max_rounds: int = 12, dense: int = 16, user: str = "user_id", item: str = "item_id",
-                    fold: str | None = None) -> DataFrame:
+#: Places of the item index in one span of taken places.
+SPAN = 1 << 16
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("r", T.LongType())])))
+def _locate(k: pd.Series, spans: pd.Series, sizes: pd.Series, width: pd.Series) -> pd.Series:
+    """The span c of each k-th allowed place, and its rank r among the allowed places of that span."""
+    out = []
+    for ks, c, n, size in zip(k, spans, sizes, width.tolist()):
+        ks, c, n = (np.asarray(x, dtype=np.int64) for x in (ks, c, n))
+        taken = np.concatenate([[0], np.cumsum(n)])
+        t = np.searchsorted((c + 1) * size - taken[1:], ks, side="right")  # spans that end before
+        place = ks + taken[t]  # right if no taken place of its own span comes before
+        start = np.append(c, np.iinfo(np.int64).max // size)[t] * size
+        at = np.where(place >= start, start, place // size * size)
+        out.append([{"c": int(x) // size, "r": int(y)} for x, y in zip(at, place - at)])
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _select(r: pd.Series, local: pd.Series) -> pd.Series:
+    """Places inside a span of its r-th allowed places; ``local`` are the taken ones, sorted."""
+    out = []
+    for rs, taken in zip(r, local):
+        rs = np.asarray(rs, dtype=np.int64)
+        gaps = np.asarray([] if taken is None else taken, dtype=np.int64)
+        out.append(rs + np.searchsorted(gaps - np.arange(len(gaps)), rs, side="right"))
+    return pd.Series(out)
+
+
+def negative_sample(test: DataFrame, train: DataFrame, n: int = 99, seed: int = 42, user: str = "user_id",
+                    item: str = "item_id", fold: str | None = None, width: int = SPAN) -> DataFrame:
     """``(user, pos_item, j, neg_item)``: ``n`` negatives per test row (``j`` = 0..n-1).
 
     The item universe is the set of train items. A row with no allowed item gets no
-    negatives (the reference would fail there). Rows with fewer than one allowed item in
-    ``dense`` draw from the list of their allowed items instead of by rejection; these
-    lists are built for such users only, whose own interactions are about as many.
-    With ``fold`` every fold is sampled by itself, all of them in the same jobs.
-    Raises if rows are still short after ``max_rounds``.
+    negatives (the reference would fail there). With ``fold`` every fold is sampled by itself, all of them in the same jobs.
+    ``width`` places of the item index make one span; the result does not depend on it.
     """
     by = [fold] if fold else []
+    key = [*by, user, "pos_item"]
     if fold:
-        items = positions_within(train.select(fold, item).distinct(), fold, [item], "idx")
-        n_items = items.groupBy(fold).agg(F.count(F.lit(1)).alias("n_items"))
+        index = positions_within(train.select(fold, item).distinct(), fold, [item], "idx")
+        sizes = index.groupBy(fold).agg(F.count(F.lit(1)).alias("_items"))
     else:
-        items = build_index(train, item, "idx")
-        n_items = items.count()
+        index = build_index(train, item, "idx")
+        n_items = index.count()
         if n_items == 0:
             raise ValueError("empty train set")
-    items = items.select(*by, F.col(item).alias("neg_item"), "idx")
-    key = [*by, user, "pos_item"]
-    allowed = allowed_counts(test, train, n_items, user, item, fold).filter(F.col("n_allowed") > 0)
-    # Draws needed for n survivors at this row's acceptance rate, with slack.
-    need = F.ceil(F.lit(n * oversample) * F.col("n_items") / F.col("n_allowed")).cast("long") + F.lit(8)
-    few = F.col("n_allowed") * F.lit(dense) < F.col("n_items")
-    rows = allowed.filter(~few).withColumn("_draws", need)
-    positives = train.select(*by, user, F.col(item).alias("neg_item")).distinct()
-    listed = _from_complement(allowed.filter(few), items, positives, n, seed, user, by)
-    rank_w = Window.partitionBy(*key).orderBy("j")
-
-    def survivors(r: DataFrame) -> DataFrame:
-        draws = (r.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
-                 .withColumn("idx", F.pmod(hash_int(seed, *map(F.col, key), F.col("j")), F.col("n_items"))))
-        ok = (draws.join(items, [*by, "idx"])
-              .filter(F.col("neg_item") != F.col("pos_item"))
-              .join(positives, [*by, user, "neg_item"], "left_anti"))
-        return (ok.withColumn("_r", F.row_number().over(rank_w) - 1).filter(F.col("_r") < n)
-                .select(*key, F.col("_r").cast("int").alias("j"), "neg_item"))
-
-    # Each round is pinned: the loop's checks and the final union reuse it.
-    done = cut_lineage(survivors(rows))
-    result = done
-    todo = rows
-    for _ in range(max_rounds):
-        got = done.groupBy(*key).agg(F.count(F.lit(1)).alias("_got"))
-        short = todo.join(got, key, "left").filter(F.coalesce(F.col("_got"), F.lit(0)) < n)
-        if short.limit(1).count() == 0:
-            return result.unionByName(listed)
-        # Rows still short are redone with four times the draws; their earlier
-        # partial result is replaced (the draw sequence is the same, only longer).
-        todo = short.select(*rows.columns).withColumn("_draws", F.col("_draws") * 4)
-        done = cut_lineage(survivors(todo))
-        result = result.join(todo.select(*key), key, "left_anti").unionByName(done)
-    raise RuntimeError(f"negative samples are still short after {max_rounds} rounds")
-
-
-def _from_complement(rows: DataFrame, items: DataFrame, positives: DataFrame, n: int, seed: int, user: str,
-                     by: list[str]) -> DataFrame:
-    """Draws for ``rows`` (user, pos_item, n_items, n_allowed) from the explicit list of allowed items."""
-    key = [*by, user, "pos_item"]
-    free = (rows.select(*by, user, "n_items").distinct()
-            .withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_items") - 1)))
-            .join(items, [*by, "idx"]).join(positives, [*by, user, "neg_item"], "left_anti").drop("n_items"))
-    place = Window.partitionBy(*key).orderBy("idx")
-    free = (rows.join(free, [*by, user]).filter(F.col("neg_item") != F.col("pos_item"))
-            .withColumn("_k", F.row_number().over(place).cast("long") - 1).select(*key, "_k", "neg_item"))
-    draws = (rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-             .withColumn("_k", F.pmod(hash_int(seed, *map(F.col, key), F.col("j")), F.col("n_allowed"))))
-    return draws.join(free, [*key, "_k"]).select(*key, F.col("j").cast("int").alias("j"), "neg_item")
+    index = index.select(*by, F.col(item).alias("neg_item"), "idx")
+    rows = test.select(*by, user, F.col(item).alias("pos_item")).distinct()
+    own = rows.select(*key, F.col("pos_item").alias("neg_item"))
+    taken = (rows.join(train.select(*by, user, F.col(item).alias("neg_item")), [*by, user]).select(*key, "neg_item")
+             .unionByName(own).distinct().join(index, [*by, "neg_item"]))
+    span = F.floor(F.col("idx") / width)
+    spans = cut_lineage(taken.groupBy(*key, span.alias("c")).agg(
+        F.sort_array(F.collect_list((F.col("idx") - span * width).cast("int"))).alias("local")))
+    listed = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("c", F.size("local").alias("n")))).alias("_l"))
+    rows = rows.join(sizes, fold) if fold else rows.withColumn("_items", F.lit(n_items).cast("long"))
+    none = F.array().cast("array<struct<c:bigint,n:int>>")
+    rows = rows.join(listed, key, "left").withColumn("_l", F.coalesce("_l", none))
+    allowed = F.col("_items") - F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rows = rows.withColumn("_allowed", allowed).filter("_allowed > 0")
+    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")),
+                        lambda j: F.pmod(hash_int(seed, *map(F.col, key), j), F.col("_allowed")))
+    found = rows.select(*key, F.posexplode(_locate(draws, F.col("_l.c"), F.col("_l.n"), F.lit(width))).alias("j", "at"))
+    met = (found.groupBy(*key, F.col("at.c").alias("c")).agg(F.collect_list(F.struct("j", "at.r")).alias("_d"))
+           .join(spans, [*key, "c"], "left"))
+    places = met.select(*key, "c", F.explode(F.arrays_zip(F.col("_d.j").alias("j"), _select("_d.r", "local").alias("p"))).alias("_x"))
+    return (places.select(*key, F.col("_x.j").alias("j"), (F.col("c") * width + F.col("_x.p")).alias("idx"))
+            .join(index, [*by, "idx"]).select(*key, "j", "neg_item"))
 
 
 def negatives_lines(neg: DataFrame, user: str = "user_id") -> DataFrame:

@@ -878,15 +878,15 @@ tr as (select user_id, item_id from loo where split = 'train'),
 te as (select user_id, item_id as pos_item from loo where split = 'test'),
 idx as (select item_id, row_number() over (order by item_id) - 1 as idx from (select distinct item_id from tr) d),
 nitems as (select count(*) as n from idx),
-draws as (select te.user_id, te.pos_item, g.j,
-                 ({sql_hash_int(SEED, 'te.user_id', 'te.pos_item', 'g.j')}) % (select n from nitems) as idx
-          from te, range(0, 3000) g(j)),
-ok as (select d.user_id, d.pos_item, d.j, i.item_id as neg_item from draws d join idx i on i.idx = d.idx
-       where i.item_id <> d.pos_item
-         and not exists (select 1 from tr where tr.user_id = d.user_id and tr.item_id = i.item_id)),
-neg as (select user_id, pos_item, j, neg_item from (
-          select user_id, pos_item, neg_item, row_number() over (partition by user_id, pos_item order by j) - 1 as j from ok) r
-        where j < 99)
+-- the allowed items of a test row in the order of the index; draw j takes the (hash mod their number)-th
+allowed as (select te.user_id, te.pos_item, i.item_id, row_number() over (partition by te.user_id, te.pos_item order by i.idx) - 1 as k,
+                   count(*) over (partition by te.user_id, te.pos_item) as n
+            from te, idx i where i.item_id <> te.pos_item
+              and not exists (select 1 from tr where tr.user_id = te.user_id and tr.item_id = i.item_id)),
+sizes as (select distinct user_id, pos_item, n from allowed),
+neg as (select s.user_id, s.pos_item, s.j, a.item_id as neg_item from (
+          select user_id, pos_item, g.j, ({sql_hash_int(SEED, 'user_id', 'pos_item', 'g.j')}) % n as k from sizes, range(0, 99) g(j)) s
+        join allowed a on a.user_id = s.user_id and a.pos_item = s.pos_item and a.k = s.k)
 """
 
 
@@ -927,17 +927,16 @@ tr_f as (select fold, user_id, item_id from loo_f where split = 'train'),
 te_f as (select fold, user_id, item_id as pos_item from loo_f where split = 'test'),
 idx_f as (select fold, item_id, row_number() over (partition by fold order by item_id) - 1 as idx
           from (select distinct fold, item_id from tr_f) d),
-n_f as (select fold, count(*) as n from idx_f group by fold),
-ok_f as (select te_f.fold, te_f.user_id, te_f.pos_item, g.j, i.item_id as neg_item
-         from te_f join n_f using (fold) cross join range(0, 400) g(j)
-         join idx_f i on i.fold = te_f.fold
-           and i.idx = ({sql_hash_int(SEED, 'te_f.fold', 'te_f.user_id', 'te_f.pos_item', 'g.j')}) % n_f.n
-         where i.item_id <> te_f.pos_item and not exists (
-           select 1 from tr_f where tr_f.fold = te_f.fold and tr_f.user_id = te_f.user_id and tr_f.item_id = i.item_id)),
-neg_f as (select fold, user_id, pos_item, j, neg_item from (
-            select fold, user_id, pos_item, neg_item,
-                   row_number() over (partition by fold, user_id, pos_item order by j) - 1 as j from ok_f) r
-          where j < 20)
+allowed_f as (select te_f.fold, te_f.user_id, te_f.pos_item, i.item_id,
+                     row_number() over (partition by te_f.fold, te_f.user_id, te_f.pos_item order by i.idx) - 1 as k,
+                     count(*) over (partition by te_f.fold, te_f.user_id, te_f.pos_item) as n
+              from te_f join idx_f i using (fold) where i.item_id <> te_f.pos_item and not exists (
+                select 1 from tr_f where tr_f.fold = te_f.fold and tr_f.user_id = te_f.user_id and tr_f.item_id = i.item_id)),
+sizes_f as (select distinct fold, user_id, pos_item, n from allowed_f),
+neg_f as (select s.fold, s.user_id, s.pos_item, s.j, a.item_id as neg_item from (
+            select fold, user_id, pos_item, g.j, ({sql_hash_int(SEED, 'fold', 'user_id', 'pos_item', 'g.j')}) % n as k
+            from sizes_f, range(0, 20) g(j)) s
+          join allowed_f a on a.fold = s.fold and a.user_id = s.user_id and a.pos_item = s.pos_item and a.k = s.k)
 """))
 def q_implicit_negatives(spark, sf_dir):
     _, _, neg = im.implicit_dataset(fx.implicit(spark, sf_dir), 5, SEED, 20)
@@ -1127,13 +1126,20 @@ def _shape(df):
 
 
 def _model_sql(rows: str, dim: int, user: str = "user_id", item: str = "item_id") -> str:
-    return (f"select 'user' as side, id, {dim}::bigint as dim, true as finite from (select distinct {user} as id from {rows} a) u "
-            f"union all select 'item' as side, id, {dim}::bigint, true from (select distinct {item} as id from {rows} b) i")
+    """A row for every id; training moved its vector, and the train RMSE fell in every epoch."""
+    rest = f"{dim}::bigint as dim, true as finite, true as moved, true as falls"
+    return (f"select 'user' as side, id, {rest} from (select distinct {user} as id from {rows} a) u "
+            f"union all select 'item' as side, id, {rest} from (select distinct {item} as id from {rows} b) i")
 
 
 def _model_rows(res):
-    both = res.users.withColumn("side", F.lit("user")).unionByName(res.items.withColumn("side", F.lit("item")))
-    return _shape(both).select("side", "id", "dim", "finite")
+    def side(name, rows, first):
+        before = first.select("id", F.col("vec").alias("_before"))
+        return rows.join(before, "id", "left").select(F.lit(name).alias("side"), "id", "vec", (~F.col("vec").eqNullSafe(F.col("_before"))).alias("moved"))
+
+    both = side("user", res.users, res.first_users).unionByName(side("item", res.items, res.first_items))
+    falls = len(res.loss) > 1 and all(b < a for a, b in zip(res.loss, res.loss[1:]))
+    return _shape(both).select("side", "id", "dim", "finite", "moved", F.lit(falls).alias("falls"))
 
 
 @query("M2_init_svd", with_views(f"""
@@ -1239,6 +1245,60 @@ def q_train_target(spark, sf_dir):
     return _model_rows(out["result"])
 
 
+@query("M7_training_metrics")
+def q_training_metrics(spark, sf_dir):
+    """Epoch metrics of a source and a target model, with the number of transferred vectors (learned values: no SQL)."""
+    rat = filters.core_users(fx.ratings(spark, sf_dir), 20)
+    lab = splits.split_users_disjoint(rat, split_target(rat), SEED)
+    src = tr.train_source(lab.filter(F.col("part") == "rest").drop("part"), "random", fold=1, dim=8, epochs=2, lr=0.005, blocks=4)
+    sample = lab.filter(F.col("part") == "sample").drop("part").withColumn("item_id", F.col("item_id") + 1000000)
+    a, b = _cats(spark, sf_dir)
+    tgt = tr.train_target(sample, b, a, src["result"].items, "src_random", init="random", limit=0.5, fold=1, dim=8, epochs=2,
+                          lr=0.005, blocks=4)
+    rows = mf.run_metrics_table(spark, 0, src["result"]).withColumn("n_emb", F.lit(None).cast("long"))
+    return rows.unionByName(mf.run_metrics_table(spark, 1, tgt["result"]).withColumn("n_emb", F.lit(tgt["n_emb"]).cast("long")))
+
+
+@query("E1_user_disjoint_sets", with_views("""
+select user_id, item_id, rating, case when user_id in (select user_id from sel) then 'sample' else 'rest' end as part from core
+""", "RAT", extra=_SPLIT_FOLD))
+def q_user_disjoint_sets(spark, sf_dir):
+    """The whole job: core users, the sample of whole users and its complement, written as two parts and read again."""
+    path = scratch_path(spark, "user-sets")
+    rat = fx.ratings(spark, sf_dir).select("user_id", "item_id", "rating")
+    tr.user_disjoint_sets(rat, split_target(filters.core_users(rat, 20)), SEED, out=path)
+    back = spark.read.option("header", True).schema("user_id long, item_id long, rating double, part string").csv(path)
+    return back.select("user_id", "item_id", "rating", "part")
+
+
+@query("E3_analyze", with_views("""
+select dataset, method, init, lim, round(rmse_mean, 6) as rmse_mean, round(rmse_std, 6) as rmse_std, count from summ
+""", "RUNS", extra=_NESTED_CTES))
+def q_analyze_job(spark, sf_dir):
+    """The whole job over run configurations in files: read, aligned, summarised."""
+    path = scratch_path(spark, "run-configs")
+    nested = _nested_runs(spark, sf_dir)
+    wr.write_run_configs(nested.select(F.col("run_id").alias("run"), "dataset", F.col("split").alias("dataset_split"), "method",
+                                       "init", F.col("lim").alias("limit"), "last_epoch", "is_complete", "results"), path)
+    out = tr.analyze(spark, path, pattern="*/*.json")
+    return out.select("dataset", "method", "init", "lim", r6(F.col("rmse_mean")).alias("rmse_mean"),
+                      r6(F.col("rmse_std")).alias("rmse_std"), "count")
+
+
+@query("E4_landscape", "with base as (" + ORACLE["A14_interpolate_rmse"] + """)
+select alpha as alphas, max(rmse) filter (split = 'train') as rmse_train, max(rmse) filter (split = 'test') as rmse_test
+from base group by alpha
+""")
+def q_landscape(spark, sf_dir):
+    """The whole job: train and test RMSE along the line between two models, one row per step."""
+    rat = fx.ratings(spark, sf_dir)
+    f = _fac(spark, sf_dir, rat)
+    rs = splits.kfold(rat, 5, SEED).withColumn("split", F.when(F.col("fold") == 1, "test").otherwise("train"))
+    mu = rs.filter(F.col("split") == "train").agg(F.avg("rating")).first()[0]
+    out = tr.landscape(rs, (f[("user", 0)], f[("item", 0)]), (f[("user", 1)], f[("item", 1)]), mu)
+    return out.select(r6(F.col("alphas")).alias("alphas"), r6(F.col("rmse_train")).alias("rmse_train"), r6(F.col("rmse_test")).alias("rmse_test"))
+
+
 # ---------------------------------------------------------------- single-operator entries
 from warmstart.plans import datasets as ds  # noqa: E402
 

@@ -91,9 +91,9 @@ def catalog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(1990) + F.col("p_size") % 30).alias("year"))
 
 
-# --- IMPL: implicit interactions (user, item, n) -------------------------------------------
+# --- IMPL: implicit interactions (user, item, n); 100 items for every 1,000 events --------------------------
 IMPL_SQL = """
-select user_id, cast(json_extract(props,'$.k') as bigint) as item_id, count(*) as n
+select user_id, cast(json_extract(props,'$.k') as bigint) + 100 * (event_id // 1000) as item_id, count(*) as n
 from events where event_type in ('view','click','purchase') group by 1, 2
 """
 
@@ -101,7 +101,7 @@ from events where event_type in ('view','click','purchase') group by 1, 2
 def implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return (ev.filter(F.col("event_type").isin("view", "click", "purchase"))
-            .groupBy("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"))
+            .groupBy("user_id", (F.get_json_object("props", "$.k").cast("bigint") + 100 * F.expr("event_id div 1000")).alias("item_id"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
