@@ -36,10 +36,12 @@ def path(url: Column) -> Column:
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: host parts, path parts with digits as ``#``, query names."""
+    """Distinct tokens: host parts, path parts with digits as ``#``, query names. ``&`` inside a part is written ``%26``, so no token
+    holds one and the name of a rule, its tokens joined by ``&``, stands for one set of tokens only."""
+    plain = lambda c: F.replace(c, F.lit("&"), F.lit("%26"))
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
-    parts = [F.transform(F.filter(F.split(host(url), r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x)),
-             F.transform(F.filter(F.split(F.regexp_replace(path(url), "[0-9]+", "#"), "/"), lambda x: x != ""),
+    parts = [F.transform(F.filter(F.split(plain(host(url)), r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x)),
+             F.transform(F.filter(F.split(plain(F.regexp_replace(path(url), "[0-9]+", "#")), "/"), lambda x: x != ""),
                          lambda x: F.concat(F.lit("path="), x)),
              F.transform(F.filter(F.split(query, "&"), lambda x: x != ""),
                          lambda x: F.concat(F.lit("query="), F.substring_index(x, "=", 1)))]
