@@ -58,6 +58,16 @@ def labelled_urls():
     return out + [(None, "block"), ("http://a.org/x", "other"), ("http://a.org/x", None)]
 
 
+def test_marks_inside_tokens_keep_rules_apart(spark):
+    """``/a/b`` and ``/a&path=b`` are different rules; both are found."""
+    rows = [("http://x.org/a/b", "block")] * 20 + [("http://x.org/a&path=b", "block")] * 20 + [("http://x.org/c=d&e", "allow")] * 60
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "url string, label string"), 0.05, 0.6, 1.1)
+    pages = spark.createDataFrame([(0, "http://q.org/a/b"), (1, "http://q.org/a&path=b"), (2, "http://q.org/a")], "page_id long, url string")
+    got = {r["page_id"]: r["judged"] for r in url_filter.judge(pages, [], rules).collect()}
+    assert got[0]["verdict"] == got[1]["verdict"] == "block" and got[0]["confidence"] == got[1]["confidence"] == 1.0
+    assert got[0]["mined_rule"] != got[1]["mined_rule"]
+
+
 def test_mined_rules_equal_brute_force(spark):
     rows = labelled_urls()
     frame = spark.createDataFrame(rows, "url string, label string")
@@ -249,13 +259,20 @@ def test_mixing_targets_and_taken_words(spark):
     assert sorted(map(key, got)) != sorted(map(key, mixed(spark, rows, seed=18)))
 
 
-def test_mixing_inclusion_is_even(spark):
-    rows = [(i, "w " * (5 if i % 2 else 10), "s") for i in range(4000)] + [(9000 + i, "w " * 60000, "t") for i in range(1)]
-    got = [r for r in mixed(spark, rows, weights=(1, 2), budget=0.5, cap=2.0) if r["source_size"] == 30000]
-    p = got[0]["target"] / 30000
-    for size in (5, 10):
-        part = [r["copies"] for r in got if r["size"] == size]
-        assert abs(sum(part) / len(part) - p) < 4 * math.sqrt(max(p % 1 * (1 - p % 1), 0.01) / len(part))
+def test_mixing_inclusion_follows_the_sizes(spark):
+    """Longer documents are drawn more often, each size as often as its inclusion probability says."""
+    rows = [(i, "w " * (2 if i % 2 else 18), "s") for i in range(4000)] + [(9000 + i, "w " * 80000, "t") for i in range(1)]
+    got = [r for r in mixed(spark, rows, weights=(1, 2), budget=0.5, cap=2.0) if r["source_size"] == 40000]
+    f = got[0]["target"] / 40000 % 1
+    h = {s: s / (s + 10) for s in (2, 18)}
+    centre = sum(2000 * s * h[s] for s in h) / 40000
+    rates = []
+    for size in (2, 18):
+        part = [r["copies"] - got[0]["target"] // 40000 for r in got if r["size"] == size]
+        p = f + min(f, 1 - f) * (h[size] - centre)
+        rates.append(sum(part) / len(part))
+        assert abs(rates[-1] - p) < 4 * math.sqrt(p * (1 - p) / len(part)) + 0.02
+    assert rates[1] > rates[0] + 0.1
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "", "a"), (2, " ", "b")], [(1, "one", "a")]])

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Sources get shares of ``budget`` times all words by weight; a target stops at ``cap`` times the source's
-own words and the excess is shared among the others by weight until none is above. A document's
-expected number of copies is its source's target over its source's words: the whole part is certain, the rest is
-the inclusion probability ``p`` of one more copy. Documents are ranked by their random odds divided by their
-inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and each source takes the first ones until the words it still
-needs are reached (to half a document). ``u`` is a hash of the seed, the id and the size, so reruns agree.
-
-A source is never ranked in one task: ranks are cut into ``BINS`` x ``BINS`` ranges of ``u`` (within a source the
-order of ``u`` is the order of the odds), word sums per range find the range in which the cut falls, and only the
-documents of that range are ordered. The source table (one row a source) is the only thing that
+own words and the excess is shared among the others by weight until none is above. A source's target over its words
+has a whole part, copies that every document gets for certain, and a fraction ``f``, the share of its words to draw once
+more. Inclusion is unequal, longer documents are likelier: ``p = f + min(f, 1 - f) * (h - mean of h)``
+with ``h = size / (size + mean size)`` and its mean weighted by size, so the expected words are those needed. Documents are
+ranked by their random odds divided by their inclusion odds, ``(u / (1 - u)) / (p / (1 - p))`` (Pareto order sampling, Rosen
+1997), and each source takes the first ones until the words it still needs are reached (to half a document). ``u`` is a hash
+of the seed, the id and the size, so reruns agree.
+
+A source is never ranked in one task: the ratio q of odds, as ``v = q / (1 + q)``, is cut into ``BINS`` x ``BINS``
+ranges, word sums per range find the range in which the cut falls, and only the documents of that range are ordered. The source table (one row a source) is the only thing that
 is numbered as a whole, by ``global_index``.
 
 Defined results: null texts count 0 words and take 0; a null source is a source of its own, after all others;
@@ -58,6 +59,25 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
     return src.select("source", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _ranked(rows: DataFrame, targets: DataFrame, u: Column) -> DataFrame:
+    """``rows`` (id, source, size) with their rank v in (0, 1): the ratio q of random to inclusion odds as q / (1 + q).
+
+    Where a source has nothing left to draw v is u."""
+    per = (rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+           .select(F.col("source").alias("s"), "words", (F.col("words") / F.col("docs")).alias("mean")))
+    h = F.when(F.col("words") > 0, F.col("size") / (F.col("size") + F.col("mean"))).otherwise(0.0)
+    same = F.col("source").eqNullSafe(F.col("s"))
+    sized = rows.join(per, same).withColumn("h", h)
+    centre = (sized.groupBy("s", "words").agg(F.sum(F.col("size") * F.col("h")).alias("sum"))
+              .select(F.col("s").alias("c"), F.when(F.col("words") > 0, F.round(F.col("sum") / F.col("words"), 9)).otherwise(0.0).alias("centre")))
+    fraction = targets.select(F.col("source").alias("t"), "f")
+    sized = (sized.join(centre, F.col("s").eqNullSafe(F.col("c"))).join(fraction, F.col("s").eqNullSafe(F.col("t"))).withColumn("u", u))
+    p = F.when(F.col("f") > 0, F.col("f") + F.least(F.col("f"), 1 - F.col("f")) * (F.col("h") - F.col("centre"))).otherwise(0.5)
+    sized = sized.withColumn("p", p)
+    drawn, included = F.col("u") * (1 - F.col("p")), F.col("p") * (1 - F.col("u"))
+    return sized.select("id", "source", "size", (drawn / (drawn + included)).alias("v"))
+
+
 def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED,
         weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """(id, size, source_size, target, copies, taken), a row for every row of ``docs``."""
@@ -65,12 +85,12 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
                  "sizes")
     tgt = store(source_targets(rows, weights, budget, cap)
                 .withColumn("copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-                .withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
+                .withColumn("whole", F.floor("copies")).withColumn("f", F.col("copies") - F.col("whole"))
                 .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    rows = rows.withColumn("u", random_unit(seed, F.col("id"), F.col("size")))
+    rows = store(_ranked(rows, tgt, random_unit(seed, F.col("id"), F.col("size"))), "ranked")
     t = tgt.withColumnRenamed("source", "s")
-    # ranges of u: words in each, and the range in which the cut of a source falls
-    fine = F.floor(F.col("u") * BINS * BINS)
+    # ranges of v: words in each, and the range in which the cut of a source falls
+    fine = F.floor(F.col("v") * BINS * BINS)
     per = rows.groupBy("source", fine.alias("fine")).agg(F.sum("size").alias("n")).withColumn("bin", F.floor(F.col("fine") / BINS))
 
     def crossing(sums: DataFrame, keys: list[str], by: str, before: str) -> DataFrame:
@@ -93,9 +113,7 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     joined = rows.withColumn("fine", fine).join(cut, same).drop("s")
     clear = joined.filter("cut_fine is null or fine <> cut_fine").withColumn(
         "extra", (F.col("cut_fine").isNull() | (F.col("fine") < F.col("cut_fine"))) & (F.col("need") > 0))
-    inclusion = F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p")))  # null: nothing is left to draw
-    odds = (F.col("u") / (1 - F.col("u"))) / inclusion
-    w = Window.partitionBy("source").orderBy(odds, "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source").orderBy("v", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     close = (joined.filter("fine = cut_fine")
              .withColumn("extra", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2 <= F.col("need")))
     out = clear.unionByName(close)

@@ -12,8 +12,8 @@ with parts as (
   from pages),
 tokened as (
   select *, list_sort(list_distinct(
-    ['host=' || x for x in string_split(host, '.') if x <> '']
-    || ['path=' || x for x in string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') if x <> '']
+    ['host=' || x for x in string_split(replace(host, '&', '%26'), '.') if x <> '']
+    || ['path=' || x for x in string_split(replace(regexp_replace(path, '[0-9]+', '#', 'g'), '&', '%26'), '/') if x <> '']
     || ['query=' || split_part(x, '=', 1) for x in string_split(query, '&') if x <> ''])) as tokens
   from parts),
 lab as (select doc_id, min(quality) as q from labels where quality is not null and doc_id is not null group by doc_id),
@@ -83,7 +83,11 @@ from p left join most on p.n >= 1000 and most.html = p.html
 
 OP10 = rf"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
-per as (select source, sum(size)::bigint as source_size from d group by source),
+per as (select source, sum(size)::bigint as source_size, sum(size)::double / count(*) as mean from d group by source),
+tilted as (select d.*, per.mean, per.source_size as words,
+                  case when per.source_size > 0 then d.size / (d.size + per.mean) else 0.0::double end as h
+           from d join per on per.source is not distinct from d.source),
+centres as (select source, case when words > 0 then round(sum(size * h) / words, 9) else 0.0::double end as centre from tilted group by source, words),
 placed as (
   select *, 2.0::double * source_size as most,
          list_extract([3.0::double, 1.0::double, 2.0::double], (row_number() over (order by source is null, encode(source)) - 1) % 3 + 1) as weight
@@ -100,13 +104,15 @@ level as (select coalesce(arg_min(level, rn) filter (most > level * weight), arg
 tgt as (select source, source_size, least(most, level.level * weight) as target from placed, level),
 split as (
   select *, case when source_size > 0 then target / source_size else 0.0 end as copies from tgt),
-need as (select *, floor(copies) as whole, target - floor(copies) * source_size as need from split),
-ranked as (
-  select d.*, n.source_size, n.target, n.whole, n.need,
-         (('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, 'null') || ':' || d.size), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u
-  from d join need n on n.source is not distinct from d.source),
+need as (select *, floor(copies) as whole, copies - floor(copies) as f, target - floor(copies) * source_size as need from split),
+drawn as (
+  select d.doc_id, d.source, d.size, n.source_size, n.target, n.whole, n.need,
+         (('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, 'null') || ':' || d.size), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u,
+         case when n.f > 0 then n.f + least(n.f, 1 - n.f) * (d.h - c.centre) else 0.5::double end as p
+  from tilted d join need n on n.source is not distinct from d.source join centres c on c.source is not distinct from d.source),
+ranked as (select *, u * (1 - p) / (u * (1 - p) + p * (1 - u)) as v from drawn),
 run as (
-  select *, coalesce(sum(size) over (partition by source order by u, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
+  select *, coalesce(sum(size) over (partition by source order by v, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
   from ranked)
 select doc_id, size, source_size, target, ((whole + case when before + size / 2.0 <= need then 1 else 0 end) * size)::bigint as taken
 from run
