@@ -143,3 +143,13 @@ def test_word_vectors_equal_brute_force(spark):
 def test_network_of_one_class_gives_its_share(share):
     net = quality_model.fit(np.ones((20, 3)), np.full(20, share))
     assert abs(net.score(np.ones((2, 3)))[0] - share) < 1e-5
+
+
+@pytest.mark.parametrize("n", [0, 5, 100, 3000])
+def test_bounded_sample(spark, n):
+    from warmstart.llm.common import bounded_sample
+
+    rows = spark.range(n).withColumn("label", F.col("id") % 2)
+    got = {r["id"] for r in bounded_sample(rows, "id", 200).collect()}
+    assert len(got) == n if n <= 200 else 150 <= len(got) <= 200
+    assert got == {r["id"] for r in bounded_sample(rows.repartition(5), "id", 200).collect()}

@@ -65,6 +65,30 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_ROWS else ids
 
 
+#: Ranges of the hash among which the cut of a bounded sample is looked for.
+SAMPLE_RANGES = 4096
+
+
+def bounded_sample(rows: DataFrame, id_col: str, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` of the rows (distinct ids): all of them, or those of the smallest id hashes.
+
+    A first threshold leaves about 1.5 * ``max_rows`` rows, counts per range of the hash (``SAMPLE_RANGES`` at most reach the
+    driver) tell how many ranges fit; nothing is sorted and no list of rows is gathered."""
+    rows = store(rows.withColumn("__place", F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / F.lit(float(2**53))), "ids")
+    total = rows.count()
+    if total <= max_rows:
+        return rows.drop("__place")
+    share = min(1.0, 1.5 * max_rows / total)
+    ranged = rows.filter(F.col("__place") < share).withColumn("__range", F.floor(F.col("__place") / share * SAMPLE_RANGES))
+    kept, fits = 0, 0
+    for r in sorted(ranged.groupBy("__range").count().collect()):
+        kept += r["count"]
+        if kept > max_rows:
+            break
+        fits = r["__range"] + 1
+    return ranged.filter(F.col("__range") < fits).drop("__place", "__range")
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, max_bytes: int) -> Iterator[None]:
     """Jobs run inside hand rows to Python in batches of at most ``max_bytes`` (or one row); the setting before returns after."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from warmstart.llm import arrowtext as A
-from warmstart.llm.common import store
+from warmstart.llm.common import bounded_sample, store
 
 BITS, DIM, NONZERO, REACH = 14, 32, 4, 2
 BUCKETS = 1 << BITS
@@ -179,8 +179,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, labelled: Column, max_row
     lab = (labels.filter("quality is not null and doc_id is not null")
            .groupBy("doc_id").agg(F.min("quality").alias("label")))
     may = docs.filter(labelled).select(F.col(id_col).alias("id")).distinct()
-    picked = (may.join(lab, F.col("id") == F.col("doc_id")).orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-              .limit(max_rows).select("id", "label"))
+    picked = bounded_sample(may.join(lab, F.col("id") == F.col("doc_id")).select("id", "label"), "id", max_rows)
     # ids are sent to the features: max_rows of them at most
     rows = feats.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     got = rows.select("x", "label").toPandas()

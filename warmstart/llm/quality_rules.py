@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from warmstart.llm import arrowtext as A
-from warmstart.llm.common import fresh
+from warmstart.llm.common import bounded_sample, fresh
 
 MAX_ROWS = 40_000
 WINDOW = 5
@@ -125,8 +125,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, labelled: Column, ma
     a label. The ids are picked first, so only their texts are looked at; they are few enough to broadcast."""
     lab = (labels.filter("quality is not null and doc_id is not null")
            .groupBy("doc_id").agg(F.min("quality").alias("label")))
-    picked = (docs.filter(labelled).select("doc_id").distinct().join(lab, "doc_id")
-              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows))
+    picked = bounded_sample(docs.filter(labelled).select("doc_id").distinct().join(lab, "doc_id"), "doc_id", max_rows)
     texts = (docs.select("doc_id", F.col(text_col).alias("text"))
              .join(F.broadcast(picked.select("doc_id", "label")), "doc_id").select("doc_id", "label", "text"))
     stats = with_statistics(texts, F.col("text"), "stats")
