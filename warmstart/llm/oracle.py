@@ -118,4 +118,102 @@ select doc_id, size, source_size, target, ((whole + case when before + size / 2.
 from run
 """
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op4_near_dedup": OP4, "op5_warc": OP5, "op10_mixing": OP10}
+# CRC-32 (reflected, 0xEDB88320) of the ASCII text x, bit by bit.
+_CRC = """xor(4294967295::bigint, list_reduce([4294967295::bigint] || [ascii(ch)::bigint for ch in string_split({x}, '')],
+  lambda c, b: list_reduce([xor(c, b)] || [0::bigint for z in range(8)],
+                           lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)))"""
+
+# The damage, then faults and counts; the cheapest edits from the last row to the first: v holds for each state of
+# (s?(ua)+)? (nothing yet, after s, after u, after a) the cost, the audit and the rows left from here on.
+OP12 = rf"""
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_CRC.format(x="(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as fault
+  from conversations),
+damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when fault = 3 then [0, 1] else [0] end) as copy
+  from given where fault <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+         regexp_extract_all(text, '{WORD}') as w
+  from damaged),
+marked as (
+  select *, case when len(w) = 0 then 'blank' when again > 1 then 'duplicate'
+                 when right(w[-1], 1) not in ('.', '!', '?') then 'truncated' else 'ok' end as fault,
+         left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) as pair
+  from placed),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (i > 1 and coalesce(pair, '') not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id),
+fold(conv_id, i, v) as (
+  select conv_id, n + 1, [{{'c': 0::bigint, 'a': '', 't': []::varchar[]}}, {{'c': 6::bigint, 'a': 'II', 't': ['user:', 'assistant:']}},
+                          {{'c': 3::bigint, 'a': 'I', 't': ['assistant:']}}, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}}]
+  from counts
+  union all
+  select conv_id, i, [list_min([o[1], {{'c': u.c + 3, 'a': 'I' || u.a, 't': ['user:'] || u.t}}]),
+                      list_min([o[2], {{'c': u.c + 3, 'a': 'I' || u.a, 't': ['user:'] || u.t}}]), u,
+                      list_min([o[4], {{'c': u.c + 3, 'a': 'I' || u.a, 't': ['user:'] || u.t}}])]
+  from (
+    select conv_id, i, o, list_min([o[3], {{'c': o[4].c + 3, 'a': 'I' || o[4].a, 't': ['assistant:'] || o[4].t}}]) as u
+    from (
+      select f.conv_id, m.i,
+             [list_min([{{'c': v[p].c + 4, 'a': 'D' || v[p].a, 't': v[p].t}},
+                        case when m.fault in ('ok', 'truncated') and left(m.role, 1) = 's' and p = 1
+                             then {{'c': v[2].c + m.more, 'a': 'K' || v[2].a, 't': [m.line] || v[2].t}} end,
+                        case when m.fault in ('ok', 'truncated') and left(m.role, 1) = (case when p = 3 then 'a' else 'u' end)
+                             then {{'c': v[q].c + m.more, 'a': 'K' || v[q].a, 't': [m.line] || v[q].t}} end,
+                        case when m.fault in ('ok', 'truncated')
+                             then {{'c': v[q].c + m.more + 3, 'a': 'R' || v[q].a,
+                                    't': [(case when p = 3 then 'assistant:' else 'user:' end) || m.text] || v[q].t}} end])
+              for q, p in [3, 3, 4, 3]] as o
+      from fold f join (select *, role || ':' || text as line, case when fault = 'truncated' then 3 else 0 end as more from marked) m
+        on m.conv_id is not distinct from f.conv_id and m.i = f.i - 1) x) y)
+select c.conv_id, coalesce(k.gaps, 0)::bigint as gaps, coalesce(k.blank, 0)::bigint as blank, coalesce(k.duplicate, 0)::bigint as duplicate,
+       coalesce(k.truncated, 0)::bigint as truncated, coalesce(k.illegal, 0)::bigint as illegal, coalesce(f.v[1].c, 0)::bigint as cost,
+       coalesce(f.v[1].a, '') as audit, sha256(array_to_string(coalesce(f.v[1].t, []), chr(10))) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts k on k.conv_id is not distinct from c.conv_id
+left join fold f on f.conv_id is not distinct from c.conv_id and f.i = 1
+"""
+
+# Stretches of equal pairs at every lag, from equal 16-grams; a run whose words have a smaller period lies in a stretch of a smaller lag.
+OP13 = rf"""
+with given as (
+  select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as w, {_CRC.format(x="doc_id::varchar")} as h from documents),
+parts as (select *, len(w) as n, h // 10 as g from given),
+cut as (select *, case when n > 0 then g % n end as a from parts),
+made as (
+  select doc_id, n, case when h % 10 = 0 and n > 0
+    then [w[(case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end) + 1] for i in range(n)] else w end as w
+  from cut),
+words as (select doc_id, n, unnest(w) as word, unnest(range(n)) as i from made),
+grams as (select doc_id, n, i, unnest_gram as gram from (
+  select doc_id, n, unnest(range(n - 15)) as i, unnest([md5(array_to_string(w[j + 1:j + 16], ' ')) for j in range(n - 15)]) as unnest_gram
+  from made where n >= 24) x),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i
+          where 3 * (y.i - x.i) <= x.n),
+stretches as (
+  select doc_id, q, min(i) as start, count(*) + 15 + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from pairs) p group by doc_id, q, island),
+runs as (
+  select * from stretches r where length >= greatest(24, 3 * q) and not exists (
+    select 1 from stretches s where s.doc_id = r.doc_id and s.q < r.q and s.start <= r.start and s.start + s.length >= r.start + r.length)),
+best as (select * from (select *, row_number() over (partition by doc_id order by length::double / q desc, start, q) as rn from runs) b where rn = 1),
+listed as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as lines
+           from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + q, start + length)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(l.n_runs, 0)::bigint as n_runs, b.start::bigint as start, b.length::bigint as length, b.q::bigint as period,
+       (1000 * b.length // b.q)::bigint as exponent_milli, sha256(coalesce(l.lines, '')) as runs_sha256,
+       sha256(coalesce(k.text, '')) as collapsed_sha256
+from documents d left join listed l using (doc_id) left join best b using (doc_id) left join kept k using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op4_near_dedup": OP4, "op5_warc": OP5, "op10_mixing": OP10,
+                          "op12_conversations": OP12, "op13_periodic_runs": OP13}
