@@ -39,28 +39,31 @@ class Buckets:
     def __init__(self, spark, b: int):
         self.spark, self.b, self.tables = spark, b, {}
 
-    def write(self, key: str, df: DataFrame, by: list[str] | None = None) -> None:
-        """Write the table ``key``; the one it replaces goes after."""
+    def write(self, key: str, df: DataFrame, by: list[str] | None = None, path: str | None = None) -> None:
+        """Write the table ``key``; the one it replaces goes after. Files at a given ``path`` are the caller's and stay."""
         old, name = self.tables.get(key), f"warmstart_{key}_{uuid.uuid4().hex}"
-        path = scratch_path(self.spark, f"blocks-{key}")
-        out = df.write.option("path", path).bucketBy(self.b, "slot")
+        if path:
+            delete_path(self.spark, path)  # what a run that broke off may have left
+        at = path or scratch_path(self.spark, f"blocks-{key}")
+        out = df.write.option("path", at).bucketBy(self.b, "slot")
         (out.partitionBy(*by) if by else out).saveAsTable(name)
-        self.tables[key] = (name, path)
+        self.tables[key] = (name, None if path else at, at)
         if old:
             self._drop(*old)
 
     def read(self, key: str) -> DataFrame:
         return self.spark.table(self.tables[key][0])
 
-    def _drop(self, name: str, path: str) -> None:
-        self.spark.sql(f"drop table if exists {name}")
-        delete_path(self.spark, path)
+    def _drop(self, name: str, own: str | None, at: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")  # the files were given a path: they stay
+        if own:
+            delete_path(self.spark, own)
 
     def close(self, keep: str) -> DataFrame:
         """All names and files go but the files of ``keep``, which are returned as a table."""
-        name, path = self.tables.pop(keep)
-        kept = self.spark.read.schema(self.spark.table(name).schema).parquet(path)
-        self.spark.sql(f"drop table if exists {name}")  # the files were given a path: they stay
+        name, _, at = self.tables.pop(keep)
+        kept = self.spark.read.schema(self.spark.table(name).schema).parquet(at)
+        self._drop(name, None, at)
         self.abandon()
         return kept
 
@@ -147,8 +150,10 @@ class Strata:
             rows = entries.withColumn("ub", block_of("u", b, seed)).withColumn("ib", block_of("i", b, seed + 1))
             self.tables.write("entries", _packed_entries(rows, b, self.slots), ["stratum"])
 
-    def run(self, s: int, change: Callable[[np.ndarray, np.ndarray, np.ndarray, Side, Side], None]) -> None:
-        """Stratum s: ``change(u, i, r, first, second)`` updates a pair of blocks in place for its entries, by u and i."""
+    def run(self, s: int, change: Callable[[np.ndarray, np.ndarray, np.ndarray, Side, Side], None], path: str | None = None) -> None:
+        """Stratum s: ``change(u, i, r, first, second)`` updates a pair of blocks in place for its entries, by u and i.
+
+        With ``path`` the blocks are written there as they are updated, and stay (``saved`` reads them)."""
         @F.pandas_udf("pu binary, bu binary, qi binary, bi binary")
         def update(uid: pd.Series, pu: pd.Series, bu: pd.Series, iid: pd.Series, qi: pd.Series, bi: pd.Series, ru: pd.Series,
                    ri: pd.Series, rr: pd.Series) -> pd.DataFrame:
@@ -168,7 +173,11 @@ class Strata:
             pair = (state.select("slot", "ub", *_FIRST.split()).join(moved.hint("merge"), "slot").join(mine, "slot", "left")
                     .withColumn("new", update("uid", "pu", "bu", "iid", "qi", "bi", "ru", "ri", "rr")))
             self.tables.write("state", pair.select("slot", "ub", "uid", F.col("new.pu").alias("pu"), F.col("new.bu").alias("bu"),
-                                                   "ib", "iid", F.col("new.qi").alias("qi"), F.col("new.bi").alias("bi")))
+                                                   "ib", "iid", F.col("new.qi").alias("qi"), F.col("new.bi").alias("bi")), path=path)
+
+    def copy(self, path: str) -> None:
+        """Write the blocks as they are now to ``path``."""
+        self.tables.read("state").write.mode("overwrite").parquet(path)
 
     def users(self) -> DataFrame:
         """(id, vec, bias) of the first side."""
@@ -185,3 +194,9 @@ class Strata:
 
     def abandon(self) -> None:
         self.tables.abandon()
+
+
+def saved(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, vec, bias) of blocks that ``Strata`` wrote to ``path``."""
+    state = spark.read.parquet(path)
+    return _unpacked(state, _FIRST), _unpacked(state, _SECOND)
