@@ -11,11 +11,10 @@ ties) and accepts it when ``round(score, 4) > threshold``.
 * Candidates. The scaled terms are at most 1, so an accepted target needs
   ``cos >= (threshold * sum(w) - sum(w_other)) / w_cos`` (0.583 for the shipped
   weights 3/1/0/0/1). Candidate pairs come from a *prefix-filtered* token join
-  (Bayardo et al. 2007; Vernica et al. 2010): tokens are ordered by ascending
-  document frequency and each title indexes only the shortest prefix whose
-  remaining suffix has unit-norm weight below the bound. Two titles reaching the
-  bound must share a prefix token, so no accepted match is lost, and frequent
-  tokens (a year, "the") mostly fall in suffixes: they do not produce all pairs.
+  (Bayardo et al. 2007; Vernica et al. 2010), on the first two shared tokens at once: tokens are ordered by ascending
+  document frequency, and two titles meet under a pair of tokens only if these and what follows carry enough of the
+  norm of both (``candidate_pairs``). No accepted match is lost, and frequent
+  tokens (a year, "the") do not produce all pairs.
 * Statistics. The scaled terms need each source's smallest and greatest similarity over all leftover targets. The match
   itself (``stats="certified"``) works out only what decides it. A pair's score is bounded from above with 0 for the smallest
   value and the candidates' own greatest value; sources without a pair above the threshold are rejected. For the others the greatest values are
@@ -106,16 +105,27 @@ def token_table(keys: DataFrame, id_col: str) -> DataFrame:
     return toks.withColumn("w", F.col("cnt") / F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(norm)))
 
 
-def prefix_tokens(toks: DataFrame, freq: DataFrame, id_col: str, theta: float) -> DataFrame:
-    """Prefix tokens of each title for cosine bound ``theta`` (frequency-ascending order), with
-    ``w`` (unit weight), ``suffix`` (squared norm from this token on) and ``tail`` (norm after it)."""
-    w = (Window.partitionBy(id_col).orderBy("df", "token")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return (toks.join(freq, "token")
-            .withColumn("suffix", F.sum(F.col("w") * F.col("w")).over(w))
-            .filter(F.col("suffix") >= F.lit(theta * theta - 1e-9))
-            .withColumn("tail", F.sqrt(F.greatest(F.col("suffix") - F.col("w") * F.col("w"), F.lit(0.0))))
-            .select(id_col, "token", "df", "w", "suffix", "tail"))
+def token_lists(toks: DataFrame, freq: DataFrame, id_col: str) -> DataFrame:
+    """One row per title: its tokens by ascending document frequency as structs (df, token, w, suffix, tail), ``w`` the unit
+    weight, ``suffix`` the squared norm from this token on and ``tail`` the norm after it."""
+    listed = (toks.join(freq, "token").groupBy(id_col)
+              .agg(F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("_l")))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"])
+    rest = lambda i: F.slice(F.col("_l"), i + 1, F.size("_l"))
+    return listed.select(id_col, F.transform("_l", lambda x, i: F.struct(
+        x["df"].alias("df"), x["token"].alias("token"), x["w"].alias("w"), square(rest(i)).alias("suffix"),
+        F.sqrt(F.greatest(square(rest(i)) - x["w"] * x["w"], F.lit(0.0))).alias("tail"))).alias("l"))
+
+
+def token_pairs(lists: DataFrame, id_col: str, theta: float) -> DataFrame:
+    """(id, t1, t2, w1, w2, tail, reach) for the token pairs of each title, t1 before t2, that can be the first two tokens it shares with
+    a title of cosine ``theta``: ``reach``, the squared norm of t1 and of all from t2 on, is not below ``theta ** 2``."""
+    after = lambda i: F.slice(F.col("l"), i + 2, F.size("l"))
+    both = F.flatten(F.transform("l", lambda x, i: F.transform(after(i), lambda y: F.struct(
+        x["token"].alias("t1"), y["token"].alias("t2"), x["w"].alias("w1"), y["w"].alias("w2"), y["tail"].alias("tail"),
+        (x["w"] * x["w"] + y["suffix"]).alias("reach")))))
+    return (lists.select(id_col, F.explode(F.filter(both, lambda p: p["reach"] >= F.lit(theta * theta - 1e-9))).alias("p"))
+            .select(id_col, "p.*"))
 
 
 def token_maps(toks: DataFrame, id_col: str) -> DataFrame:
@@ -135,32 +145,37 @@ def cosine_pairs(pairs: DataFrame, tok_s: DataFrame, tok_t: DataFrame) -> DataFr
                     .otherwise(dot).alias("cosine"))
 
 
-SUFFIX_LEVELS = 32
+#: Buckets of the norm bounds in the join keys.
+LEVELS = 8
+
+
+def _bounded_join(x: DataFrame, y: DataFrame, on: list[str], bound: str, theta: float) -> DataFrame:
+    """Rows of x and y with equal ``on`` whose ``bound`` columns can have a product of ``theta ** 2``: y is bucketed by its bound
+    and x probes only the buckets that reach, so a frequent key is split and pairs only rows that carry enough."""
+    level = lambda c: F.least(F.floor(c * LEVELS), F.lit(LEVELS - 1)).cast("int")
+    lo = F.least(level(F.lit(theta * theta - 1e-9) / F.col(bound)), F.lit(LEVELS - 1))
+    x = x.withColumn("_lvl", F.explode(F.sequence(lo, F.lit(LEVELS - 1))))
+    return x.alias("x").join(y.withColumn("_lvl", level(F.col(bound))).alias("y"), [*on, "_lvl"])
 
 
 def candidate_pairs(tok_s: DataFrame, tok_t: DataFrame, theta: float) -> DataFrame:
     """Pairs that may reach cosine ``theta``; a superset of all such pairs.
 
-    Let T be the first token (in frequency order) two titles share. T lies in both
-    prefixes, every other shared token comes after T in both titles, so
-    ``cos <= w_x(T) w_y(T) + tail_x(T) tail_y(T) <= sqrt(suffix_x(T) suffix_y(T))``.
-    The last bound goes into the join key: targets are bucketed by ``suffix`` and a
-    source probes only the buckets that can reach ``theta^2 / suffix``. A frequent
-    token therefore pairs only titles in which it carries enough of the weight; its
-    group is split by bucket. The positional bound filters the joined rows.
+    Tokens are ordered by ascending document frequency. Let t1 and t2 be the first two tokens that two titles share. All others come
+    after t2 in both, so ``cos <= w_x(t1) w_y(t1) + w_x(t2) w_y(t2) + tail_x(t2) tail_y(t2)``, which is not above the root of
+    ``reach_x * reach_y``. Titles are joined on (t1, t2): a frequent token alone, a year or "the", pairs nothing. The bound on
+    the reaches is in the join key, the sharper one filters the joined rows. Titles that share one token only need
+    ``w_x w_y >= theta``, so tokens of at least ``theta`` of a title's norm (two a title at most) are joined by themselves.
     """
-    lv = SUFFIX_LEVELS
     freq = (tok_s.select("token").unionAll(tok_t.select("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    ps = prefix_tokens(tok_s, freq, "sid", theta)
-    pt = prefix_tokens(tok_t, freq, "tid", theta)
-    level = lambda c: F.least(F.floor(c * lv), F.lit(lv - 1)).cast("int")
-    pt = pt.withColumn("lvl", level(F.col("suffix")))
-    lo = level(F.lit(theta * theta - 1e-9) / F.col("suffix"))
-    ps = ps.withColumn("lvl", F.explode(F.sequence(F.least(lo, F.lit(lv - 1)), F.lit(lv - 1))))
-    j = (ps.alias("x").join(pt.alias("y"), ["token", "lvl"])
-         .filter(F.col("x.w") * F.col("y.w") + F.col("x.tail") * F.col("y.tail") >= F.lit(theta - 1e-9)))
-    return j.select("sid", "tid").distinct()
+    ps, pt = (token_pairs(token_lists(t, freq, c), c, theta) for t, c in ((tok_s, "sid"), (tok_t, "tid")))
+    two = (_bounded_join(ps, pt, ["t1", "t2"], "reach", theta)
+           .filter(F.col("x.w1") * F.col("y.w1") + F.col("x.w2") * F.col("y.w2") + F.col("x.tail") * F.col("y.tail") >= F.lit(theta - 1e-9)))
+    heavy = [t.withColumn("bound", F.col("w") * F.col("w")).filter(F.col("w") >= F.lit(theta - 1e-9)) for t in (tok_s, tok_t)]
+    one = (_bounded_join(heavy[0], heavy[1], ["token"], "bound", theta)
+           .filter(F.col("x.w") * F.col("y.w") >= F.lit(theta - 1e-9)))
+    return two.select("sid", "tid").unionByName(one.select("sid", "tid")).distinct()
 
 
 # ---------------------------------------------------------------- min-max statistics
