@@ -40,8 +40,8 @@ def _settled(e: DataFrame) -> bool:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node that it reaches.
 
-    ``links``: (u, v) of a comparable type; loops and repeated links are fine, an empty table gives
-    an empty table. The rounds needed grow with the logarithm of the longest path; if they pass
+    ``links``: (u, v) of a comparable type; loops and repeated links are fine, a link with a null end connects
+    nothing, an empty table gives an empty table. The rounds needed grow with the logarithm of the longest path; if they pass
     ``max_rounds`` the call raises instead of returning an unfinished result."""
     e = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = store(e, "links")

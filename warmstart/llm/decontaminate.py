@@ -20,7 +20,8 @@ each, counted first), beyond that both sides are shuffled by hash.
 
 Defined results: null and empty texts (documents or items) match nothing; a row is known by its id and text, so
 null ids are fine, repeated rows are reported once and all of them are dropped; repeated items are
-reported by each item_id; empty tables give an empty report.
+reported by each item_id; empty tables give an empty report; very long texts are taken whole, their windows being arrays in one
+row, so memory grows with the longest text; other columns are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ languages alone, never on the corpus. Scoring sums a document's sparse n-gram co
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for every text if
 there is nothing to learn from; equal likelihoods give the language first in code-point order; null labels
-are not learned from; repeated rows get equal results; other columns are passed through.
+are not learned from; repeated rows get equal results; a very long text is a slice of its own; an empty table gives an empty
+table; other columns are passed through, but for those named like the outputs, which the outputs replace.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the row by array functions, so no document is shuffled and no hot word matters.
 The index goes into the plan as literals: its size follows the template list (a parameter), not the corpus.
 
 Defined results: a null text is empty; without words every count is 0, positions are null, labels are the empty
-string and the score is 0; repeated rows get equal results; other columns are passed through; on an
+string and the score is 0; repeated rows get equal results; very long texts are taken whole, their words being one array; other
+columns are passed through (``scan`` is the name of the result, so the caller's table must have none); on an
 empty table the index falls back to template words in alphabetical order.
 """
 

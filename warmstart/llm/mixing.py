@@ -15,7 +15,8 @@ is numbered as a whole, by ``global_index``.
 
 Defined results: null texts count 0 words and take 0; a null source is a source of its own, after all others;
 null ids are hashed as such; equal rows have equal ranks and are ordered by id and size, so one of
-them may be taken when the other is not; an empty table, or one without words, gives targets of 0.
+them may be taken when the other is not; an empty table, or one without words, gives targets of 0; of a text, however long, only
+its size counts; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ the temperature that calibrates its probabilities.
 Defined results: null and empty texts are documents without tokens (all pooled values 0) and get the score the
 network gives to those; null labels are not learned from, a doc_id with several labels takes the smallest;
 if there are no rows of both labels every score is the share of label 1 (0.5 without rows); repeated rows get
-equal scores; other columns are ignored.
+equal scores; a very long text is a slice of its own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ id (``max_rows`` of ``labelled_statistics``). Applying covers all rows.
 Defined results: a null text counts as empty (all statistics 0); null labels are not learned from, a doc_id with
 several labels takes the smallest; without rows of both labels the list is empty and keeps everything; ties
 between conditions go to the first in the order of ``FEATURES`` and thresholds; repeated rows get equal
-results; other columns are passed through.
+results; a very long text is a slice of its own; an empty table gives an empty table; other columns are passed through.
 """
 
 from __future__ import annotations

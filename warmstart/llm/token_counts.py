@@ -13,7 +13,7 @@ its pre-tokens have.
 A row is known by a number that is given once and stored, so repeated ids do no harm.
 
 Defined results: null texts count as empty (0 bytes, 0 tokens); control strings inside texts are ordinary text; repeated
-rows get equal counts; an empty table gives an empty table; other columns are ignored.
+rows get equal counts; a very long text is a slice of its own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ No rule table is collected or broadcast by hand.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no tokens beyond that, fits no
 list rule and gets the default verdict; repeated URLs are matched once and all their rows get the
-result; labels other than allow and block are not learned from; without labelled URLs there are no mined rules.
+result; labels other than allow and block are not learned from; without labelled URLs there are no mined rules; very long URLs
+are taken whole; an empty table gives an empty table; other columns stay, helper columns avoid their names (``judged`` is the
+name of the result, so the caller's table must have none).
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Files are opened through ``pyarrow.fs`` by URI, so any store that pyarrow knows
 Defined results: a null payload is an empty one; a null page id is written without an id and never wins
 against another id; a null url is written without a target URI; rows that repeat id and payload of a response are
 responses too; line breaks in urls are written percent-encoded; an empty table writes empty archives and reads
-back no rows. A damaged archive raises ``WarcError`` with the record's offset among the inflated bytes.
+back no rows; a very long payload is one value, inflated piece by piece; other columns are ignored. A damaged archive raises ``WarcError`` with the record's offset among the inflated bytes.
 """
 
 from __future__ import annotations
