@@ -34,4 +34,4 @@ def test_stages_on_odd_rows(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
