@@ -62,3 +62,12 @@ def test_no_shuffle_of_ratings_with_vectors(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         fa.predict(ratings, users, items, 3.0).explain()
     assert "Join" not in plan.getvalue() and plan.getvalue().count("Exchange") == 1
+
+
+def test_interpolation_with_a_null_vector_of_one_model(spark):
+    """At alpha 0 the other model's missing vector changes nothing."""
+    ratings = spark.createDataFrame([(u, i, float(u + i), "train") for u in range(3) for i in range(3)], "user_id long, item_id long, rating double, split string")
+    side = lambda gone: spark.createDataFrame([(k, None if k == gone else [0.5 * k, 1.0], 0.1) for k in range(3)], "id long, vec array<float>, bias double")
+    got = fa.interpolate_rmse(ratings, side(None), side(None), side(1), side(None), 0.0, n=2).filter("k = 0").first()["rmse"]
+    want = np.sqrt(np.mean([(u + i - (0.2 + 0.25 * u * i + 1.0)) ** 2 for u in range(3) for i in range(3)]))
+    assert abs(got - want) < 1e-6
