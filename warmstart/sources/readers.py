@@ -150,9 +150,15 @@ RUN_SCHEMA = T.StructType([
 
 def read_runs(spark: SparkSession, path: str, complete_only: bool = True, pattern: str = "*/config.json") -> DataFrame:
     """Every ``<path>/<run>/config.json``; the kept columns only; runs without a method and
-    incomplete runs dropped. ``run`` = folder name; columns renamed to ``lim``/``split``."""
-    df = (spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(f"{path.rstrip('/')}/{pattern}")
-          .withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+    incomplete runs dropped. ``run`` = folder name; columns renamed to ``lim``/``split``.
+
+    A ``pattern`` without a folder names files of JSON lines instead, a run each, that carry their ``run``."""
+    files = f"{path.rstrip('/')}/{pattern}"
+    if "/" in pattern:
+        df = (spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(files)
+              .withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+    else:
+        df = spark.read.schema(T.StructType([*RUN_SCHEMA.fields, T.StructField("run", T.StringType())])).json(files)
     df = df.filter(F.col("method").isNotNull())
     if complete_only:
         df = df.filter(F.coalesce(F.col("is_complete"), F.lit(True)))
