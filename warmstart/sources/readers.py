@@ -90,7 +90,8 @@ def read_sectioned_ratings(spark: SparkSession, paths, date_format: str = "yyyy-
     carry = chunk_last.withColumn("_carry", F.last("_last", ignorenulls=True).over(w)).select("_file", "_start", "_carry")
     data = filled.filter(~F.col("value").rlike(r"^\s*\d+:\s*$") & (F.length(F.trim("value")) > 0))
     parts = F.split(F.col("value"), ",")
-    return (data.join(carry, ["_file", "_start"])
+    # one row per split: small, and a join on the split would sort all its lines in one task
+    return (data.join(F.broadcast(carry), ["_file", "_start"])
             .select(parts.getItem(0).cast("long").alias("user_id"),
                     F.coalesce(F.col("movie"), F.col("_carry")).cast("long").alias("item_id"),
                     parts.getItem(1).cast("double").alias("rating"),
