@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests import plain_strings as plain
 from tests.conftest import SF
+from warmstart.functions import similarity as sim
 from warmstart.functions import text as tx
 from warmstart.operators import matching as mt
 from warmstart.sources import fixtures as fx
@@ -178,3 +179,33 @@ def test_few_sources_need_the_smallest_values(spark):
     _, a2, b2 = mt.match_raw_title(a1, b1)
     rows = mt.certified_pairs(a2, b2).select("sid", "decided").distinct().collect()
     assert sum(r["decided"] for r in rows) >= 50
+
+
+def test_greatest_equals_brute_force_with_and_without_seeds():
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdé 19"), int(rng.integers(0, 14))))
+    src, tgt = [word() for _ in range(150)] + ["", None], [word() for _ in range(90)] + [""]
+    s, blk = sim.Strings(src), sim.Block(tgt)
+    i, j = (x.ravel() for x in np.indices((s.n, blk.strings.n)))
+    lcs = sim.pair_lcs(s, i, blk.strings, j).reshape(s.n, -1)
+    lev = (np.maximum(s.length[i], blk.strings.length[j]) - sim.pair_levenshtein(s, i, blk.strings, j)).reshape(s.n, -1)
+    shared = blk.shared(sim._counts(s))
+    assert shared.dtype == np.float32 and np.array_equal(shared, blk.common(sim._counts(s))) and (shared >= lcs).all()
+    none, far = np.full(s.n, -1), np.full(s.n, 1 << 40)
+    for a, b in ((none, none), (lcs[:, 3], lev[:, 3]), (far, lev[:, 5]), (lcs[:, 5], far)):
+        got = sim.greatest(s, blk, a, b)
+        assert np.array_equal(got[0], np.maximum(a, lcs.max(axis=1))) and np.array_equal(got[1], np.maximum(b, lev.max(axis=1)))
+        assert np.array_equal(got[2], shared.min(axis=1))
+    for more in ([], ["ab1 " * 50], ["1" * 400]):  # long strings on one side and on both
+        for a, b in ((sim.Strings(src + more), sim.Block(tgt)), (sim.Strings(src[:20] + more), sim.Block(tgt + more))):
+            i, j = (x.ravel() for x in np.indices((a.n, b.strings.n)))
+            lcs = sim.pair_lcs(a, i, b.strings, j).reshape(a.n, -1)
+            lev = (np.maximum(a.length[i], b.strings.length[j]) - sim.pair_levenshtein(a, i, b.strings, j)).reshape(a.n, -1)
+            assert [x.tolist() for x in sim.least(a, b)] == [lcs.min(axis=1).tolist(), lev.min(axis=1).tolist()]
+
+
+def test_keys_of_the_fuzzy_stage_are_made_once(spark):
+    a = spark.createDataFrame([(1, "Alpha beta gamma (1999)"), (2, "Other words here (2001)")], "item_id long, title string")
+    b = spark.createDataFrame([(11, "Alpha beta gammas (1999)"), (12, "Nothing of this")], "item_id long, title string")
+    keys = mt._candidates_scored(a, b, mt.DEFAULT_WEIGHTS, mt.DEFAULT_THRESHOLD)[:2]
+    assert all("regexp" not in k._jdf.queryExecution().optimizedPlan().toString() for k in keys)
