@@ -42,3 +42,21 @@ def test_vectors_are_not_worked_out_below_the_distinct(spark):
     assert got == want and len(got) == 28
 
 
+def test_draws_are_placed_without_objects():
+    rows, n, width = 10_000, 99, 10
+    draws = np.tile(np.arange(n), rows)
+    k = pa.ListArray.from_arrays(np.arange(0, rows * n + 1, n, dtype=np.int32), draws)
+    one = lambda x: pa.array([x] * rows)
+    tracemalloc.start()
+    at = im._locate.func(k, one([0, 3]), one([2, 1]), pa.array([width] * rows, pa.int32()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    taken = {0: [1, 4], 3: [5]}
+    free = [p for p in range(n + 3) if p % width not in taken.get(p // width, [])]
+    got = at[rows - 1].as_py()
+    local = pa.array([taken.get(x["c"]) for x in got], pa.list_(pa.int32()))
+    place = im._select.func(pa.array([[x["r"]] for x in got]), local).to_pylist()
+    assert [x["c"] * width + p[0] for x, p in zip(got, place)] == free[:n]
+
+

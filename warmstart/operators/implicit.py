@@ -14,7 +14,8 @@ the places of a user with a third of all rows are many bounded rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,30 +81,39 @@ def allowed_counts(test: DataFrame, train: DataFrame, n_items: int | DataFrame,
 SPAN = 1 << 16
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("r", T.LongType())])))
-def _locate(k: pd.Series, spans: pd.Series, sizes: pd.Series, width: pd.Series) -> pd.Series:
+def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an array of lists one behind the other, and where each list begins (a null list is empty)."""
+    size = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("c", T.LongType()), T.StructField("r", T.LongType())])))
+def _locate(k: pa.Array, spans: pa.Array, sizes: pa.Array, width: pa.Array) -> pa.Array:
     """The span c of each k-th allowed place, and its rank r among the allowed places of that span."""
-    out = []
-    for ks, c, n, size in zip(k, spans, sizes, width.tolist()):
-        ks, c, n = (np.asarray(x, dtype=np.int64) for x in (ks, c, n))
-        taken = np.concatenate([[0], np.cumsum(n)])
-        t = np.searchsorted((c + 1) * size - taken[1:], ks, side="right")  # spans that end before
+    draws, at = _lists(k)
+    (c, cut), (n, _), size = _lists(spans), _lists(sizes), width.to_numpy(zero_copy_only=False).astype(np.int64)
+    span, rank = np.empty(len(draws), dtype=np.int64), np.empty(len(draws), dtype=np.int64)
+    for i in range(len(k)):
+        ks, cs = draws[at[i]:at[i + 1]], c[cut[i]:cut[i + 1]]
+        taken = np.concatenate([[0], np.cumsum(n[cut[i]:cut[i + 1]])])
+        t = np.searchsorted((cs + 1) * size[i] - taken[1:], ks, side="right")  # spans that end before
         place = ks + taken[t]  # right if no taken place of its own span comes before
-        start = np.append(c, np.iinfo(np.int64).max // size)[t] * size
-        at = np.where(place >= start, start, place // size * size)
-        out.append([{"c": int(x) // size, "r": int(y)} for x, y in zip(at, place - at)])
-    return pd.Series(out)
+        start = np.append(cs, np.iinfo(np.int64).max // size[i])[t] * size[i]
+        here = np.where(place >= start, start, place // size[i] * size[i])
+        span[at[i]:at[i + 1]], rank[at[i]:at[i + 1]] = here // size[i], place - here
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(span), pa.array(rank)], ["c", "r"]))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _select(r: pd.Series, local: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _select(r: pa.Array, local: pa.Array) -> pa.Array:
     """Places inside a span of its r-th allowed places; ``local`` are the taken ones, sorted."""
-    out = []
-    for rs, taken in zip(r, local):
-        rs = np.asarray(rs, dtype=np.int64)
-        gaps = np.asarray([] if taken is None else taken, dtype=np.int64)
-        out.append(rs + np.searchsorted(gaps - np.arange(len(gaps)), rs, side="right"))
-    return pd.Series(out)
+    rank, at = _lists(r)
+    taken, cut = _lists(local)
+    place = rank.copy()
+    for i in range(len(r)):
+        gaps = taken[cut[i]:cut[i + 1]]
+        place[at[i]:at[i + 1]] += np.searchsorted(gaps - np.arange(len(gaps)), rank[at[i]:at[i + 1]], side="right")
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(place))
 
 
 def negative_sample(test: DataFrame, train: DataFrame, n: int = 99, seed: int = 42, user: str = "user_id",
