@@ -60,3 +60,14 @@ def test_draws_are_placed_without_objects():
     assert [x["c"] * width + p[0] for x, p in zip(got, place)] == free[:n]
 
 
+def test_pairs_are_spread_over_the_tasks(spark, tables):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = catalog._pairs(spark, tables)
+        assert pairs.rdd.getNumPartitions() > 1
+        assert pairs.count() == 40
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
