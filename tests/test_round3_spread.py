@@ -71,3 +71,20 @@ def test_pairs_are_spread_over_the_tasks(spark, tables):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+def test_catalogs_are_spread_before_their_titles_are_cleaned(spark, tables):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        a, b = catalog._cats(spark, tables)
+        got = mt.match_items(a, b, fuzzy=False)
+        assert "Relation" not in optimized(got)
+        assert got.rdd.getNumPartitions() > 2  # of two stages
+        assert got.filter("stage = 1").count() == 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_transfer_works_the_ratings_out_once(spark, tables):
+    got = catalog.QUERIES["J9_transfer_items"](spark, tables)
+    assert "l_partkey" not in optimized(got)
+    assert got.select("id").distinct().count() == 40
